@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.clusters import VARIANTS, Groups, cell_groups, describe_groups, group_pairs
 from lumenframe.llm.mixing import Mix, mix_sources
 from lumenframe.llm.packing import pack
 from lumenframe.llm.quantiles import percentiles
@@ -14,6 +15,7 @@ from lumenframe.llm.topn import top_n_per_group
 from lumenframe.session import table
 
 CAPACITY = 2048
+CELL = ["cell_a_a", "cell_b_a", "cell_c_a", "cell_alpha_deg", "cell_beta_deg", "cell_gamma_deg"]
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
@@ -27,6 +29,24 @@ def p1_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(r, "panel_name", "intensity", "reflection_id", 3)
 
 
+def _groups(spark: SparkSession, d: str) -> Groups:
+    return cell_groups(table(spark, d, "frames").where("indexed"), "frame_index", CELL)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return group_pairs(_groups(spark, d)).select(F.col("a").alias("frame_index_a"), F.col("b").alias("frame_index_b"))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical frames of every group, strays included."""
+    return describe_groups(_groups(spark, d))
+
+
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups there are of each size."""
+    return describe_groups(_groups(spark, d)).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+
+
 def _percentiles(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "reflections")
     band = F.when(F.col("resolution_nm_inv") >= 0, F.floor("resolution_nm_inv").cast("int"))
@@ -91,7 +111,24 @@ hit AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM again, (SELECT unn
 shares AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS words, coalesce(repeated, 0) AS repeated FROM words LEFT JOIN hit USING (doc_id)),
 judged AS (SELECT *, words >= 20 AND repeated >= words * 0.3 - 1e-9 AS high FROM shares)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p4_percentiles, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
+def _alike_sql() -> str:
+    """Groups of alike cells: all 24 settings, all pairs, transitive closure."""
+    settings = " UNION ALL ".join(
+        "SELECT f, " + ", ".join([*(f"{'abc'[o]} AS e{k}" for k, o in enumerate(order)), *(f"{'180 - ' if t else ''}{('al', 'be', 'ga')[o]} AS g{k}" for k, (o, t) in enumerate(zip(order, flips, strict=True)))]) + " FROM c"
+        for order, flips in VARIANTS
+    )
+    numbers = ", ".join(f"{c} AS {n}" for c, n in zip(CELL, ("a", "b", "c", "al", "be", "ga"), strict=True))
+    usable = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND {c} <> 0" for c in CELL)
+    edges = " AND ".join(f"abs(x.{c} - y.e{k}) <= 0.05 * greatest(x.{c}, y.e{k})" for k, c in enumerate("abc"))
+    angles = " AND ".join(f"abs(x.{c} - y.g{k}) <= 3" for k, c in enumerate(("al", "be", "ga")))
+    return f"""RECURSIVE c AS (SELECT DISTINCT frame_index AS f, {numbers} FROM frames WHERE indexed AND {usable}),
+settings AS ({settings}),
+alike AS (SELECT DISTINCT x.f AS p, y.f AS q FROM c x JOIN settings y ON {edges} AND {angles}),
+reach AS (SELECT p, q FROM alike UNION SELECT r.p, a.q FROM reach r JOIN alike a ON r.q = a.p),
+label AS (SELECT p, min(q) AS g FROM reach GROUP BY p)"""
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
 
 ORACLE = {
     "p1_found": """SELECT frame_index, peak_id FROM (
@@ -102,6 +139,9 @@ ORACLE = {
   SELECT panel_name, reflection_id, intensity, CAST(row_number() OVER (PARTITION BY panel_name ORDER BY intensity DESC, reflection_id) AS INTEGER) AS rank
   FROM (SELECT DISTINCT lower(trim(panel)) AS panel_name, reflection_id, intensity FROM reflections
     WHERE panel IS NOT NULL AND intensity IS NOT NULL AND NOT isnan(intensity))) WHERE rank <= 3""",
+    "p3_found": f"""WITH {_alike_sql()} SELECT a AS frame_index_a, p AS frame_index_b FROM (
+  SELECT p, lag(p) OVER (PARTITION BY g ORDER BY p) AS a FROM label) WHERE a IS NOT NULL""",
+    "p3_sizes": f"WITH {_alike_sql()} SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM label GROUP BY g) GROUP BY size",
     "p9_found": f"WITH {_WORDS} SELECT doc_id FROM judged WHERE high",
     "p9_shares": f"WITH {_WORDS} SELECT doc_id, words, repeated, high FROM judged",
 }
