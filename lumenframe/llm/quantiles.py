@@ -75,6 +75,12 @@ def _pack(s: Summary) -> tuple[list, list, list]:
     return s[0].tolist(), np.diff(s[1], prepend=0).tolist(), (s[2] - s[1]).tolist()
 
 
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows of keys and packed summaries; keys stay objects, so NULLs and whole numbers survive."""
+    columns = [*names, "v", "step", "width"]
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(columns)})
+
+
 def _unpack(v, step, width) -> Summary:
     lo = np.cumsum(np.asarray(step, np.int64))
     return np.asarray(v, float), lo, lo + np.asarray(width, np.int64)
@@ -115,10 +121,7 @@ def summaries(df: DataFrame, keys: Sequence[str], value: str, eps: float = 0.005
         done = {key: merge_all(p) for key, p in parts.items()}  # one pruning at the end, whatever the number of buffers
         out = [(*key, *_pack(prune(s, keep))) for key, s in done.items()]
         for k in range(0, len(out), 256):
-            part = pd.DataFrame(out[k : k + 256], columns=[*names, "v", "step", "width"])
-            for i, name in enumerate(names):
-                part[name] = pd.Series([x[i] for x in out[k : k + 256]], dtype=object)
-            yield part
+            yield _frame(out[k : k + 256], names)
 
     return rows.mapInPandas(kernel, ", ".join(kinds) + ", v array<double>, step array<long>, width array<long>")
 
@@ -129,14 +132,19 @@ def merge_summaries(parts: DataFrame, keys: Sequence[str], eps: float = 0.005) -
     keep = int(np.ceil(2.0 / eps))
     kinds = [f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in names]
 
-    def kernel(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        s = prune(merge_all([_unpack(*x) for x in zip(g["v"], g["step"], g["width"], strict=True)]), keep)
-        out = pd.DataFrame([_pack(s)], columns=["v", "step", "width"])
-        for i, name in enumerate(names):
-            out.insert(i, name, pd.Series([key[i] if key[i] == key[i] else None], dtype=object))
-        return out
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # All rows of a key meet in one partition; many keys share one, so no call per key is paid.
+        held: dict[tuple, list[Summary]] = {}
+        for b in batches:
+            keyed = zip(*[[None if x is None or x != x else x for x in b[n]] for n in names], strict=True)
+            for key, v, step, width in zip(keyed, b["v"], b["step"], b["width"], strict=True):
+                held.setdefault(key, []).append(_unpack(v, step, width))
+        out = [(*key, *_pack(prune(merge_all(s), keep))) for key, s in held.items()]
+        for k in range(0, len(out), 256):
+            yield _frame(out[k : k + 256], names)
 
-    return parts.select(*names, "v", "step", "width").groupBy(*names).applyInPandas(kernel, ", ".join(kinds) + ", v array<double>, step array<long>, width array<long>")
+    moved = parts.select(*names, "v", "step", "width").repartition(*names)
+    return moved.mapInPandas(kernel, ", ".join(kinds) + ", v array<double>, step array<long>, width array<long>")
 
 
 def percentiles_of(summary: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
