@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.plans import data_quality
+from lumenframe.plans import data_quality, detector
 
-QUERIES = {**data_quality.QUERIES}
-ORACLE = {**data_quality.ORACLE}
+QUERIES = {**data_quality.QUERIES, **detector.QUERIES}
+ORACLE = {**data_quality.ORACLE, **detector.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p6_found"](spark, sf_dir)
+    return QUERIES["frame_peaks"](spark, sf_dir)
