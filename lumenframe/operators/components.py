@@ -18,6 +18,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     e = cut(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    if e.isEmpty():
+        return e.select(F.col("x").alias("node"), F.col("x").alias("component"))
     labels = cut(e.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).withColumnRenamed("x", "n"))
     for _ in range(max_rounds):
         near = e.join(labels, F.col("y") == F.col("n"), "inner").groupBy("x").agg(F.min("l").alias("m"))
