@@ -8,7 +8,7 @@ from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators.components import connected_components
@@ -30,7 +30,7 @@ class CellRule:
     angle: float = 3.0
     inflation: float = 2.0
     prune: float = 1e-3
-    settle: float = 1e-3
+    settle: float = 1e-2
     max_rounds: int = 24
     max_splits: int = 48
 
@@ -110,6 +110,20 @@ def _bounds(members: DataFrame, *keys: str) -> DataFrame:
     return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *[F.min(d).alias(f"{d}_lo") for d in DIMS], *[F.max(d).alias(f"{d}_hi") for d in DIMS])
 
 
+def box_nodes(members: DataFrame, rule: CellRule) -> DataFrame:
+    """One node per box: ``box, node`` (its smallest member), ``size``, bounds, and the bounds ``lo``
+    and ``hi`` of the ascending edges and ascending deviations from a right angle, with the grid
+    place ``q0, q1, q2`` of the edges. All of these survive a change of setting."""
+    right = HALF_TURN / rule.angle / 2
+    lo_e, hi_e = F.array_sort(F.array(*[F.min(f"e{k}") for k in range(3)])), F.array_sort(F.array(*[F.max(f"e{k}") for k in range(3)]))
+    # A box that straddles the right angle starts at 0.
+    dev_lo = F.array_sort(F.array(*[F.greatest(F.lit(0.0), F.min(f"g{k}") - right, right - F.max(f"g{k}")) for k in range(3)]))
+    dev_hi = F.array_sort(F.array(*[F.greatest(F.abs(F.min(f"g{k}") - right), F.abs(F.max(f"g{k}") - right)) for k in range(3)]))
+    bounds = [f(d).alias(f"{d}_{e}") for d in DIMS for e, f in (("lo", F.min), ("hi", F.max))]
+    got = members.groupBy("box").agg(F.min("item").cast("long").alias("node"), F.count(F.lit(1)).alias("size"), F.concat(lo_e, dev_lo).alias("lo"), F.concat(hi_e, dev_hi).alias("hi"), *bounds)
+    return got.select("*", *[F.floor((F.col("lo")[k] + F.col("hi")[k]) / 4).cast("long").alias(f"q{k}") for k in range(3)])
+
+
 def _test(pairs: DataFrame, keep: Sequence[str], rule: CellRule) -> DataFrame:
     """``keep`` columns, ``sure``, ``maybe`` and ``dist`` of pairs with bounds ``a_…`` and ``b_…``."""
     names, half_turn = list(keep), HALF_TURN / rule.angle
@@ -136,19 +150,10 @@ def box_links(members: DataFrame, nodes: DataFrame, rule: CellRule) -> DataFrame
     pairs. A pair they leave open is settled by halving the boxes' members again and again, only
     for such pairs, until every sub-pair is surely alike or surely not.
     """
-    half_turn = HALF_TURN / rule.angle
-    lo_e, hi_e = F.array_sort(F.array(*[F.col(f"e{k}_lo") for k in range(3)])), F.array_sort(F.array(*[F.col(f"e{k}_hi") for k in range(3)]))
-    # The deviation from a right angle survives a reversal; a box that straddles it starts at 0.
-    dev_lo = F.array_sort(F.array(*[F.greatest(F.lit(0.0), F.col(f"g{k}_lo") - half_turn / 2, half_turn / 2 - F.col(f"g{k}_hi")) for k in range(3)]))
-    dev_hi = F.array_sort(F.array(*[F.greatest(F.abs(F.col(f"g{k}_lo") - half_turn / 2), F.abs(F.col(f"g{k}_hi") - half_turn / 2)) for k in range(3)]))
-    placed = nodes.withColumn("lo", F.concat(lo_e, dev_lo)).withColumn("hi", F.concat(hi_e, dev_hi))
-    for k in range(3):
-        placed = placed.withColumn(f"q{k}", F.floor((F.col("lo")[k] + F.col("hi")[k]) / 4).cast("long"))
-    placed = cut(placed)  # else the sorted arrays are worked out again for every use and pair
     sides = []
     for s in "ab":
         bounds = [F.col(f"{d}_{e}").alias(f"{s}_{d}_{e}") for d in DIMS for e in ("lo", "hi")]
-        sides.append(placed.select(F.col("node").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"), "q0", "q1", "q2", *bounds))
+        sides.append(nodes.select(F.col("node").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"), "q0", "q1", "q2", *bounds))
     a, b = sides
     for k in range(3):
         a = a.withColumn(f"q{k}", F.explode(F.array(*[F.col(f"q{k}") + s for s in (-1, 0, 1)])))
@@ -158,10 +163,10 @@ def box_links(members: DataFrame, nodes: DataFrame, rule: CellRule) -> DataFrame
     tested = cut(_test(a.join(b, ["q0", "q1", "q2"]).where((F.col("a") < F.col("b")) & close), ["a", "b"], rule).where("maybe"))
     links = tested.where("sure").select("a", "b", "dist")
     open_pairs = tested.where("NOT sure").select("a", "b", "dist", F.col("a").cast("string").alias("pa"), F.col("b").cast("string").alias("pb"))
+    if open_pairs.isEmpty():
+        return links
     subs = members.withColumn("part", F.col("node").cast("string"))
     for level in range(1, rule.max_splits + 1):
-        if open_pairs.isEmpty():
-            return links
         scale = float(2**level)
         parts = open_pairs.select(F.col("pa").alias("part")).unionByName(open_pairs.select(F.col("pb").alias("part"))).distinct()
         digits = [F.pmod(F.floor(F.col(d) * scale), F.lit(2)).cast("string") for d in DIMS]
@@ -177,24 +182,28 @@ def box_links(members: DataFrame, nodes: DataFrame, rule: CellRule) -> DataFrame
             got.where("NOT sure").join(found.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.col("old_dist").alias("dist"), F.col("na").alias("pa"), F.col("nb").alias("pb"))
         )
         subs = halved.drop("old")
+        if open_pairs.isEmpty():
+            return links
     raise RuntimeError("boxes are still open after the last split")
 
 
-def _stochastic(m: DataFrame, rule: CellRule) -> DataFrame:
+def _stochastic(m: DataFrame, rule: CellRule, unrest: bool = False) -> DataFrame:
     """Columns to sum 1, entries below ``prune`` of their column's largest dropped first."""
     w = Window.partitionBy("j")
     kept = m.withColumn("top", F.max("v").over(w)).where(F.col("v") >= F.lit(rule.prune) * F.col("top"))
-    return kept.withColumn("total", F.sum("v").over(w)).select("i", "j", (F.col("v") / F.col("total")).alias("v"))
+    out = kept.select("i", "j", "v", "top", F.sum("v").over(w).alias("total"), F.sum(F.col("v") * F.col("v")).over(w).alias("squares"))
+    share = (F.col("v") / F.col("total")).alias("v")
+    return out.select("i", "j", share, (F.col("top") / F.col("total") - F.col("squares") / (F.col("total") * F.col("total"))).alias("unrest")) if unrest else out.select("i", "j", share)
 
 
 def markov_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataFrame:
-    """``node, attractor, flow``: Markov clustering of the linked nodes.
+    """``node, size, attractor, flow``: Markov clustering of the linked nodes.
 
     The flow matrix is a table (i, j, v), v the flow from j to i, columns summing to 1. A node stands
     for ``size`` records, which lumps the matrix of all records exactly if its records have the same
     links. Squaring is a join of the table with itself on the inner index and a sum per (i, j);
-    inflation and pruning follow per column. Rounds are checkpointed and end when no entry moves by
-    more than ``settle``. A column's attractor is its largest entry (then the smallest node); ``flow``
+    inflation and pruning follow per column. Rounds are checkpointed and end when no column is
+    unrestful by more than ``settle``; that figure is observed while the round is written. A column's attractor is its largest entry (then the smallest node); ``flow``
     is what a node receives from all records. Nodes without links attract themselves.
     """
     loops = nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("sim"))
@@ -204,18 +213,19 @@ def markov_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataF
     graph = both.unionByName(loops.join(linked, F.col("i") == F.col("node"), "left_semi"))
     sizes = nodes.select(F.col("node").alias("i"), "size")
     m = cut(_stochastic(graph.join(sizes, "i").select("i", "j", (F.col("sim") * F.col("size")).alias("v")), rule))
-    for _ in range(rule.max_rounds):
+    for turn in range(rule.max_rounds):
         left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("v1")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("v2"))
         squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-        fresh = cut(_stochastic(squared.withColumn("v", F.pow("v", F.lit(rule.inflation))), rule))
-        moved = fresh.join(m.withColumnRenamed("v", "was"), ["i", "j"], "full").agg(F.max(F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        m = fresh
-        if moved is None or moved <= rule.settle:
+        # The unrest of a column is its largest entry less the sum of squares: 0 once its entries are equal.
+        fresh = _stochastic(squared.withColumn("v", F.pow("v", F.lit(rule.inflation))), rule, unrest=True)
+        seen = Observation(f"unrest_{turn}")
+        m = cut(fresh.observe(seen, F.max("unrest").alias("unrest"))).drop("unrest")
+        if (seen.get["unrest"] or 0.0) <= rule.settle:
             break
     attractor = m.groupBy("j").agg(F.max(F.struct("v", (-F.col("i")).alias("neg"))).alias("best")).select(F.col("j").alias("node"), (-F.col("best.neg")).alias("attractor"))
     flow = m.join(nodes.select(F.col("node").alias("j"), "size"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("size")).alias("flow"))
     return nodes.select("node", "size").join(attractor, "node", "left").join(flow.withColumnRenamed("i", "node"), "node", "left").select(
-        "node", F.coalesce("attractor", "node").alias("attractor"), F.coalesce("flow", F.when(F.col("attractor").isNull(), F.col("size").cast("double")).otherwise(F.lit(0.0))).alias("flow")
+        "node", "size", F.coalesce("attractor", "node").alias("attractor"), F.coalesce("flow", F.when(F.col("attractor").isNull(), F.col("size").cast("double")).otherwise(F.lit(0.0))).alias("flow")
     )
 
 
@@ -242,18 +252,20 @@ def cell_groups(df: DataFrame, item: str, cell: Sequence[str], rule: CellRule =
     nodes. Markov clustering groups the nodes; an exact check then joins clusters that a link
     connects, because likeness passes through others while flow may be cut in a chain.
     """
-    boxed = cell_members(df, item, cell, rule)
-    boxed = cut(boxed)
-    nodes = cut(_bounds(boxed, "box").join(boxed.groupBy("box").agg(F.min("item").cast("long").alias("node")), "box"))
+    boxed = cut(cell_members(df, item, cell, rule))
+    nodes = cut(box_nodes(boxed, rule))
     members = boxed.join(nodes.select("box", "node"), "box").drop("box")
-    links = cut(box_links(members, nodes, rule))
+    links = box_links(members, nodes, rule)
     flows = cut(markov_clusters(nodes, links, rule))
     label = flows.select("node", "attractor")
     across = (
         links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").select("la", "lb").distinct()
     )
-    joined = connected_components(across, "la", "lb")
-    grouped = cut(flows.join(nodes.select("node", "size"), "node").join(joined.toDF("attractor", "component"), "attractor", "left").withColumn("cluster", F.coalesce("component", "attractor")).drop("component"))
+    if across.isEmpty():
+        grouped = flows.withColumn("cluster", F.col("attractor"))
+    else:
+        joined = connected_components(across, "la", "lb").toDF("attractor", "component")
+        grouped = cut(flows.join(joined, "attractor", "left").withColumn("cluster", F.coalesce("component", "attractor")).drop("component"))
     return Groups(members.join(grouped.select("node", "cluster"), "node"), grouped)
 
 
