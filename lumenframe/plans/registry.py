@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.plans import crystal, data_quality, detector
+from lumenframe.plans import crystal, data_quality, detector, kernels
 
-QUERIES = {**data_quality.QUERIES, **detector.QUERIES, **crystal.QUERIES}
-ORACLE = {**data_quality.ORACLE, **detector.ORACLE, **crystal.ORACLE}
+QUERIES = {**data_quality.QUERIES, **detector.QUERIES, **crystal.QUERIES, **kernels.QUERIES}
+ORACLE = {**data_quality.ORACLE, **detector.ORACLE, **crystal.ORACLE, **kernels.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
