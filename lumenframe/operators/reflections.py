@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.geometry import Detector, q_to_detector
 from lumenframe.functions.lattice import allowed, rocking_radius
 from lumenframe.functions.scoring import poisson_tail
+from lumenframe.session import spread
 
 
 def _a(name: str, r: int, c: int) -> Column:
@@ -31,7 +32,7 @@ def enumerate_hkl(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
     """
     inv = inverse_rows(a)
     bound = [F.greatest(F.ceil(F.lit(q_max) * F.sqrt(sum((x * x for x in row[1:]), row[0] * row[0]))), F.lit(1)).cast("int") for row in inv]
-    out = crystals.select("*", *[b.alias(f"__m{k}") for k, b in enumerate(bound)])
+    out = spread(crystals, a).select("*", *[b.alias(f"__m{k}") for k, b in enumerate(bound)])
     for k, name in enumerate("hkl"):
         out = out.withColumn(name, F.explode(F.sequence(-F.col(f"__m{k}"), F.col(f"__m{k}"))))
     return out.drop("__m0", "__m1", "__m2").where("NOT (h = 0 AND k = 0 AND l = 0)")

@@ -54,5 +54,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash ``df`` to a stated number of partitions before a step that is heavy for its bytes.
+
+    Adaptive execution would merge a small table into one task; a stated number it leaves alone.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
