@@ -17,9 +17,12 @@ FOOTER_SCHEMA = (
 )
 
 #: Fixed values of the Parquet format: the types as they stand in a compact Thrift struct, the field
-#: numbers of a page header, and the element types of PLAIN dictionaries.
+#: numbers of a page header (for each kind of data page, that of its encoding), the encodings that
+#: mean a dictionary, and the element types of PLAIN dictionaries.
 THRIFT_STOP, THRIFT_TRUE, THRIFT_FALSE, THRIFT_BYTE, THRIFT_BINARY, THRIFT_LIST, THRIFT_STRUCT = 0, 1, 2, 3, 8, 9, 12
 PAGE_SIZE_FIELD, DICTIONARY_HEADER_FIELD, COUNT_FIELD = 3, 7, 1
+DATA_PAGE_ENCODING = {5: 2, 8: 4}
+DICTIONARY_ENCODINGS = (2, 8)
 PLAIN_TYPES = {"DOUBLE": "<f8", "FLOAT": "<f4", "INT64": "<i8", "INT32": "<i4"}
 
 
@@ -81,19 +84,37 @@ def dictionary_values(raw: pa.NativeFile, chunk: pq.ColumnChunkMetaData) -> np.n
     return np.frombuffer(packed, kind, count).astype(float)
 
 
-def dictionary_only(chunk: pq.ColumnChunkMetaData, writer: str) -> bool:
-    """True if the encodings prove that no data page of the chunk left the dictionary.
-
-    Version 1 dictionaries have an encoding of their own, so any PLAIN means a fallback. Otherwise
-    the dictionary page itself is listed as PLAIN and a fallback adds another entry; that count is
-    only relied on for the writer known to list every entry.
+def _header(raw: pa.NativeFile, at: int) -> tuple[dict, int]:
+    """The page header at an offset, and the offset of what follows it."""
+    size = 512
+    while True:
+        raw.seek(at)
+        buf = raw.read(size)
+        try:
+            got, used = _struct(buf, 0)
+            return got, at + used
+        except IndexError:
+            if len(buf) < size:
+                raise
+            size *= 8
+
+
+def dictionary_only(raw: pa.NativeFile, chunk: pq.ColumnChunkMetaData) -> bool:
+    """True if every data page of the chunk refers to its dictionary.
+
+    The list of encodings in a footer does not tell (the dictionary page itself is PLAIN), so the
+    headers of the pages are read; their bodies are skipped.
     """
-    others = [e for e in chunk.encodings if e not in ("RLE", "BIT_PACKED", "PLAIN_DICTIONARY", "RLE_DICTIONARY")]
-    if not chunk.has_dictionary_page:
+    if not chunk.has_dictionary_page or not any(e.endswith("DICTIONARY") for e in chunk.encodings):
         return False
-    if "PLAIN_DICTIONARY" in chunk.encodings:
-        return not others
-    return writer.startswith("parquet-cpp") and others == ["PLAIN"]
+    at, end = chunk.data_page_offset, chunk.dictionary_page_offset + chunk.total_compressed_size
+    while at < end:
+        header, body = _header(raw, at)
+        for field, encoding in DATA_PAGE_ENCODING.items():
+            if field in header and header[field].get(encoding) not in DICTIONARY_ENCODINGS:
+                return False
+        at = body + header[PAGE_SIZE_FIELD]
+    return True
 
 
 def _number(x) -> float | None:
@@ -103,9 +124,10 @@ def _number(x) -> float | None:
 def read_footers(df: DataFrame, columns: list[str], dictionaries: bool = False) -> DataFrame:
     """One row per (file, row group, column) of the Parquet files beneath ``df``.
 
-    ``exact``: the footer states nulls and extrema. ``dictionary_only``: all data pages of the chunk
-    refer to its dictionary, so ``dictionary`` (numbers only, filled if asked for) is the set of its
-    distinct values. Only footers and dictionary pages are read; files are spread over the tasks.
+    ``exact``: the footer states nulls and extrema. ``dictionary_only`` (looked into if
+    ``dictionaries`` are asked for): all data pages of the chunk refer to its dictionary, so
+    ``dictionary`` (numbers only) is the set of its distinct values. Only footers, page headers and
+    dictionary pages are read; files are spread over the tasks.
     """
     spark = df.sparkSession
     files = df.inputFiles()
@@ -128,8 +150,8 @@ def read_footers(df: DataFrame, columns: list[str], dictionaries: bool = False)
                             st = chunk.statistics
                             exact = bool(st and st.has_null_count and (st.has_min_max or st.null_count == group.num_rows))
                             lo, hi = (st.min, st.max) if st and st.has_min_max else (None, None)
-                            pure = dictionary_only(chunk, meta.created_by or "")
-                            values = dictionary_values(raw, chunk) if dictionaries and pure else None
+                            pure = dictionaries and dictionary_only(raw, chunk)
+                            values = dictionary_values(raw, chunk) if pure else None
                             rows.append(
                                 (uri, g, name, group.num_rows, st.null_count if exact else None, _number(lo), _number(hi),
                                  str(lo) if lo is not None else None, str(hi) if hi is not None else None, exact, bool(pure), values)
