@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.clusters import VARIANTS, Groups, cell_groups, describe_groups, group_pairs
 from lumenframe.llm.mixing import Mix, mix_sources
 from lumenframe.llm.packing import pack
-from lumenframe.llm.quantiles import percentiles
+from lumenframe.llm.quantiles import merge_summaries, percentiles, percentiles_of, summaries
 from lumenframe.llm.repetition import repetition
 from lumenframe.llm.tokens import token_counts
 from lumenframe.llm.topn import top_n_per_group
@@ -54,6 +54,16 @@ def _percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(keyed, ["panel", "band"], "intensity", PROBS, load="load_id", eps=0.005)
 
 
+def p4_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The same percentiles per load: what is kept of each delivery, to be merged with later ones."""
+    r = table(spark, d, "reflections")
+    band = F.when(F.col("resolution_nm_inv") >= 0, F.floor("resolution_nm_inv").cast("int"))
+    keys = ["load_id", "panel", "band"]
+    kept = merge_summaries(summaries(r.select("load_id", F.lower(F.trim("panel")).alias("panel"), band.alias("band"), "intensity"), keys, "intensity"), keys)
+    names = [F.col("p")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(PROBS)]
+    return percentiles_of(kept, keys, PROBS).select(*keys, "n", *names, "rank_error")
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per panel and whole nm^-1 of resolution (NULL where it is missing or negative)."""
     names = [F.col("p")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(PROBS)]
@@ -128,7 +138,7 @@ reach AS (SELECT p, q FROM alike UNION SELECT r.p, a.q FROM reach r JOIN alike a
 label AS (SELECT p, min(q) AS g FROM reach GROUP BY p)"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p4_loads, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
 
 ORACLE = {
     "p1_found": """SELECT frame_index, peak_id FROM (
