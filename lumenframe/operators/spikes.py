@@ -33,7 +33,7 @@ class SpikeRule:
     spreads: float = 8.0
     run: int = 6
     side: int = 9
-    gate: float = 2.5
+    gate: float = 3.0
     trim: float = 3.5
     levels: int = 3
     chunk: int = 2048
