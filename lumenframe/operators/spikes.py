@@ -147,6 +147,10 @@ def implausible_readings(
         .withColumn("before", F.lag(F.struct("ord", "row")).over(w))
         .where(F.col("before").isNull() | F.col("row").isNull() | ~F.struct("ord", "row").eqNullSafe(F.col("before")))
         .withColumn("d", F.abs(F.col("v") - F.lag("v").over(w)))
+        # Details inside a stuck run say nothing about the spread: those in a window of run - 1 zeros.
+        .withColumn("zeros", F.sum(F.when(F.col("d") == 0, 1).otherwise(0)).over(w.rowsBetween(2 - rule.run, 0)))
+        .withColumn("zeros", F.max("zeros").over(w.rowsBetween(0, rule.run - 2)))
+        .withColumn("d", F.when((F.col("d") > 0) | (F.col("zeros") < rule.run - 1), F.col("d")))
         .select("src", "m", "ord", "row", "v", "d")
     )
     low = F.element_at(F.array(*[F.lit(float(max(measures[m].low, -1e308))) for m in names]), F.col("m") + 1)

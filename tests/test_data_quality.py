@@ -162,3 +162,9 @@ def test_orphan_cascade_and_cycle(spark):
     loop = spark.createDataFrame([("x", "gone"), ("y", "x"), ("z", "y"), ("u", "v"), ("v", "u")], "k string, up string")
     got = sorted((r["row"], r["level"]) for r in find_orphans({"t": Entity(loop, "k")}, [ForeignKey("t", "up", "t", "k")]).collect())
     assert got == [("x", 0), ("y", 1), ("z", 2)]
+
+
+def test_short_source_that_is_mostly_stuck(spark):
+    v = [17.0, 17.6, 16.6, 17.1, 16.2, *[15.5] * 8]
+    rows = [("a", k, k, float(x), 1, "") for k, x in enumerate(v)]
+    assert readings(spark, rows) == {(k, "stuck") for k in range(5, 13)}
