@@ -125,21 +125,10 @@ def load_profiles(df: DataFrame, load: str, columns: Sequence[str], positive: bo
     estimate (relative deviation 1 %), the quantiles are rank-bounded summaries (1/10 000). Rows
     whose load is NULL belong to no load and are left out; an empty table gives no rows.
 
-    Before the scans the footers are read: files whose load column proves to be NULL throughout hold
-    nothing for any load and are not opened.
+    Chunks whose footers prove that no row of them has a load, or passes the filters of ``df``, are
+    skipped by the scans; the others must be read, because no footer holds a distribution per load.
     """
-    used = settled_files(df, load)
-    base = (df if used is None else df.sparkSession.read.schema(df.schema).parquet(*used)) if used != [] else df.limit(0)
-    return _profiles(base, load, list(columns), positive, rule)
-
-
-def settled_files(df: DataFrame, load: str) -> list[str] | None:
-    """Files that hold a row of some load by their footers, or None if all do (or there are no files)."""
-    if not df.inputFiles():
-        return None
-    feet = read_footers(df, [load]).groupBy("file").agg(F.every(F.col("exact") & (F.col("nulls") == F.col("rows"))).alias("none"))
-    got = feet.toPandas()
-    return None if not got["none"].any() else got[~got["none"]]["file"].tolist()
+    return _profiles(df, load, list(columns), positive, rule)
 
 
 def _long(df: DataFrame, load: str, columns: list[str], positive: bool) -> DataFrame:

@@ -168,3 +168,10 @@ def test_short_source_that_is_mostly_stuck(spark):
     v = [17.0, 17.6, 16.6, 17.1, 16.2, *[15.5] * 8]
     rows = [("a", k, k, float(x), 1, "") for k, x in enumerate(v)]
     assert readings(spark, rows) == {(k, "stuck") for k in range(5, 13)}
+
+
+def test_profiles_keep_the_callers_filter(spark, tmp_path):
+    spark.createDataFrame([(None, 1.0, True)] * 5, "load int, x double, ok boolean").coalesce(1).write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(1, 2.0, True), (1, None, False), (1, 3.0, None)], "load int, x double, ok boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    r = load_profiles(spark.read.parquet(str(tmp_path / "t")).where("ok"), "load", ["x"]).collect()
+    assert [(x["load"], x["rows"], x["nulls"]) for x in r] == [(1, 1, 0)]
