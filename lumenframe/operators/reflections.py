@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,81 @@ def enumerate_hkl(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
     return out.drop("__m0", "__m1", "__m2").where("NOT (h = 0 AND k = 0 AND l = 0)")
 
 
+#: Bits and offset of an index in a packed triple.
+_BITS, _HALF = 21, 1 << 20
+
+
+def shell_triples(a: np.ndarray, q_max: float, wavelength: float, tol: float, slope: float = 0.0, floor: float = 0.0, frame: tuple[float, ...] | None = None) -> np.ndarray:
+    """Packed index triples of one matrix with norm <= ``q_max`` and excitation < ``tol`` (a hair more).
+
+    With ``slope`` the excitation may be ``tol`` less slope times (q_max - norm), or ``floor`` if that is more; with ``frame``
+    (distance in pixels, beam row and column, height, width) only triples that hit it count.
+
+    For each pair of the two shorter indices the third lies in at most two short intervals, the roots
+    of |s| = 1 + tol and |s| = 1 - tol: the box of all triples is never laid out.
+    """
+    bound = np.maximum(np.ceil(q_max * np.linalg.norm(np.linalg.inv(a), axis=1)), 1).astype(int)
+    if bound.max() >= _HALF:
+        raise ValueError("an index bound beyond 2 ** 20")
+    last = int(np.argmax(bound))
+    first, second = [k for k in range(3) if k != last]
+    x, y = (g.ravel() for g in np.mgrid[-bound[first] : bound[first] + 1, -bound[second] : bound[second] + 1])
+    v = wavelength * a[:, last]
+    s0 = wavelength * (x[:, None] * a[:, first] + y[:, None] * a[:, second]) + np.array([0.0, 0.0, 1.0])
+    vv, mid = v @ v, -(s0 @ v) / (v @ v)
+    off = (s0 * s0).sum(axis=1) - vv * mid * mid  # squared distance of the line from the sphere's centre
+    t = tol * (1 + 1e-6) + 1e-9
+    out2 = ((1 + t) ** 2 - off) / vv
+    in2 = ((1 - t) ** 2 - off) / vv if t < 1 else np.full(len(off), -1.0)
+    hit = out2 >= 0
+    x, y, mid, out, inner = x[hit], y[hit], mid[hit], np.sqrt(out2[hit]) + 1e-6, np.sqrt(np.maximum(in2[hit], 0.0)) - 1e-6
+    lo1, hi2 = np.maximum(np.ceil(mid - out), -bound[last]).astype(int), np.minimum(np.floor(mid + out), bound[last]).astype(int)
+    hi1 = np.minimum(np.floor(mid - inner), hi2).astype(int)
+    lo2 = np.maximum(np.maximum(np.ceil(mid + inner), lo1), hi1 + 1).astype(int)
+    x, y, lo, n = np.tile(x, 2), np.tile(y, 2), np.concatenate([lo1, lo2]), np.maximum(np.concatenate([hi1 - lo1, hi2 - lo2]) + 1, 0)
+    z = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    hkl = np.empty((len(z), 3), np.int64)
+    hkl[:, first], hkl[:, second], hkl[:, last] = np.repeat(x, n), np.repeat(y, n), z
+    q = hkl @ a.T
+    qn = np.sqrt((q * q).sum(axis=1))
+    keep = (qn <= q_max * (1 + 1e-9)) & (hkl != 0).any(axis=1)
+    s = wavelength * q + np.array([0.0, 0.0, 1.0])
+    keep &= np.abs(np.sqrt((s * s).sum(axis=1)) - 1.0) < np.maximum(t - slope * np.maximum(q_max - qn, 0.0), floor * (1 + 1e-6) + 1e-9)
+    if frame:
+        far, row, col, height, width = frame
+        sz = np.maximum(s[:, 2], 1e-30)
+        r, c = row + s[:, 1] * far / sz, col + s[:, 0] * far / sz
+        keep &= (s[:, 2] > 0) & (r > -0.5) & (r < height - 0.5) & (c > -0.5) & (c < width - 0.5)
+    hkl = hkl[keep] + _HALF
+    return (hkl[:, 0] << 2 * _BITS) | (hkl[:, 1] << _BITS) | hkl[:, 2]
+
+
+def shell_hkl(crystals: DataFrame, q_max: float, wavelength: float, tol: Column, slope: Column, floor: float = 0.0, frame: tuple[float, ...] | None = None, a: str = "a") -> DataFrame:
+    """``crystals`` with the ``h, k, l`` of ``enumerate_hkl`` that ``shell_triples`` gives: those near
+    the Ewald sphere, and perhaps a few just beside. A matrix with a NULL gives no row."""
+
+    @F.pandas_udf("array<long>")
+    def triples(m: pd.Series, tol: pd.Series, slope: pd.Series) -> pd.Series:
+        usable = [x is not None and len(x) == 9 and np.isfinite(np.asarray(x, float)).all() for x in m]
+        got = [shell_triples(np.asarray(x, float).reshape(3, 3), q_max, wavelength, t, g, floor, frame) if ok else np.empty(0, np.int64) for x, t, g, ok in zip(m, tol, slope, usable, strict=True)]
+        return pd.Series(got, dtype=object)
+
+    packed = spread(crystals, a).withColumn("__hkl", F.explode(triples(F.col(a), tol, slope)))
+    index = lambda shift: (F.shiftright("__hkl", shift).bitwiseAND(F.lit(2 * _HALF - 1)) - F.lit(_HALF)).cast("int")
+    return packed.select(*crystals.columns, index(2 * _BITS).alias("h"), index(_BITS).alias("k"), index(0).alias("l"))
+
+
 def predict_reflections(
     crystals: DataFrame, d: Detector, q_max: float, height: int, width: int, eta: Column | float, size: float = 5e-5, bandwidth: float = 0.0,
     sigma: float = 1.5, least: float = 5e-4, centering: str | None = None, a: str = "a",
 ) -> DataFrame:
     """``crystals`` × reflections near the Ewald sphere that hit the frame: h k l, q, excitation, position."""
-    grid = enumerate_hkl(crystals, q_max, a).where(allowed(F.col("h"), F.col("k"), F.col("l"), centering))
+    eta = eta if isinstance(eta, Column) else F.lit(float(eta))
+    widest = F.greatest(*[F.lit(d.wavelength * sigma) * rocking_radius(F.lit(x), eta, size, d.wavelength, bandwidth) for x in (0.0, q_max)], F.lit(least))
+    # Without bandwidth the tolerance is a straight line above its floor, which the kernel follows; else it takes the widest.
+    slope = F.lit(0.5 * d.wavelength * sigma) * F.greatest(F.coalesce(eta, F.lit(0.0)), F.lit(0.0)) if bandwidth == 0 else F.lit(0.0)
+    frame = None if d.by_panels else (d.clen / d.pixel_size, d.beam_row, d.beam_col, height, width)
+    grid = shell_hkl(crystals, q_max, d.wavelength, widest, slope, least, frame, a).where(allowed(F.col("h"), F.col("k"), F.col("l"), centering))
     hkl = [F.col(x).cast("double") for x in "hkl"]
     q = [_a(a, r, 0) * hkl[0] + _a(a, r, 1) * hkl[1] + _a(a, r, 2) * hkl[2] for r in range(3)]
     lam = F.lit(d.wavelength)
@@ -51,7 +122,6 @@ def predict_reflections(
     at = at.withColumn("qn", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2)).where(F.col("qn") <= q_max)
     sx, sy, sz = lam * F.col("qx"), lam * F.col("qy"), lam * F.col("qz") + 1.0
     at = at.withColumn("sz", sz).withColumn("excitation", F.sqrt(sx * sx + sy * sy + sz * sz) - 1.0)
-    eta = eta if isinstance(eta, Column) else F.lit(float(eta))
     tol = F.greatest(lam * sigma * rocking_radius(F.col("qn"), eta, size, d.wavelength, bandwidth), F.lit(least))
     near = at.where((F.col("sz") > 0) & (F.abs("excitation") < tol)).drop("sz")
     row, col = q_to_detector(F.col("qx"), F.col("qy"), F.col("qz"), d)

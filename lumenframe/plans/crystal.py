@@ -17,8 +17,9 @@ from lumenframe.sources.geom import split_lines
 
 DET = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0)
 TILTED = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0, (Panel("west", 0, 1039, 0, 1023, -1040.0, -512.0, 1.0, 0.01, -0.01, 1.0), Panel("east", 1040, 2079, 0, 1023, 4.0, -512.0, 1.0, -0.02, 0.02, 1.0)))
-Q_MAX = 0.05
 SHAPE = (1024, 2080)
+#: What the SQL of prediction reaches to; the queries go to the detector's ``_limits``.
+Q_MAX = 0.05
 
 
 def _peaks(spark, d):
@@ -32,6 +33,13 @@ def _crystals(spark, d):
     return f.groupBy("frame_index").agg(F.min(a).alias("a"))
 
 
+def _limits(spark, d) -> tuple[float, int, int]:
+    """The largest q of the detector, and the height and width that hold all of its panels."""
+    top = table(spark, d, "panels").agg(F.max("max_ss").alias("ss"), F.max("max_fs").alias("fs")).first()
+    shape = max(SHAPE[0], (top["ss"] or 0) + 1), max(SHAPE[1], (top["fs"] or 0) + 1)
+    return geometry.q_max(DET, *shape), *shape
+
+
 def q_lift(spark, d):
     q = geometry.detector_to_q(F.col("row"), F.col("col"), DET)
     return rounded(_peaks(spark, d).select("peak_id", *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz"), strict=True)]), 6)
@@ -131,7 +139,7 @@ def rotation(spark, d):
 
 
 def hkl_enumerate(spark, d):
-    g = refl.enumerate_hkl(_crystals(spark, d), Q_MAX)
+    g = refl.enumerate_hkl(_crystals(spark, d), _limits(spark, d)[0])
     return g.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h"), F.max("k").alias("k"), F.max("l").alias("l"))
 
 
@@ -142,7 +150,7 @@ def hkl_absences(spark, d):
 
 
 def _predicted(spark, d):
-    return refl.predict_reflections(_crystals(spark, d), DET, Q_MAX, *SHAPE, eta=0.003, size=5e-5)
+    return refl.predict_reflections(_crystals(spark, d), DET, *_limits(spark, d), eta=0.003, size=5e-5)
 
 
 def ewald_shell(spark, d):
