@@ -16,7 +16,7 @@ from lumenframe.sources import frames as src
 from lumenframe.sources.geom import split_lines
 
 DET = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0)
-TILTED = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0, (Panel("west", 0, 1039, 0, 1023, -1040.0, -512.0, 1.0, 0.01, -0.01, 1.0), Panel("east", 1040, 2079, 0, 1023, 4.0, -512.0, 1.0, -0.02, 0.02, 1.0)))
+TILTED = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0, (Panel("west", 0, 1039, 0, 2075, -1040.0, -512.0, 1.0, 0.01, -0.01, 1.0), Panel("east", 1040, 2079, 0, 2075, 4.0, -512.0, 1.0, -0.02, 0.02, 1.0)))
 SHAPE = (1024, 2080)
 #: What the SQL of prediction reaches to; the queries go to the detector's ``_limits``.
 Q_MAX = 0.05
@@ -47,12 +47,13 @@ def q_lift(spark, d):
 
 def q_lift_panels(spark, d):
     q = geometry.detector_to_q(F.col("row"), F.col("col"), TILTED)
-    return rounded(_peaks(spark, d).where("row < 1000").select("peak_id", *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz"), strict=True)]), 6)
+    return rounded(_peaks(spark, d).select("peak_id", *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz"), strict=True)]), 6)
 
 
 def q_project(spark, d):
-    """Pixels lifted and projected again, by panels: the way back must end where it began."""
-    p = _peaks(spark, d).where("row BETWEEN 1 AND 1000 AND col BETWEEN 1 AND 1030 OR row BETWEEN 1 AND 1000 AND col BETWEEN 1045 AND 2070")
+    """Pixels lifted and projected again, by panels: the way back ends where it began, or is NULL
+    where a place lies off the panels (in the half pixel around one, or between them)."""
+    p = _peaks(spark, d)
     q = geometry.detector_to_q(F.col("row"), F.col("col"), TILTED)
     p = p.select("peak_id", *[c.alias(n) for c, n in zip(q, ("qx", "qy", "qz"), strict=True)])
     row, col = geometry.q_to_detector(F.col("qx"), F.col("qy"), F.col("qz"), TILTED)

@@ -57,3 +57,32 @@ def test_prediction_reaches_the_detectors_edge(spark, run):
         slope = 2 * math.sqrt(math.pi / 2) * (qn[ok] * np.abs(exc[ok]) / 1.3).sum() / (qn[ok] ** 2).sum()
         assert mosaic[f] == pytest.approx(min(max(slope, math.radians(0.02)), math.radians(0.8)), abs=1e-7)
         assert grid.loc[f].tolist() == [len(hkl), *hkl.max(axis=0).tolist()]
+
+
+@pytest.fixture(scope="module")
+def peaks(spark, tmp_path_factory):
+    """Peaks all over the detector, in a half pixel around it and between the panels of the tilted one."""
+    d = str(tmp_path_factory.mktemp("peaks"))
+    rng = np.random.default_rng(5)
+    at = [(0.2, 0.4), (999.0, 5.0), (1000.0, 1050.0), (2075.0, 2075.0), (1500.0, 30.5), (-0.3, 10.0), (1600.0, 1039.7), (1600.0, 1039.2), (5.0, 1035.0)]
+    at += rng.uniform(0, 2075, (40, 2)).tolist()
+    rows = [(k, 7 if k < 35 else 8, float(r), float(c), float(100 - k // 2)) for k, (r, c) in enumerate(at)]
+    spark.createDataFrame(rows, "peak_id long, frame_index long, ss double, fs double, intensity double").write.parquet(f"{d}/peaks.parquet")
+    return d, rows
+
+
+def lifted(x, y):
+    n = math.sqrt((x * 75e-6) ** 2 + (y * 75e-6) ** 2 + 0.01)
+    return x * 75e-6 / n / 1.3, y * 75e-6 / n / 1.3, (0.1 / n - 1) / 1.3
+
+
+def test_all_peaks_are_lifted_and_projected(spark, peaks):
+    d, rows = peaks
+    lift = crystal.q_lift_panels(spark, d).toPandas().set_index("peak_id")
+    back = crystal.q_project(spark, d).toPandas().set_index("peak_id")
+    assert len(lift) == len(back) == len(rows)
+    for k, _, r, c, _ in rows:
+        x, y = (-1040 + c - 0.01 * r, -512 + 0.01 * c + r) if c < 1039.5 else (4 + (c - 1040) + 0.02 * r, -512 - 0.02 * (c - 1040) + r)
+        assert lift.loc[k].tolist() == pytest.approx(lifted(x, y), abs=1e-6)
+        on = 0 <= r <= 2075 and (0 <= c <= 1039 or 1040 <= c <= 2079)
+        assert back.loc[k].tolist() == pytest.approx([r, c], abs=1e-3) if on else back.loc[k].isna().all()
