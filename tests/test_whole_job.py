@@ -8,7 +8,7 @@ import pytest
 from lumenframe.functions import lattice
 from lumenframe.functions.geometry import q_max
 from lumenframe.operators import indexing
-from lumenframe.plans import crystal
+from lumenframe.plans import crystal, kernels
 
 CELL = lattice.Cell(21.0, 27.0, 33.0, math.radians(90), math.radians(105), math.radians(90))
 
@@ -86,3 +86,14 @@ def test_all_peaks_are_lifted_and_projected(spark, peaks):
         assert lift.loc[k].tolist() == pytest.approx(lifted(x, y), abs=1e-6)
         on = 0 <= r <= 2075 and (0 <= c <= 1039 or 1040 <= c <= 2079)
         assert back.loc[k].tolist() == pytest.approx([r, c], abs=1e-3) if on else back.loc[k].isna().all()
+
+
+def test_refinement_searches_by_the_default_rule(spark, run, monkeypatch):
+    d, mats = run
+    asked = []
+    monkeypatch.setattr(indexing, "index_frames", lambda p, cell=None, rule=indexing.SearchRule(): asked.append((p, rule)) or p.selectExpr("frame_index", "1 AS n_peaks", "1 AS n_indexed", "0D AS rmsd"))
+    kernels.seed_refine(spark, d)
+    p, rule = asked[0]
+    got = p.toPandas()
+    assert rule == indexing.SearchRule()
+    assert np.linalg.norm(got[["qx", "qy", "qz"]].to_numpy(), axis=1).max() > 0.5 and set(got.frame_index) == set(mats)
