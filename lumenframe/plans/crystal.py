@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry, lattice, scoring
 from lumenframe.functions.geometry import Detector, Panel
-from lumenframe.operators import noise, reflections as refl
+from lumenframe.operators import indexing, noise, reflections as refl
 from lumenframe.plans import detector as images
 from lumenframe.plans.detector import rounded
-from lumenframe.session import table
+from lumenframe.session import spread, table
 from lumenframe.sinks import tables as out_tables
 from lumenframe.sources import frames as src
 from lumenframe.sources.geom import split_lines
@@ -223,23 +225,32 @@ def topk_seed_peaks(spark, d):
     return p.withColumn("r", F.row_number().over(w)).where("r <= 80").select("frame_index", "peak_id")
 
 
+#: How many directions the SQL tries; the query tries those of ``SEARCH``.
 DIRECTIONS = 40
+SEARCH = indexing.SearchRule()
 
 
 def seed_fitness(spark, d):
-    """The best of some directions of the hemisphere per frame: mean cosine of the peaks along it."""
-    n, golden = DIRECTIONS, 2.399963229728653
-    z = (F.col("id") + 0.5) / n
-    rad = F.sqrt(1.0 - z * z)
-    dirs = spark.range(n).select(F.col("id").alias("dir"), (rad * F.cos(F.col("id") * golden)).alias("dx"), (rad * F.sin(F.col("id") * golden)).alias("dy"), z.alias("dz"))
+    """The best direction of the hemisphere per frame: mean cosine of the strongest peaks along it."""
     w = Window.partitionBy("frame_index").orderBy(F.col("intensity").desc(), "peak_id")
-    p = _peaks(spark, d).where("intensity IS NOT NULL AND NOT isnan(intensity)").withColumn("r", F.row_number().over(w)).where("r <= 80")
+    p = _peaks(spark, d).where("intensity IS NOT NULL AND NOT isnan(intensity)").withColumn("r", F.row_number().over(w)).where(F.col("r") <= SEARCH.seed_peaks)
     q = geometry.detector_to_q(F.col("row"), F.col("col"), DET)
-    p = p.select("frame_index", *[c.alias(k) for c, k in zip(q, ("qx", "qy", "qz"), strict=True)])
-    both = p.join(F.broadcast(dirs))  # the directions are a parameter, 40 rows
-    phase = F.lit(6.283185307179586 * 48.31) * (F.col("qx") * F.col("dx") + F.col("qy") * F.col("dy") + F.col("qz") * F.col("dz"))
-    fit = both.groupBy("frame_index", "dir").agg(F.round(F.avg(F.cos(phase)), 6).alias("fitness"))
-    return fit.groupBy("frame_index").agg(F.max("fitness").alias("fitness"), F.count(F.lit(1)).alias("n"))
+    per = spread(p.select("frame_index", *[F.coalesce(c, F.lit(float("nan"))).alias(k) for c, k in zip(q, ("qx", "qy", "qz"), strict=True)]), "frame_index")
+    per = per.groupBy("frame_index").agg(F.sort_array(F.collect_list(F.struct("qx", "qy", "qz"))).alias("q"))
+    per = per.select("frame_index", *[F.col(f"q.{k}").alias(k) for k in ("qx", "qy", "qz")])
+    rule = SEARCH
+
+    def kernel(batches):
+        for b in batches:
+            out = []
+            for f, *v in zip(b["frame_index"], b["qx"], b["qy"], b["qz"], strict=True):
+                at = np.stack([np.asarray(x, float) for x in v], axis=1)
+                at = at[np.isfinite(at).all(axis=1)]
+                dirs, fit = indexing.axis_fitness(at, 48.31, None, rule)
+                out.append((int(f), float(fit.max()) if len(at) else None, len(dirs)))
+            yield pd.DataFrame(out, columns=["frame_index", "fitness", "n"]).astype({"fitness": float})
+
+    return rounded(per.mapInPandas(kernel, "frame_index long, fitness double, n long"), 6)
 
 
 def accept_rank(spark, d):

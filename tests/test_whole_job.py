@@ -97,3 +97,15 @@ def test_refinement_searches_by_the_default_rule(spark, run, monkeypatch):
     got = p.toPandas()
     assert rule == indexing.SearchRule()
     assert np.linalg.norm(got[["qx", "qy", "qz"]].to_numpy(), axis=1).max() > 0.5 and set(got.frame_index) == set(mats)
+
+
+def test_fitness_is_that_of_the_best_of_all_directions(spark, peaks):
+    d, rows = peaks
+    got = crystal.seed_fitness(spark, d).toPandas().set_index("frame_index")
+    for f, n in ((7, 6000), (8, 12000)):  # fewer than 30 peaks are tried along twice as many
+        q = np.array([lifted(c - 1040, r - 512) for _, g, r, c, _ in rows if g == f])
+        z = (np.arange(n) + 0.5) / n
+        phi = np.arange(n) * 2.399963229728653
+        dirs = np.stack([np.sqrt(1 - z * z) * np.cos(phi), np.sqrt(1 - z * z) * np.sin(phi), z], axis=1)
+        fit = np.cos(2 * math.pi * 48.31 * (dirs @ q.T)).mean(axis=1)
+        assert got.loc[f, "n"] == n and got.loc[f, "fitness"] == pytest.approx(fit.max(), abs=2e-6)
