@@ -337,7 +337,7 @@ def assemble_panels(spark, d):
 def assemble_physical(spark, d):
     """A gap between the tiles and a quarter turn of the second."""
     tiles = [Panel("t0", 0, 3, 0, 7, -6.0, -4.0), Panel("t1", 4, 7, 0, 7, 2.0, 3.0, 0.0, -1.0, 1.0, 0.0)]
-    return rounded(src.assemble_physical(images.seed(spark, d), tiles))
+    return rounded(src.assemble_physical(images.pixels(spark, d), tiles))
 
 
 def radial_profile(spark, d):

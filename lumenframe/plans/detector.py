@@ -45,15 +45,15 @@ def whitened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_pixel_stats(spark, d):
-    return rounded(noise.pixel_stats(seed(spark, d)))
+    return rounded(noise.pixel_stats(pixels(spark, d)))
 
 
 def noise_radial(spark, d):
-    return rounded(noise.radial_stats(seed(spark, d), H, W))
+    return rounded(noise.radial_stats(pixels(spark, d), H, W))
 
 
 def noise_panel(spark, d):
-    return rounded(noise.panel_stats(seed(spark, d), TILES))
+    return rounded(noise.panel_stats(pixels(spark, d), TILES))
 
 
 def noise_robust_fold(spark, d):
@@ -73,7 +73,7 @@ def noise_dead_mask(spark, d):
 
 
 def noise_running(spark, d):
-    return rounded(noise.running_stats(seed(spark, d)))
+    return rounded(noise.running_stats(pixels(spark, d)))
 
 
 def noise_drift(spark, d):

@@ -8,7 +8,7 @@ import pytest
 from lumenframe.functions import lattice
 from lumenframe.functions.geometry import q_max
 from lumenframe.operators import indexing
-from lumenframe.plans import crystal, kernels
+from lumenframe.plans import crystal, detector, kernels
 
 CELL = lattice.Cell(21.0, 27.0, 33.0, math.radians(90), math.radians(105), math.radians(90))
 
@@ -109,3 +109,27 @@ def test_fitness_is_that_of_the_best_of_all_directions(spark, peaks):
         dirs = np.stack([np.sqrt(1 - z * z) * np.cos(phi), np.sqrt(1 - z * z) * np.sin(phi), z], axis=1)
         fit = np.cos(2 * math.pi * 48.31 * (dirs @ q.T)).mean(axis=1)
         assert got.loc[f, "n"] == n and got.loc[f, "fitness"] == pytest.approx(fit.max(), abs=2e-6)
+
+
+def test_noise_and_assembly_take_all_frames(spark, tmp_path):
+    n, d = 40, str(tmp_path)
+    e = np.random.default_rng(6).normal(0, 1, (n, 64)).astype(np.float32)
+    spark.createDataFrame([(k, e[k].tolist()) for k in range(n)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    px = 100 + 80 * e.astype(float).reshape(n, 8, 8)
+    put = crystal.assemble_physical(spark, d).toPandas()
+    assert put.groupby("frame_index").size().to_dict() == {k: 64 for k in range(n)}
+    assert np.allclose(np.sort(put.adu), np.sort(px.ravel()), atol=1e-4)
+    run = detector.noise_running(spark, d).toPandas()
+    assert len(run) == px.size
+    last = run[run.frame_index == n - 1].sort_values(["row", "col"])
+    every = detector.noise_pixel_stats(spark, d).toPandas().sort_values(["row", "col"])
+    for got in (last, every):
+        assert (got.n == n).all() and np.allclose(got["mean"], px.mean(axis=0).ravel(), atol=1e-4) and np.allclose(got["var"], px.var(axis=0, ddof=1).ravel(), atol=1e-3)
+    panel = detector.noise_panel(spark, d).toPandas().set_index("panel")
+    assert (panel.n == n).all() and panel.loc["t0", "mean"] == pytest.approx(px[:, :, :4].mean(), abs=1e-4)
+    radial = detector.noise_radial(spark, d).toPandas()
+    rr, cc = np.mgrid[0:8, 0:8]
+    bins = (np.hypot(rr - 3.5, cc - 3.5) / 2).astype(int)
+    assert (radial.n == n).all()
+    for r in radial.itertuples():
+        assert r.mean == pytest.approx(px[:, bins == r.bin].mean(), abs=1e-4)
