@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def find_orphans(
     entities: Mapping[str, Entity],
     keys: Sequence[ForeignKey],
     fold=folded,
-    max_rounds: int = 64,
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """Orphan references: ``table, row, period, reference, kind, level``.
 
@@ -88,8 +89,8 @@ def find_orphans(
     with the key, 'deleted' if all its rows there are withdrawn, otherwise 'late' if the earliest
     of them arrived after the referring row itself. A row that refers to a record all of whose rows
     are missing- or deleted-orphans is an orphan too, of kind 'inherited', at one level more; this
-    repeats down the graph (cycles included) until a round finds no new rows, at the latest after
-    ``max_rounds``. 'late' is not inherited: the parent is there by now. A row that is a direct
+    repeats down the graph (cycles included) until a round finds no new rows; with ``max_rounds`` it
+    is an error if there are new ones still. 'late' is not inherited: the parent is there by now. A row that is a direct
     orphan of a reference is not reported as inherited. Copies of a row give one report row.
 
     NULL references are no case, NULL parent keys match nothing, an empty parent makes every
@@ -111,7 +112,7 @@ def find_orphans(
         return result
     result = cut(result)
     frontier = result.where(F.col("kind").isin("missing", "deleted"))
-    for level in range(1, max_rounds + 1):
+    for level in count(1):
         step = []
         for fk in keys:
             parent, child = entities[fk.parent], entities[fk.child]
@@ -134,6 +135,8 @@ def find_orphans(
         frontier = cut(reduce(DataFrame.unionByName, step).distinct().join(known, ["table", "row", "reference"], "left_anti"))
         if frontier.isEmpty():
             break
+        if max_rounds is not None and level > max_rounds:
+            raise RuntimeError(f"rows are still orphaned after {max_rounds} rounds")
         result = cut(result.unionByName(frontier))
     return result
 

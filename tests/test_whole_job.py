@@ -1,5 +1,6 @@
 """Registered queries over small tables of their own: nothing of the job is left out."""
 
+import inspect
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from lumenframe.functions import lattice
 from lumenframe.functions.geometry import q_max
 from lumenframe.operators import indexing
+from lumenframe.operators.orphans import Entity, ForeignKey, find_orphans
 from lumenframe.plans import crystal, detector, kernels
 
 CELL = lattice.Cell(21.0, 27.0, 33.0, math.radians(90), math.radians(105), math.radians(90))
@@ -133,3 +135,14 @@ def test_noise_and_assembly_take_all_frames(spark, tmp_path):
     assert (radial.n == n).all()
     for r in radial.itertuples():
         assert r.mean == pytest.approx(px[:, bins == r.bin].mean(), abs=1e-4)
+
+
+def test_orphans_are_followed_to_the_end(spark):
+    rows = [(k, k - 1) for k in range(1, 7)]  # row 1 refers to a row 0 that is not there
+    e = {"t": Entity(spark.createDataFrame(rows, "k long, up long"), "k")}
+    fk = [ForeignKey("t", "up", "t", "k")]
+    assert sorted((r["row"], r["level"]) for r in find_orphans(e, fk).collect()) == [(str(k), k - 1) for k in range(1, 7)]
+    assert find_orphans(e, fk, max_rounds=5).count() == 6
+    with pytest.raises(RuntimeError):
+        find_orphans(e, fk, max_rounds=3)
+    assert inspect.signature(find_orphans).parameters["max_rounds"].default is None
