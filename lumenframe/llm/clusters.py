@@ -30,7 +30,7 @@ class CellRule:
     angle: float = 3.0
     inflation: float = 2.0
     prune: float = 1e-3
-    settle: float = 1e-2
+    settle: float = 1e-3
     max_rounds: int = 24
     max_splits: int = 48
 
@@ -203,7 +203,8 @@ def markov_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataF
     for ``size`` records, which lumps the matrix of all records exactly if its records have the same
     links. Squaring is a join of the table with itself on the inner index and a sum per (i, j);
     inflation and pruning follow per column. Rounds are checkpointed and end when no column is
-    unrestful by more than ``settle``; that figure is observed while the round is written. A column's attractor is its largest entry (then the smallest node); ``flow``
+    unrestful by more than ``settle``; that figure is observed while the round is written; it is an
+    error if the last round has not settled. A column's attractor is its largest entry (then the smallest node); ``flow``
     is what a node receives from all records. Nodes without links attract themselves.
     """
     loops = nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("sim"))
@@ -222,6 +223,8 @@ def markov_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataF
         m = cut(fresh.observe(seen, F.max("unrest").alias("unrest"))).drop("unrest")
         if (seen.get["unrest"] or 0.0) <= rule.settle:
             break
+    else:
+        raise RuntimeError(f"the flow has not settled after {rule.max_rounds} rounds")
     attractor = m.groupBy("j").agg(F.max(F.struct("v", (-F.col("i")).alias("neg"))).alias("best")).select(F.col("j").alias("node"), (-F.col("best.neg")).alias("attractor"))
     flow = m.join(nodes.select(F.col("node").alias("j"), "size"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("size")).alias("flow"))
     return nodes.select("node", "size").join(attractor, "node", "left").join(flow.withColumnRenamed("i", "node"), "node", "left").select(
