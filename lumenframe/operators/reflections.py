@@ -27,17 +27,22 @@ def inverse_rows(name: str) -> list[list[Column]]:
     return [[cof(c, r) / det for c in range(3)] for r in range(3)]
 
 
+def index_bounds(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
+    """``crystals`` with ``h, k, l``: the largest index in each direction that the resolution sphere can
+    hold, at least 1; it follows from the rows of the inverse matrix."""
+    bound = [F.greatest(F.ceil(F.lit(q_max) * F.sqrt(sum((x * x for x in row[1:]), row[0] * row[0]))), F.lit(1)).cast("int") for row in inverse_rows(a)]
+    return crystals.select("*", *[b.alias(n) for n, b in zip("hkl", bound, strict=True)])
+
+
 def enumerate_hkl(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
-    """``crystals`` with ``h, k, l``: every index triple the resolution sphere can hold, without 0 0 0.
+    """``crystals`` with ``h, k, l``: every index triple within ``index_bounds``, without 0 0 0.
 
-    The bound on each index follows from the rows of the inverse matrix.
+    For grids that are wanted whole; prediction solves for the shell instead (``shell_hkl``).
     """
-    inv = inverse_rows(a)
-    bound = [F.greatest(F.ceil(F.lit(q_max) * F.sqrt(sum((x * x for x in row[1:]), row[0] * row[0]))), F.lit(1)).cast("int") for row in inv]
-    out = spread(crystals, a).select("*", *[b.alias(f"__m{k}") for k, b in enumerate(bound)])
-    for k, name in enumerate("hkl"):
-        out = out.withColumn(name, F.explode(F.sequence(-F.col(f"__m{k}"), F.col(f"__m{k}"))))
-    return out.drop("__m0", "__m1", "__m2").where("NOT (h = 0 AND k = 0 AND l = 0)")
+    out = index_bounds(spread(crystals, a), q_max, a)
+    for name in "hkl":
+        out = out.withColumn(name, F.explode(F.sequence(-F.col(name), F.col(name))))
+    return out.where("NOT (h = 0 AND k = 0 AND l = 0)")
 
 
 #: Bits and offset of an index in a packed triple.

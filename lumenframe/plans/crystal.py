@@ -20,8 +20,6 @@ from lumenframe.sources.geom import split_lines
 DET = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0)
 TILTED = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0, (Panel("west", 0, 1039, 0, 2075, -1040.0, -512.0, 1.0, 0.01, -0.01, 1.0), Panel("east", 1040, 2079, 0, 2075, 4.0, -512.0, 1.0, -0.02, 0.02, 1.0)))
 SHAPE = (1024, 2080)
-#: What the SQL of prediction reaches to; the queries go to the detector's ``_limits``.
-Q_MAX = 0.05
 
 
 def _peaks(spark, d):
@@ -142,8 +140,11 @@ def rotation(spark, d):
 
 
 def hkl_enumerate(spark, d):
-    g = refl.enumerate_hkl(_crystals(spark, d), _limits(spark, d)[0])
-    return g.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h"), F.max("k").alias("k"), F.max("l").alias("l"))
+    """Size and bounds of each frame's grid of indices. The grid is symmetric and whole, so both follow
+    from the bounds; it is never laid out."""
+    g = refl.index_bounds(_crystals(spark, d), _limits(spark, d)[0])
+    n = (2 * F.col("h").cast("long") + 1) * (2 * F.col("k").cast("long") + 1) * (2 * F.col("l").cast("long") + 1) - 1
+    return g.select("frame_index", n.alias("n"), "h", "k", "l")
 
 
 def hkl_absences(spark, d):
@@ -225,8 +226,6 @@ def topk_seed_peaks(spark, d):
     return p.withColumn("r", F.row_number().over(w)).where("r <= 80").select("frame_index", "peak_id")
 
 
-#: How many directions the SQL tries; the query tries those of ``SEARCH``.
-DIRECTIONS = 40
 SEARCH = indexing.SearchRule()
 
 
@@ -393,9 +392,10 @@ def _lift(x: str, y: str, source: str) -> str:
 
 
 FLAT = f"{PK}, l AS {_lift('(col - 1040.0)', '(row - 512.0)', 'pk').replace('  SELECT', ', q AS (SELECT', 1)})"
-WEST = "col < 1039.5"
-TILT_X = f"(CASE WHEN {WEST} THEN -1040.0 + col - 0.01 * row ELSE 4.0 + (col - 1040.0) + 0.02 * row END)"
-TILT_Y = f"(CASE WHEN {WEST} THEN -512.0 + 0.01 * col + row ELSE -512.0 - 0.02 * (col - 1040.0) + row END)"
+_DOWN = "row >= -0.5 AND row < 2075.5"
+WEST, EAST = f"{_DOWN} AND col >= -0.5 AND col < 1039.5", f"{_DOWN} AND col >= 1039.5 AND col < 2079.5"
+TILT_X = f"(CASE WHEN {WEST} THEN -1040.0 + col - 0.01 * row WHEN {EAST} THEN 4.0 + (col - 1040.0) + 0.02 * row ELSE col - 1040.0 END)"
+TILT_Y = f"(CASE WHEN {WEST} THEN -512.0 + 0.01 * col + row WHEN {EAST} THEN -512.0 - 0.02 * (col - 1040.0) + row ELSE row - 512.0 END)"
 TILT = f"{PK}, l AS {_lift(TILT_X, TILT_Y, 'pk').replace('  SELECT', ', q AS (SELECT', 1)})"
 EV = "ev AS (SELECT DISTINCT frame_id, frame_index, filename, event FROM frames)"
 RANGES = f"""{EV}, fi AS (SELECT filename, count(*) AS n, row_number() OVER (ORDER BY filename) - 1 AS pos FROM ev GROUP BY 1),
@@ -416,15 +416,27 @@ def _cof(r: int, c: int) -> str:
 INVERSE = CRYSTALS + f", dt AS (SELECT *, m00 * {_cof(0, 0)} + m01 * {_cof(0, 1)} + m02 * {_cof(0, 2)} AS det FROM xt), iv AS (SELECT *, " + ", ".join(
     f"{_cof(c, r)} / det AS i{r}{c}" for r in range(3) for c in range(3)
 ) + " FROM dt)"
-GRID = INVERSE + ", bd AS (SELECT *, " + ", ".join(
-    f"CAST(greatest(ceil({Q_MAX}::DOUBLE * sqrt(i{r}0 * i{r}0 + i{r}1 * i{r}1 + i{r}2 * i{r}2)), 1) AS INTEGER) AS n{r}" for r in range(3)
-) + " FROM iv), hk AS (SELECT * FROM (SELECT *, unnest(range(-n2, n2 + 1))::INTEGER AS l FROM (SELECT *, unnest(range(-n1, n1 + 1))::INTEGER AS k FROM (SELECT *, unnest(range(-n0, n0 + 1))::INTEGER AS h FROM bd))) WHERE NOT (h = 0 AND k = 0 AND l = 0))"
-PREDICTED = GRID + f""", qq AS (SELECT frame_index, h, k, l, {", ".join(f"m{r}0 * h + m{r}1 * k + m{r}2 * l AS q{x}" for r, x in enumerate("xyz"))} FROM hk),
+#: The detector that holds all panels, its largest q, and each frame's bounds of the indices.
+LIMITS = """lm AS (SELECT greatest(1024, max(max_ss) + 1) AS hh, greatest(2080, max(max_fs) + 1) AS ww FROM panels),
+qm AS (SELECT any_value(hh) AS hh, any_value(ww) AS ww, max(2.0 * sin(atan2(sqrt((c - 1040.0) * (c - 1040.0) + (r - 512.0) * (r - 512.0)) * 75e-6, 0.1) / 2.0) / 1.3) AS q_max
+  FROM (SELECT hh, ww, unnest([0, 0, ww - 1, ww - 1]) AS c, unnest([0, hh - 1, 0, hh - 1]) AS r FROM lm))"""
+BOUNDS = INVERSE + f", {LIMITS}, bd AS (SELECT *, " + ", ".join(f"CAST(greatest(ceil(q_max * sqrt(i{r}0 * i{r}0 + i{r}1 * i{r}1 + i{r}2 * i{r}2)), 1) AS INTEGER) AS n{r}" for r in range(3)) + " FROM iv, qm)"
+#: For each h and k the places l where the line of indices passes through the shell about the Ewald sphere,
+#: as wide as its widest tolerance; then the tolerance itself.
+SHELL = BOUNDS + f""", hk AS (SELECT *, unnest(range(-n1, n1 + 1))::INTEGER AS k FROM (SELECT *, unnest(range(-n0, n0 + 1))::INTEGER AS h FROM bd)),
+ln AS (SELECT *, {", ".join(f"1.3 * (m{r}0 * h + m{r}1 * k){' + 1.0' if r == 2 else ''} AS s{r}, 1.3 * m{r}2 AS v{r}" for r in range(3))},
+  greatest(1.95 * (5e-5 + 0.0015 * q_max), 5e-4) + 1e-6 AS tol FROM hk),
+rt AS (SELECT *, v0 * v0 + v1 * v1 + v2 * v2 AS vv, -(s0 * v0 + s1 * v1 + s2 * v2) / (v0 * v0 + v1 * v1 + v2 * v2) AS mid FROM ln),
+ro AS (SELECT *, ((1.0 + tol) * (1.0 + tol) - s0 * s0 - s1 * s1 - s2 * s2) / vv + mid * mid AS out2, ((1.0 - tol) * (1.0 - tol) - s0 * s0 - s1 * s1 - s2 * s2) / vv + mid * mid AS in2 FROM rt),
+sl AS (SELECT *, sqrt(out2) + 1e-6 AS far, sqrt(greatest(in2, 0.0)) - 1e-6 AS near FROM ro WHERE out2 >= 0),
+hl AS (SELECT frame_index, {", ".join(_M)}, h, k, q_max, hh, ww, unnest(list_distinct(list_concat(
+  range(greatest(ceil(mid - far), -n2)::BIGINT, least(floor(mid - near), n2)::BIGINT + 1), range(greatest(ceil(mid + near), -n2)::BIGINT, least(floor(mid + far), n2)::BIGINT + 1))))::INTEGER AS l FROM sl)"""
+PREDICTED = SHELL + f""", qq AS (SELECT frame_index, h, k, l, q_max, hh, ww, {", ".join(f"m{r}0 * h + m{r}1 * k + m{r}2 * l AS q{x}" for r, x in enumerate("xyz"))} FROM hl WHERE NOT (h = 0 AND k = 0 AND l = 0)),
 qn AS (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS qn, 1.3 * qz + 1.0 AS sz FROM qq),
-ex AS (SELECT *, sqrt(1.69 * qx * qx + 1.69 * qy * qy + sz * sz) - 1.0 AS excitation FROM qn WHERE qn <= {Q_MAX}),
+ex AS (SELECT *, sqrt(1.69 * qx * qx + 1.69 * qy * qy + sz * sz) - 1.0 AS excitation FROM qn WHERE qn <= q_max),
 pr AS (SELECT *, 512.0 + 1.3 * qy * (0.1 / 75e-6) / greatest(sz, 1e-30) AS row, 1040.0 + 1.3 * qx * (0.1 / 75e-6) / greatest(sz, 1e-30) AS col FROM ex
   WHERE sz > 0 AND abs(excitation) < greatest(1.3 * 1.5 * (5e-5 + 0.5 * 0.003 * qn), 5e-4)),
-pd AS (SELECT * FROM pr WHERE row BETWEEN 0 AND 1023 AND col BETWEEN 0 AND 2079)"""
+pd AS (SELECT * FROM pr WHERE row BETWEEN 0 AND hh - 1 AND col BETWEEN 0 AND ww - 1)"""
 TWOSPOTS = """ct AS (SELECT vec_id AS frame_index, 1 AS refl, 3.5 + 8.0::DOUBLE * embedding[1]::DOUBLE AS row, 3.5 + 8.0::DOUBLE * embedding[2]::DOUBLE AS col FROM embeddings
   UNION ALL SELECT vec_id, 2, 3.5 + 8.0::DOUBLE * embedding[3]::DOUBLE, 3.5 + 8.0::DOUBLE * embedding[4]::DOUBLE FROM embeddings)"""
 OWNED = f"""{TWOSPOTS}, bx AS (SELECT frame_index, refl, round_even(row, 0)::INTEGER + dr AS r, round_even(col, 0)::INTEGER + dc AS c, row, col
@@ -435,8 +447,9 @@ _J = "frame_index, row, col"
 
 ORACLE = {
     "q_lift": f"WITH {FLAT} SELECT peak_id, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM q",
-    "q_lift_panels": f"WITH {TILT} SELECT peak_id, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM q WHERE row < 1000",
-    "q_project": f"WITH {PK} SELECT peak_id, round(row, 3) AS row, round(col, 3) AS col FROM pk WHERE row BETWEEN 1 AND 1000 AND (col BETWEEN 1 AND 1030 OR col BETWEEN 1045 AND 2070)",
+    "q_lift_panels": f"WITH {TILT} SELECT peak_id, round(qx, 6) AS qx, round(qy, 6) AS qy, round(qz, 6) AS qz FROM q",
+    "q_project": f"""WITH {PK}, o AS (SELECT *, row BETWEEN 0 AND 2075 AND (col BETWEEN 0 AND 1039 OR col BETWEEN 1040 AND 2079) AS hit FROM pk)
+SELECT peak_id, round(CASE WHEN hit THEN row END, 3) AS row, round(CASE WHEN hit THEN col END, 3) AS col FROM o""",
     "q_max": "SELECT round(max(2.0 * sin(atan2(sqrt((c - 1040.0) * (c - 1040.0) + (r - 512.0) * (r - 512.0)) * 75e-6, 0.1) / 2.0) / 1.3), 9) AS q_max FROM (VALUES (0, 0), (0, 2079), (1023, 0), (1023, 2079)) AS t(r, c)",
     "flat_resolution": f"WITH {PK} SELECT peak_id, round(2.0 * sin(atan2(sqrt((col - 1040.0) * (col - 1040.0) + (row - 512.0) * (row - 512.0)) * 75e-6, 0.1) / 2.0) / 0.13, 4) AS resolution FROM pk",
     "panel_assign_first": f"WITH {PK} SELECT peak_id, coalesce(min(name), 'p0') AS panel FROM pk LEFT JOIN panels ON col BETWEEN min_fs AND max_fs AND row BETWEEN min_ss AND max_ss GROUP BY peak_id, row, col, frame_index, intensity",
@@ -459,7 +472,7 @@ SELECT frame_index, {" AND ".join(f"abs(e[{k}] - te[{k}]) <= 0.05 * te[{k}] AND
     + ", ".join(
         f"round({'1.0 - k * t2' if r == c else '0.0'} + s * ({[['0', '-z', 'y'], ['z', '0', '-x'], ['-y', 'x', '0']][r][c]}) + k * {'xyz'[r]} * {'xyz'[c]}, 6) AS r{r}{c}" for r in range(3) for c in range(3)
     ) + " FROM u",
-    "hkl_enumerate": f"WITH {GRID} SELECT frame_index, count(*) AS n, max(h) AS h, max(k) AS k, max(l) AS l FROM hk GROUP BY 1",
+    "hkl_enumerate": f"WITH {BOUNDS} SELECT frame_index, (2 * n0::BIGINT + 1) * (2 * n1::BIGINT + 1) * (2 * n2::BIGINT + 1) - 1 AS n, n0 AS h, n1 AS k, n2 AS l FROM bd",
     "hkl_absences": """WITH r AS (SELECT DISTINCT reflection_id, h, k, l FROM reflections) SELECT count(*) AS n_p, count(*) FILTER (WHERE (k + l) % 2 = 0) AS n_a, count(*) FILTER (WHERE (h + l) % 2 = 0) AS n_b,
   count(*) FILTER (WHERE (h + k) % 2 = 0) AS n_c, count(*) FILTER (WHERE (h + k + l) % 2 = 0) AS n_i, count(*) FILTER (WHERE (h + k) % 2 = 0 AND (h + l) % 2 = 0 AND (k + l) % 2 = 0) AS n_f,
   count(*) FILTER (WHERE (k + l - h) % 3 = 0) AS n_r, count(*) FILTER (WHERE (h - k) % 3 = 0) AS n_h FROM r""",
@@ -498,9 +511,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY q) - 1 AS i
 SELECT frame_index, q AS "limit" FROM o WHERE i = least(n - 1, floor(n * 0.9::DOUBLE)::BIGINT)""",
     "topk_seed_peaks": f"WITH {PK} SELECT frame_index, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY intensity DESC, peak_id) AS r FROM pk WHERE intensity IS NOT NULL AND NOT isnan(intensity)) WHERE r <= 80",
     "seed_fitness": f"""WITH {FLAT}, t AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY intensity DESC, peak_id) AS r FROM q WHERE intensity IS NOT NULL AND NOT isnan(intensity)),
-d AS (SELECT i AS dir, sqrt(1.0 - z * z) * cos(i * 2.399963229728653) AS dx, sqrt(1.0 - z * z) * sin(i * 2.399963229728653) AS dy, z AS dz FROM (SELECT i, (i + 0.5) / {DIRECTIONS}::DOUBLE AS z FROM (SELECT unnest(range(0, {DIRECTIONS})) AS i))),
-f AS (SELECT frame_index, dir, round(avg(cos({6.283185307179586 * 48.31!r}::DOUBLE * (qx * dx + qy * dy + qz * dz))), 6) AS fitness FROM t, d WHERE r <= 80 GROUP BY 1, 2)
-SELECT frame_index, max(fitness) AS fitness, count(*) AS n FROM f GROUP BY 1""",
+p AS (SELECT frame_index, {", ".join(f"list(q{x}) AS l{x}" for x in "xyz")}, CASE WHEN count(*) < 30 THEN 12000 ELSE 6000 END AS n FROM t WHERE r <= 80 GROUP BY 1),
+d AS (SELECT n, sqrt(1.0 - z * z) * cos(i * 2.399963229728653) AS dx, sqrt(1.0 - z * z) * sin(i * 2.399963229728653) AS dy, z AS dz
+  FROM (SELECT n, i, (i + 0.5) / n::DOUBLE AS z FROM (SELECT 6000 AS n, unnest(range(0, 6000)) AS i UNION ALL SELECT 12000, unnest(range(0, 12000))))),
+e AS (SELECT frame_index, n, dx, dy, dz, unnest(lx) AS qx, unnest(ly) AS qy, unnest(lz) AS qz, row_number() OVER () AS u FROM p JOIN d USING (n)),
+f AS (SELECT frame_index, n, avg(cos({6.283185307179586 * 48.31!r}::DOUBLE * (qx * dx + qy * dy + qz * dz))) AS fitness FROM e GROUP BY frame_index, n, dx, dy, dz)
+SELECT frame_index, round(max(fitness), 6) AS fitness, n FROM f GROUP BY 1, 3""",
     "accept_rank": """WITH c AS (SELECT l_orderkey AS frame_index, l_linenumber AS cand, max(l_quantity) AS soft, max(l_discount + 0.01) AS rmsd, max(l_quantity::INTEGER) AS n_indexed, bool_and(l_returnflag <> 'R') AS match FROM lineitem GROUP BY 1, 2),
 s AS (SELECT *, soft - rmsd / (greatest(max(rmsd) OVER (PARTITION BY frame_index), 1e-30) * 1000.0) AS score FROM c)
 SELECT frame_index, cand, soft FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY score DESC, cand) AS r FROM s WHERE n_indexed >= 6 AND match) WHERE r = 1""",
@@ -517,7 +533,7 @@ SELECT *, round(CASE WHEN frames > 0 THEN hits / frames::DOUBLE ELSE 0 END, 6) A
     "mask_bits": "SELECT event_id, (event_id & 4) = 4 AND (event_id & 3) = 0 AS good FROM events",
     "static_mask": f"WITH {images.PIX} SELECT row, col, adu < 110.0 AND NOT (row BETWEEN 2 AND 3 AND col BETWEEN 1 AND 2) AS valid FROM px WHERE frame_index = (SELECT min(frame_index) FROM px)",
     "assemble_panels": f"WITH {images.PIX} SELECT frame_index, row, CAST((col + 4) % 8 AS INTEGER) AS col, round(adu, 4) AS adu FROM px",
-    "assemble_physical": f"""WITH {images.SEEDED}, p AS (SELECT frame_index, adu, CASE WHEN col < 4 THEN row::DOUBLE ELSE 3.0 - (col - 4) + 4.0 END AS r, CASE WHEN col < 4 THEN col::DOUBLE ELSE 2.0 + row + 6.0 END AS c FROM sd)
+    "assemble_physical": f"""WITH {images.PIX}, p AS (SELECT frame_index, adu, CASE WHEN col < 4 THEN row::DOUBLE ELSE 3.0 - (col - 4) + 4.0 END AS r, CASE WHEN col < 4 THEN col::DOUBLE ELSE 2.0 + row + 6.0 END AS c FROM px)
 SELECT frame_index, r::INTEGER AS row, c::INTEGER AS col, round(adu, 4) AS adu FROM p""",
     "radial_profile": f"WITH {images.PIX}, t AS (SELECT CAST(floor(sqrt((row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5))) AS INTEGER) AS bin, adu FROM px) SELECT bin, bin + 0.5::DOUBLE AS radius, round(avg(adu), 4) AS mean FROM t GROUP BY 1",
     "render_scale": f"WITH {images.PIX} SELECT round(quantile_cont(adu, 0.01), 4) AS vmin, round(quantile_cont(adu, 0.995), 4) AS vmax FROM px",

@@ -222,7 +222,8 @@ QUERIES = {n: globals()[n] for n in NAMES}
 PIX = """px AS (SELECT vec_id AS frame_index, CAST((i - 1) // 8 AS INTEGER) AS row, CAST((i - 1) % 8 AS INTEGER) AS col,
   100.0::DOUBLE + 80.0::DOUBLE * CAST(embedding[i] AS DOUBLE) AS adu FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 SEEDED = f"{PIX}, sd AS (SELECT * FROM px WHERE frame_index < {SEED})"
-STATS = f"{SEEDED}, st AS (SELECT row, col, count(adu) AS n, avg(adu) AS mean, coalesce(var_samp(adu), 0) AS var FROM sd GROUP BY 1, 2)"
+OWN = "SELECT row, col, count(adu) AS n, avg(adu) AS mean, coalesce(var_samp(adu), 0) AS var FROM {t} GROUP BY 1, 2"
+STATS = f"{SEEDED}, st AS ({OWN.format(t='sd')})"
 WHITE = f"""{STATS}, wh AS (SELECT px.*, st.mean, st.var, adu - mean AS excess, (adu - mean) / sqrt(greatest(var, 1e-12)) AS z
   FROM px JOIN st USING (row, col))"""
 BIN = "CAST(floor(sqrt((row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5)) / 2.0) AS INTEGER)"
@@ -324,14 +325,14 @@ NULL = """md AS (SELECT quantile_disc(z, 0.5) AS mu0 FROM wh), nu AS (SELECT mu0
 RUN = "count(adu) OVER w AS n, avg(adu) OVER w AS mean, coalesce(var_samp(adu) OVER w, 0) AS var FROM {t} WINDOW w AS (PARTITION BY row, col ORDER BY frame_index ROWS UNBOUNDED PRECEDING)"
 
 ORACLE = {
-    "noise_pixel_stats": f"WITH {STATS} SELECT row, col, n, {_r('mean var')} FROM st",
-    "noise_radial": f"WITH {SEEDED}, t AS ({TWO.format(k='bin', e=BIN, t='sd')}) SELECT bin, n, {_r('mean var')}, pixels FROM t",
-    "noise_panel": f"WITH {SEEDED}, t AS ({TWO.format(k='panel', e=PANEL, t='sd')}) SELECT panel, n, {_r('mean var')}, pixels FROM t",
+    "noise_pixel_stats": f"WITH {PIX}, st AS ({OWN.format(t='px')}) SELECT row, col, n, {_r('mean var')} FROM st",
+    "noise_radial": f"WITH {PIX}, t AS ({TWO.format(k='bin', e=BIN, t='px')}) SELECT bin, n, {_r('mean var')}, pixels FROM t",
+    "noise_panel": f"WITH {PIX}, t AS ({TWO.format(k='panel', e=PANEL, t='px')}) SELECT panel, n, {_r('mean var')}, pixels FROM t",
     "noise_robust_fold": ROBUST,
     "noise_ewma_fold": EWMA,
     "noise_frame_mode": "SELECT user_id, 1::BIGINT AS n, round(arg_max(value, (ts, event_id)), 4) AS mean, 0.0::DOUBLE AS var FROM events WHERE value IS NOT NULL GROUP BY 1",
     "noise_dead_mask": f"WITH {PIX} SELECT row, col, coalesce(var_samp(adu), 0) > 0 AS valid FROM px WHERE frame_index < 16 GROUP BY 1, 2",
-    "noise_running": f"WITH {SEEDED}, t AS (SELECT frame_index, row, col, adu, {RUN.format(t='sd')}) SELECT frame_index, row, col, n, {_r('adu mean var')} FROM t",
+    "noise_running": f"WITH {PIX}, t AS (SELECT frame_index, row, col, adu, {RUN.format(t='px')}) SELECT frame_index, row, col, n, {_r('adu mean var')} FROM t",
     "noise_drift": f"""WITH {PIX}, t AS (SELECT row, col, {RUN.format(t="px")}), a AS (SELECT n AS step, mean, greatest(var, 1e-12) AS v, var > 0 AS ok,
   coalesce(lag(mean) OVER w, 0) AS m0, greatest(coalesce(lag(var) OVER w, 0), 1e-12) AS v0 FROM t WHERE n % 50 = 0 WINDOW w AS (PARTITION BY row, col ORDER BY n))
 SELECT step, round(coalesce(avg(abs(mean - m0)) FILTER (WHERE ok), 0), 4) AS mean_shift, round(coalesce(avg(ln(v / v0)) FILTER (WHERE ok), 0), 4) AS var_ratio_log,
