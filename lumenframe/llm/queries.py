@@ -109,7 +109,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Words and repeated words of every text."""
-    got = repetition(table(spark, d, "documents"), "doc_id", "text")
+    got = repetition(table(spark, d, "documents"), "doc_id", "text", measure_all=True)
     return got.select("doc_id", F.col("words").cast("long").alias("words"), F.col("repeated").cast("long").alias("repeated"), "high")
 
 

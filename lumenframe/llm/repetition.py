@@ -1,7 +1,9 @@
-"""Repetition inside single documents: rule statistics, and an isolation forest over them."""
+"""Repetition inside single documents: an isolation forest over rule statistics, and an exact check."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,28 +13,36 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.session import cut
-
-WORD = r"\p{L}+"
-SENTENCE_END = r"[.!?\n]+"
-FEATURES = ["repeated_share", "sentence_share", "paragraph_share", "longest_share", "sameness"]
+LETTERS = regex.compile(r"\p{L}+")
+ASCII_LETTERS = re.compile(r"[a-z]+")
+SENTENCE_END = re.compile(r"[.!?\n]+")
+FEATURES = ["triple_share", "pair_share", "sameness", "sentence_share", "paragraph_share", "top_pair_share"]
 
 
 @dataclass(frozen=True)
 class RepetitionRule:
     """``gram``: words in a run that must have occurred before. ``least_words``/``least_share``: a text
     is repetitive from that many words and that share of repeated ones on. ``trees``, ``tree_rows``:
-    size of the forest. ``fit_rows``: bound on the labelled rows of each label the forest is grown on."""
+    size of the forest. ``fit_rows``: bound on the labelled rows. ``margin``: how far the threshold is
+    lowered from the lowest labelled case towards the middle of the others. ``most_normal``: share of
+    the labelled rows that are no cases which may be proposed at most."""
 
     gram: int = 4
     least_words: int = 20
     least_share: float = 0.3
     trees: int = 100
     tree_rows: int = 256
-    fit_rows: int = 4096
+    fit_rows: int = 16384
+    margin: float = 0.25
+    most_normal: float = 0.25
     seed: int = 7
 
 
+def words_of(low: str) -> list[str]:
+    """Unbroken runs of letters of a text in lower case."""
+    return ASCII_LETTERS.findall(low) if low.isascii() else LETTERS.findall(low)
+
+
 def repeated_words(words: list[str], gram: int) -> np.ndarray:
     """Which words stand in a run of ``gram`` words that already occurred, starting earlier."""
     n = len(words)
@@ -69,24 +79,18 @@ def _unit_share(units: list[str]) -> float:
     return twice / total if total else 0.0
 
 
-def statistics(text: str | None, gram: int = 4) -> tuple[int, int, float, float, float, float, float]:
-    """Words, repeated words and the features of one text; zeros for a NULL or wordless text."""
-    if not isinstance(text, str):
-        return 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0
-    low = text.lower()
-    words = regex.findall(WORD, low)
+def statistics(low: str, words: list[str]) -> tuple[float, ...]:
+    """The features of one text: shares of word triples, of word pairs and of words (against the
+    usual number for the length) that are not new, of characters in sentences and in lines that
+    occurred before, and of words in the commonest pair. Zeros for a wordless text."""
     n = len(words)
     if not n:
-        return 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0
-    hit = repeated_words(words, gram)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-    sentences = _unit_share(regex.split(SENTENCE_END, low))
-    paragraphs = _unit_share(low.split("\n"))
-    distinct = len(set(words))
-    # Distinct words against what a text of that length usually has (their number grows as a power below 1).
-    sameness = max(0.0, 1.0 - distinct / n**0.85)
-    return n, int(hit.sum()), float(hit.mean()), sentences, paragraphs, longest / n, sameness
+        return (0.0,) * len(FEATURES)
+    pairs = Counter(zip(words, words[1:]))
+    triples = len(set(zip(words, words[1:], words[2:])))
+    sameness = max(0.0, 1.0 - len(set(words)) / n**0.85)  # distinct words grow as a power below 1
+    top = 2.0 * max(pairs.values()) / n if pairs else 0.0
+    return 1.0 - triples / max(n - 2, 1) if n > 2 else 0.0, 1.0 - len(pairs) / max(n - 1, 1) if n > 1 else 0.0, sameness, _unit_share(SENTENCE_END.split(low)), _unit_share(low.split("\n")), top
 
 
 def _depth(n: int) -> float:
@@ -144,55 +148,101 @@ class IsolationForest:
         return 2.0 ** (-(total / len(self.trees)) / max(_depth(self.size), 1e-9))
 
 
-def document_statistics(df: DataFrame, doc: str, text: str, rule: RepetitionRule = RepetitionRule()) -> DataFrame:
-    """``doc, words, repeated`` and the features, over whole texts of any length, in linear time."""
-    schema = f"doc {df.schema[doc].dataType.simpleString()}, words int, repeated int, " + ", ".join(f"{f} double" for f in FEATURES)
-    gram = rule.gram
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [statistics(t, gram) for t in b["text"]]
-            out = pd.DataFrame(got, columns=["words", "repeated", *FEATURES])
-            out.insert(0, "doc", b["doc"].to_numpy())
-            yield out
-
-    return df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInPandas(kernel, schema)
+@dataclass(frozen=True)
+class Judge:
+    """A forest and the score from which a document is proposed."""
 
+    forest: IsolationForest
+    threshold: float
 
-def repetition(df: DataFrame, doc: str, text: str, rule: RepetitionRule = RepetitionRule()) -> DataFrame:
-    """One row per document: ``doc, words, repeated``, the features, ``anomaly`` and ``high``.
 
-    ``repeated_share`` is the share of words in a run of four that already occurred, starting
-    earlier; ``sentence_share`` and ``paragraph_share`` the shares of characters in a sentence or line
-    that occurred before; ``longest_share`` the longest unbroken repeat; ``sameness`` the lack of
-    distinct words for the length. ``anomaly`` is the score of an isolation forest over these. The
-    forest is grown on a bounded, hash-ordered sample of the rows labelled normal and as many of
-    those labelled repetitive by the written rule (``least_words``, ``least_share``) as would be there
-    by their share of all rows. The threshold is calibrated on all labelled rows: the lowest score
-    of a repetitive one. ``high`` holds where the score reaches the threshold and the exact shares
-    fulfil the rule.
+def calibrate(features: np.ndarray, label: np.ndarray, rule: RepetitionRule) -> Judge:
+    """The forest of one half of the labelled rows that are no cases, and the threshold.
 
-    NULL, empty and wordless texts have zero words and are never high; short texts can have a high
-    share but no high flag. Repeated ids give a row each; an empty table gives no rows.
+    The threshold is the lowest score of a labelled case, lowered by ``margin`` of its distance to the
+    median of the other half of the others. It is never so low that more than ``most_normal`` of
+    those would be proposed: a forest that does not tell cases from others proposes none. Without a
+    labelled case only what scores above all others is proposed; without others everything is.
+    """
+    normal = np.flatnonzero(~label)
+    if not len(normal):
+        rows = features if len(features) > 1 else np.zeros((2, len(FEATURES)))
+        return Judge(IsolationForest(rows, rule.trees, rule.tree_rows, rule.seed), -np.inf)
+    grown, other = (normal[::2], normal[1::2]) if len(normal) > 3 else (normal, normal)
+    rows = features[grown] if len(grown) > 1 else np.repeat(features[grown], 2, axis=0)
+    forest = IsolationForest(rows, rule.trees, rule.tree_rows, rule.seed)
+    usual = forest.score(features[other])
+    if not label.any():
+        return Judge(forest, float(np.nextafter(usual.max(), np.inf)))
+    lowest = float(forest.score(features[label]).min())
+    wanted = lowest - rule.margin * (lowest - float(np.median(usual)))
+    floor = float(np.quantile(usual, 1.0 - rule.most_normal))
+    return Judge(forest, wanted if wanted > floor else float(np.nextafter(floor, np.inf)))
+
+
+def labelled_rows(df: DataFrame, doc: str, text: str, rule: RepetitionRule) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``fit_rows`` documents, those first by a hash of their id.
+
+    The cut-off of the hash is found from the ids alone; only the texts below it are read again. A
+    row is labelled by the written rule; texts of fewer than ``least_words`` words are none.
     """
-    stats = cut(document_statistics(df, doc, text, rule))
-    label = (F.col("words") >= rule.least_words) & (F.col("repeated") >= F.col("words") * F.lit(rule.least_share) - F.lit(1e-9))
-    share = stats.agg(F.count_if(F.col("words") >= rule.least_words).alias("n"), F.count_if(label).alias("bad")).first()
-    full = stats.where(F.col("words") >= rule.least_words).select(F.xxhash64(F.lit(rule.seed), "doc").alias("h"), label.alias("bad"), *FEATURES)
-    take = lambda x, n: x.orderBy("h", *FEATURES).limit(n).select(*FEATURES).toPandas().to_numpy(float) if n else np.empty((0, len(FEATURES)))
-    normal = take(full.where(~F.col("bad")), rule.fit_rows)
-    few = min(rule.fit_rows, int(round(len(normal) * share["bad"] / max(1, share["n"] - share["bad"]))))
-    sample = np.concatenate([normal, take(full.where("bad"), few)])
-    if len(sample) < 2:
-        sample = np.zeros((2, len(FEATURES)))
-    forest = IsolationForest(sample, rule.trees, rule.tree_rows, rule.seed)
+    h = F.xxhash64(F.lit(rule.seed), F.col(doc))
+    first = df.select(h.alias("h")).orderBy("h").limit(rule.fit_rows).agg(F.max("h")).first()[0]
+    if first is None:
+        return np.empty((0, len(FEATURES))), np.empty(0, bool)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(anomaly=forest.score(b[FEATURES].to_numpy(float)) if len(b) else [])
+            out = []
+            for t in b["text"]:
+                low = t.lower() if isinstance(t, str) else ""
+                words = words_of(low)
+                if len(words) >= rule.least_words:
+                    share = repeated_words(words, rule.gram).sum() >= rule.least_share * len(words) - 1e-9
+                    out.append((*statistics(low, words), bool(share)))
+            yield pd.DataFrame(out, columns=[*FEATURES, "bad"])
+
+    near = df.where(h <= F.lit(first)).select(F.col(text).alias("text"))
+    got = near.mapInPandas(kernel, ", ".join(f"{f} double" for f in FEATURES) + ", bad boolean").limit(rule.fit_rows).toPandas()
+    # In an order of their own, so that the forest does not depend on how the rows were spread.
+    got = got.sort_values([*FEATURES, "bad"], kind="stable").reset_index(drop=True)
+    at = np.random.default_rng(rule.seed).permutation(len(got))
+    return got[FEATURES].to_numpy(float)[at], got["bad"].to_numpy(bool)[at]
+
+
+def repetition(df: DataFrame, doc: str, text: str, rule: RepetitionRule = RepetitionRule(), measure_all: bool = False) -> DataFrame:
+    """One row per document: ``doc, words``, the features, ``anomaly``, ``proposed``, ``repeated``, ``high``.
+
+    ``anomaly`` is the score of an isolation forest over cheap rule statistics of the whole text (see
+    ``statistics``), none of which is the share that the written rule asks for. The forest is grown and
+    its threshold calibrated on a bounded sample of rows labelled by that rule (``labelled_rows``,
+    ``calibrate``). Documents that reach the threshold are ``proposed``; for these alone the exact
+    number of ``repeated`` words is counted: words in a run of ``gram`` that already occurred,
+    starting earlier. ``high`` holds for proposed documents of at least ``least_words`` words of
+    which ``least_share`` are repeated, so a document that the forest does not propose is never high.
+    ``repeated`` is NULL where it was not counted, unless ``measure_all`` asks for all.
+
+    All documents are scored in one pass without a shuffle; the model is of fixed size. NULL, empty
+    and wordless texts have zero words and are never high; short texts are not either. Repeated ids
+    give a row each; an empty table gives no rows. Other columns are not read.
+    """
+    judge = calibrate(*labelled_rows(df, doc, text, rule), rule)
+    schema = f"doc {df.schema[doc].dataType.simpleString()}, words int, " + ", ".join(f"{f} double" for f in FEATURES) + ", anomaly double, proposed boolean, repeated int, high boolean"
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields) + ", anomaly double"
-    scored = cut(stats.mapInPandas(kernel, schema))
-    threshold = scored.where(label).agg(F.min("anomaly")).first()[0]
-    high = (F.col("anomaly") >= F.lit(threshold)) & label if threshold is not None else F.lit(False)
-    return scored.withColumn("high", high).withColumnRenamed("doc", doc)
+    def read(t: str | None) -> tuple[str, list[str]]:
+        low = t.lower() if isinstance(t, str) else ""
+        return low, words_of(low)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [(len(w), statistics(low, w)) for low, w in map(read, b["text"])]  # words are not kept: texts may be long
+            n, x = np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], float).reshape(-1, len(FEATURES))
+            score = judge.forest.score(x)
+            proposed = (score >= judge.threshold) & (n >= rule.least_words)
+            repeated = [int(repeated_words(read(t)[1], rule.gram).sum()) if p or measure_all else None for t, p in zip(b["text"], proposed, strict=True)]
+            share = np.array([-1.0 if r is None else float(r) for r in repeated])
+            out = pd.DataFrame({"doc": b["doc"].to_numpy(), "words": n})
+            out[FEATURES] = x
+            yield out.assign(anomaly=score, proposed=proposed, repeated=pd.Series(repeated, dtype="Int32"), high=proposed & (share >= rule.least_share * n - 1e-9))
+
+    return df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInPandas(kernel, schema).withColumnRenamed("doc", doc)

@@ -298,7 +298,7 @@ def test_repeated_words(words, n):
     assert int(repetition.repeated_words(words, n).sum()) == brute_repeated(words, n)
 
 
-def test_repetition(spark):
+def repetitive_documents():
     rng = np.random.default_rng(0)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(500)]
     words = lambda n: [vocabulary[k] for k in rng.integers(0, 500, n)]
@@ -313,12 +313,40 @@ def test_repetition(spark):
             high.add(k)
         rows.append((k, " ".join(x.upper() if k % 2 and i % 3 else x for i, x in enumerate(w))))
     rows += [(1000, None), (1001, ""), (1002, "  \n "), (1003, "12 34 !!"), (1004, "spam egg " * 200000), (1005, "a b c d a b c d")]
+    return rows, high
+
+
+def test_repetition(spark):
+    rows, high = repetitive_documents()
     df = spark.createDataFrame(rows, "doc long, text string").withColumn("words", F.lit(3))
-    got = repetition.repetition(df, "doc", "text").toPandas().set_index("doc")
+    got = repetition.repetition(df, "doc", "text", measure_all=True).toPandas().set_index("doc")
     assert set(got.index[got.high]) == high | {1004}
-    assert got.loc[[1000, 1001, 1002, 1003], "words"].sum() == 0 and got.loc[1005, "repeated_share"] == 0.5
+    assert got.loc[[1000, 1001, 1002, 1003], "words"].sum() == 0 and got.loc[1005, "repeated"] == 4
+    assert all(brute_repeated(t.lower().split()) == got.loc[k, "repeated"] for k, t in rows[:400])
     assert got.loc[sorted(high), "anomaly"].mean() > got.loc[~got.high, "anomaly"].mean() + 0.1
+    few = repetition.repetition(df.repartition(5), "doc", "text").toPandas().set_index("doc")
+    assert set(few.index[few.high]) == high | {1004} and (few["repeated"].isna() == ~few["proposed"]).all()
+    assert few["proposed"].sum() < 0.6 * len(few)
     assert repetition.repetition(df.limit(0), "doc", "text").count() == 0
+    assert repetition.repetition(df.where("doc >= 1000 AND doc <> 1004"), "doc", "text").where("high").count() == 0
+
+
+def test_the_forest_decides_which_documents_are_repetitive(spark, monkeypatch):
+    rows, high = repetitive_documents()
+    df = spark.createDataFrame(rows, "doc long, text string")
+    x, label = repetition.labelled_rows(df, "doc", "text", repetition.RepetitionRule())
+    assert label.sum() == len(high) + 1
+    monkeypatch.setattr(repetition.IsolationForest, "score", lambda self, x: np.full(len(x), 0.5))
+    assert repetition.calibrate(x, label, repetition.RepetitionRule()).threshold > 0.5  # a forest that tells nothing proposes nothing
+    monkeypatch.undo()
+    rng = np.random.default_rng(3)
+    half = rng.random(len(label)) < 0.5
+    judge = repetition.calibrate(x[half], label[half], repetition.RepetitionRule())
+    proposed = judge.forest.score(x[~half]) >= judge.threshold
+    assert proposed[label[~half]].mean() >= 0.9 and proposed[~label[~half]].mean() <= 0.3
+    blind = repetition.Judge(judge.forest, 2.0)
+    monkeypatch.setattr(repetition, "calibrate", lambda *a: blind)
+    assert repetition.repetition(df, "doc", "text").where("high").count() == 0
 
 
 def test_forest_finds_planted_rows():
