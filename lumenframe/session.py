@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written in the shared folder, and read it back.
+
+    For loops that join a table with itself: a checkpoint hands the estimated size of its plan on, and
+    a self-join squares that estimate, so that after some twenty rounds planning multiplies numbers
+    of millions of digits. A written table is as large as its files are.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash ``df`` to a stated number of partitions before a step that is heavy for its bytes.
 

@@ -8,7 +8,6 @@ import pytest
 
 from lumenframe.functions import lattice
 from lumenframe.functions.geometry import q_max
-from lumenframe.llm import clusters
 from lumenframe.operators import indexing
 from lumenframe.operators.orphans import Entity, ForeignKey, find_orphans
 from lumenframe.plans import crystal, detector, kernels
@@ -147,12 +146,3 @@ def test_orphans_are_followed_to_the_end(spark):
     with pytest.raises(RuntimeError):
         find_orphans(e, fk, max_rounds=3)
     assert inspect.signature(find_orphans).parameters["max_rounds"].default is None
-
-
-def test_flows_that_have_not_settled_are_an_error(spark):
-    nodes = spark.createDataFrame([(k, 1) for k in range(6)], "node long, size long")
-    links = spark.createDataFrame([(k, k + 1, 0.3 + 0.1 * k) for k in range(5)], "a long, b long, dist double")
-    assert clusters.CellRule().settle == 1e-3
-    assert clusters.markov_clusters(nodes, links, clusters.CellRule()).count() == 6
-    with pytest.raises(RuntimeError):
-        clusters.markov_clusters(nodes, links, clusters.CellRule(max_rounds=1))
