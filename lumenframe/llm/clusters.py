@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import permutations, product
 
 import numpy as np
@@ -11,9 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.components import connected_components
 from lumenframe.operators.positions import consecutive_pairs
-from lumenframe.session import cut
+from lumenframe.session import cut, written
 
 #: Orders of the axes, each with the angles to turn into 180 degrees minus themselves: reversing one
 #: axis turns the two angles it takes part in, so an even number of the three is turned.
@@ -24,14 +23,17 @@ HALF_TURN = 180.0
 
 @dataclass(frozen=True)
 class CellRule:
-    """Tolerances of two alike cells, and the parameters of the clustering."""
+    """Tolerances of two alike cells, and the parameters of the clustering: entries of a column within
+    ``same`` of its largest are equals. Rounds, levels and splits beyond their bounds are errors."""
 
     edge: float = 0.05
     angle: float = 3.0
     inflation: float = 2.0
     prune: float = 1e-3
     settle: float = 1e-3
-    max_rounds: int = 24
+    same: float = 0.02
+    max_rounds: int = 48
+    max_levels: int = 16
     max_splits: int = 48
 
     @property
@@ -196,16 +198,28 @@ def _stochastic(m: DataFrame, rule: CellRule, unrest: bool = False) -> DataFrame
     return out.select("i", "j", share, (F.col("top") / F.col("total") - F.col("squares") / (F.col("total") * F.col("total"))).alias("unrest")) if unrest else out.select("i", "j", share)
 
 
+def _round(m: DataFrame, rule: CellRule) -> DataFrame:
+    """The flow matrix squared, inflated, pruned and made stochastic again, with each column's unrest:
+    its largest entry less the sum of squares, 0 once its entries are equal."""
+    left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("v1")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("v2"))
+    squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
+    return _stochastic(squared.withColumn("v", F.pow("v", F.lit(rule.inflation))), rule, unrest=True)
+
+
 def markov_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataFrame:
     """``node, size, attractor, flow``: Markov clustering of the linked nodes.
 
     The flow matrix is a table (i, j, v), v the flow from j to i, columns summing to 1. A node stands
     for ``size`` records, which lumps the matrix of all records exactly if its records have the same
     links. Squaring is a join of the table with itself on the inner index and a sum per (i, j);
-    inflation and pruning follow per column. Rounds are checkpointed and end when no column is
-    unrestful by more than ``settle``; that figure is observed while the round is written; it is an
-    error if the last round has not settled. A column's attractor is its largest entry (then the smallest node); ``flow``
-    is what a node receives from all records. Nodes without links attract themselves.
+    inflation and pruning follow per column. Every second round is a written table, and rounds end when no
+    column is unrestful by more than ``settle``; that figure is observed while the round is written;
+    it is an error if the last round has not settled. A column's attractor is its largest entry, of
+    equals (which feed each other) the smallest node; ``flow`` is what a node receives from all
+    records. Nodes without links attract themselves.
+
+    No column grows with the records: boxes are of the tolerance's size, so a box has a bounded
+    number of neighbours, and pruning bounds what squaring adds.
     """
     loops = nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("sim"))
     near = F.exp(-F.col("dist") * F.col("dist"))
@@ -213,25 +227,47 @@ def markov_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataF
     linked = both.select(F.col("i").alias("node")).distinct()
     graph = both.unionByName(loops.join(linked, F.col("i") == F.col("node"), "left_semi"))
     sizes = nodes.select(F.col("node").alias("i"), "size")
-    m = cut(_stochastic(graph.join(sizes, "i").select("i", "j", (F.col("sim") * F.col("size")).alias("v")), rule))
-    for turn in range(rule.max_rounds):
-        left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("v1")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("v2"))
-        squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-        # The unrest of a column is its largest entry less the sum of squares: 0 once its entries are equal.
-        fresh = _stochastic(squared.withColumn("v", F.pow("v", F.lit(rule.inflation))), rule, unrest=True)
+    m = written(_stochastic(graph.join(sizes, "i").select("i", "j", (F.col("sim") * F.col("size")).alias("v")), rule))
+    for turn in range(0, rule.max_rounds, 2):
+        # Two rounds are one job: most rounds are small, and a job costs more than they do.
         seen = Observation(f"unrest_{turn}")
-        m = cut(fresh.observe(seen, F.max("unrest").alias("unrest"))).drop("unrest")
+        fresh = _round(_round(m, rule).drop("unrest"), rule)
+        m = written(fresh.observe(seen, F.max("unrest").alias("unrest"))).drop("unrest")
         if (seen.get["unrest"] or 0.0) <= rule.settle:
             break
     else:
         raise RuntimeError(f"the flow has not settled after {rule.max_rounds} rounds")
-    attractor = m.groupBy("j").agg(F.max(F.struct("v", (-F.col("i")).alias("neg"))).alias("best")).select(F.col("j").alias("node"), (-F.col("best.neg")).alias("attractor"))
+    top = m.groupBy("j").agg(F.max("v").alias("top"))
+    attractor = m.join(top, "j").where(F.col("v") >= F.lit(1.0 - rule.same) * F.col("top")).groupBy("j").agg(F.min("i").alias("attractor")).withColumnRenamed("j", "node")
     flow = m.join(nodes.select(F.col("node").alias("j"), "size"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("size")).alias("flow"))
     return nodes.select("node", "size").join(attractor, "node", "left").join(flow.withColumnRenamed("i", "node"), "node", "left").select(
         "node", "size", F.coalesce("attractor", "node").alias("attractor"), F.coalesce("flow", F.when(F.col("attractor").isNull(), F.col("size").cast("double")).otherwise(F.lit(0.0))).alias("flow")
     )
 
 
+def closed_clusters(nodes: DataFrame, links: DataFrame, rule: CellRule) -> DataFrame:
+    """``node, size, attractor, flow, cluster``: Markov clusters that no link crosses.
+
+    A flow may be cut inside a chain, but likeness passes through others. So clusters that a link
+    crosses become the nodes of a contracted graph, on which the Markov rounds run again, with an
+    inflation nearer to 1 each time (which gives coarser clusters), until no link crosses. A cluster
+    is named by the last attractor on its way. If crossing links are left after ``max_levels``, that
+    is an error: nothing but the flow joins two nodes.
+    """
+    flows = written(markov_clusters(nodes, links, rule))
+    label = flows.select("node", F.col("attractor").alias("cluster"))
+    for level in range(1, rule.max_levels + 1):
+        ends = links.select("a", "b").join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb")
+        across = written(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        if across.isEmpty():
+            return flows.join(label, "node")
+        ones = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct().withColumn("size", F.lit(1).cast("long"))
+        coarse = replace(rule, inflation=1.0 + (rule.inflation - 1.0) / 2**level)
+        merged = markov_clusters(ones, across.withColumn("dist", F.lit(0.0)), coarse).select(F.col("node").alias("cluster"), F.col("attractor").alias("joined"))
+        label = written(label.join(merged, "cluster", "left").select("node", F.coalesce("joined", "cluster").alias("cluster")))
+    raise RuntimeError(f"links still cross clusters after {rule.max_levels} levels")
+
+
 @dataclass(frozen=True)
 class Groups:
     """``members``: ``item, node, cluster, …coordinates``. ``nodes``: ``node, size, attractor, flow, cluster``."""
@@ -252,23 +288,14 @@ def cell_groups(df: DataFrame, item: str, cell: Sequence[str], rule: CellRule =
     Each cell is turned into the setting whose box (of the tolerance's size) comes first. All cells
     of a box are alike, so boxes, not records, are the nodes of the similarity graph: their number
     grows with the variety of cells, and a group that holds a third of all records is a few dozen
-    nodes. Markov clustering groups the nodes; an exact check then joins clusters that a link
-    connects, because likeness passes through others while flow may be cut in a chain.
+    nodes. Markov clustering groups the nodes, on contracted graphs again until no link crosses
+    (``closed_clusters``).
     """
     boxed = cut(cell_members(df, item, cell, rule))
     nodes = cut(box_nodes(boxed, rule))
     members = boxed.join(nodes.select("box", "node"), "box").drop("box")
-    links = box_links(members, nodes, rule)
-    flows = cut(markov_clusters(nodes, links, rule))
-    label = flows.select("node", "attractor")
-    across = (
-        links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").select("la", "lb").distinct()
-    )
-    if across.isEmpty():
-        grouped = flows.withColumn("cluster", F.col("attractor"))
-    else:
-        joined = connected_components(across, "la", "lb").toDF("attractor", "component")
-        grouped = cut(flows.join(joined, "attractor", "left").withColumn("cluster", F.coalesce("component", "attractor")).drop("component"))
+    links = cut(box_links(members, nodes, rule))
+    grouped = written(closed_clusters(nodes, links, rule))
     return Groups(members.join(grouped.select("node", "cluster"), "node"), grouped)
 
 

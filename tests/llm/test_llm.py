@@ -99,6 +99,40 @@ def test_cell_groups_against_brute_force(spark):
     assert d["size"].sum() == len(cells) and all(1 <= len(t) <= 3 for t in d["typical"])
 
 
+def test_the_flow_alone_joins_cells(spark, monkeypatch):
+    """With each node its own attractor no groups come out: links that cross are an error, not a join."""
+    rows = [(k, 50.0 * 1.03**k, 60.0, 70.0, 90.0, 90.0, 90.0) for k in range(12)]
+    assert found_pairs(spark, rows)[1] == {(k, k + 1) for k in range(11)}
+    monkeypatch.setattr(clusters, "markov_clusters", lambda nodes, links, rule: nodes.select("node", "size", F.col("node").alias("attractor"), F.col("size").cast("double").alias("flow")))
+    with pytest.raises(RuntimeError):
+        clusters.closed_clusters(*chain(spark, 12), clusters.CellRule(max_levels=2))
+
+
+def chain(spark, n):
+    nodes = spark.createDataFrame([(k, 1) for k in range(n)], "node long, size long")
+    return nodes, spark.createDataFrame([(k, k + 1, 0.4 + 0.01 * (k % 7)) for k in range(n - 1)], "a long, b long, dist double")
+
+
+def test_clusters_close_over_long_chains_and_mixed_shapes(spark):
+    nodes, links = chain(spark, 40)
+    more = [(200, 201, 2.5), (300, 301, 0.1), (300, 302, 0.1), (300, 303, 2.0), (303, 304, 2.0), (305, 306, 0.0)]
+    nodes = nodes.unionByName(spark.createDataFrame([(k, k) for k in (200, 201, 300, 301, 302, 303, 304, 305, 306, 400)], nodes.schema))
+    links = links.unionByName(spark.createDataFrame(more, links.schema))
+    got = {}
+    for r in clusters.closed_clusters(nodes, links, clusters.CellRule()).collect():
+        got.setdefault(r["cluster"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == [list(range(40)), [200, 201], [300, 301, 302, 303, 304], [305, 306], [400]]
+
+
+def test_flows_that_have_not_settled_are_an_error(spark):
+    nodes = spark.createDataFrame([(k, 1) for k in range(6)], "node long, size long")
+    links = spark.createDataFrame([(k, k + 1, 0.3 + 0.1 * k) for k in range(5)], "a long, b long, dist double")
+    assert clusters.CellRule().settle == 1e-3
+    assert clusters.markov_clusters(nodes, links, clusters.CellRule()).count() == 6
+    with pytest.raises(RuntimeError):
+        clusters.markov_clusters(nodes, links, clusters.CellRule(max_rounds=1))
+
+
 def test_boxes_that_stay_open_are_split(spark):
     """Two boxes of many cells whose bounds do not decide: only one pair across is alike, or none."""
     rng = np.random.default_rng(7)
