@@ -2,95 +2,117 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lumenframe.sources.footers import read_footers
-
-NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+from lumenframe.session import cut
+from lumenframe.sources.footers import RowGroup, by_row_group, read_footers
+
+PROFILE_SCHEMA = "column string, rows long, nulls long, lo double, hi double, violations long, chunks long, chunks_read long, v double, s string"
+
+
+PROFILE_FIELDS = [c.split()[0] for c in PROFILE_SCHEMA.split(", ")]
+#: Arrow types of the column types that the kernels below send.
+ARROW = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "date": pa.date32(), "boolean": pa.bool_()}
+
+
+def _batch(schema: str, n: int, columns: Mapping) -> pa.RecordBatch:
+    """``n`` rows of a schema; single values are repeated, absent columns NULL. NaN is no NULL."""
+    names, out = [], []
+    for part in schema.split(", "):
+        name, kind = part.split()
+        x = columns.get(name)
+        x = x if np.ndim(x) else [x] * n
+        names.append(name)
+        out.append(pa.array(x, ARROW[kind], from_pandas=False) if not isinstance(x, np.ndarray) or x.dtype != object else pa.array(x.tolist(), ARROW[kind]))
+    return pa.RecordBatch.from_arrays(out, names=names)
+
+
+def _as_numbers(x: pa.ChunkedArray) -> np.ndarray:
+    """The non-NULL values of a number column as doubles; NaN stays."""
+    return x.drop_null().to_numpy().astype(float)
+
+
+def _profile_chunk(fact: Mapping, chunk: RowGroup, pattern: str | None) -> tuple[tuple, np.ndarray, list[str]]:
+    """Counts and extrema of one column chunk, and its distinct values as doubles or as texts."""
+    name, rows = fact["column"], fact["rows"]
+    nothing = np.empty(0), []
+    if rows == 0 or (fact["exact"] and fact["nulls"] == rows):
+        return (name, rows, fact["nulls"] or 0, None, None, 0 if pattern else None, 1, 0), *nothing
+    values = chunk.dictionary(name) if fact["exact"] and pattern is None else None
+    if values is not None:
+        number = not isinstance(values, list)
+        floats = number and values.dtype.kind == "f"
+        head = (name, rows, fact["nulls"], fact["lo"] if number else None, fact["hi"] if number else None, None, 1, 0)
+        return (head, values.astype(float), []) if floats else (head, nothing[0], [str(v) for v in values])
+    column = chunk.read([name])[name]
+    kind = column.type
+    nulls = column.null_count
+    lo = hi = None
+    if pa.types.is_floating(kind) or pa.types.is_integer(kind):
+        v = _as_numbers(column)
+        v = v[~np.isnan(v)]
+        lo, hi = (float(v.min()), float(v.max())) if len(v) else (None, None)
+    distinct = column.unique().drop_null()
+    wrong = None
+    if pattern is not None:
+        import regex
+
+        text = column.drop_null().cast(pa.string())
+        wrong = sum(regex.search(pattern, t) is None for t in text.to_pylist())
+    head = (name, rows, nulls, lo, hi, wrong, 1, 1)
+    if pa.types.is_floating(kind):
+        return head, distinct.to_numpy(zero_copy_only=False).astype(float), []
+    if pa.types.is_temporal(kind):
+        distinct = distinct.cast(pa.timestamp("us") if pa.types.is_timestamp(kind) else kind).view(pa.int64() if pa.types.is_timestamp(kind) else kind)
+    return head, np.empty(0), [str(x) for x in distinct.to_pylist()]
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, patterns: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per column of a Parquet-backed table: ``column, rows, nulls, distinct, lo, hi,
-    violations, chunks, chunks_read``.
+    """One row per column: ``column, rows, nulls, distinct, lo, hi, violations, chunks, chunks_read``.
 
     ``lo``/``hi`` are the extrema of number columns as doubles (NaN left out) and NULL for other
     types; ``violations`` counts non-NULL strings that do not match the column's pattern (NULL
     without a pattern). ``distinct`` counts distinct non-NULL values exactly (NaN is one value).
 
-    Nulls come from the footers where those state them exactly, and so do extrema of whole-number
-    columns; a footer does not count NaN, so it settles the extrema of floating columns too. Distinct
-    values come from dictionary pages where no data page left the dictionary; a dictionary can hold
-    NaN. A column is scanned, and then only in the files with a chunk that its statistics do not
-    settle, with column pruning. An empty table or one without files gives rows of zeros.
+    Nulls and extrema come from the footers where those state them exactly, distinct values from
+    dictionary pages where no data page left the dictionary; a chunk all of whose values are NULL needs
+    neither. Only the other column chunks are read (``chunks_read`` of ``chunks``), one by one, in
+    one pass over the row groups; what moves are counts and the distinct values of each chunk. A
+    table that is no bare scan of Parquet files is written as such first. An empty table or one
+    without files gives rows of zeros.
     """
     names = list(columns or df.columns)
     patterns = dict(patterns or {})
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    spark = df.sparkSession
-    feet = read_footers(df, names, dictionaries=True)
-    numeric = [n for n in names if isinstance(kinds[n], NUMERIC)]
-    settled_distinct = F.col("dictionary_only") & F.col("column").isin(numeric)
-    all_null = F.col("exact") & (F.col("nulls") == F.col("rows"))
-    per_file = (
-        feet.withColumn("d_ok", settled_distinct | all_null | (F.col("rows") == 0))
-        .withColumn("s_ok", F.col("exact") | (F.col("rows") == 0))
-        .groupBy("file", "column")
-        .agg(
-            F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-            F.every("s_ok").alias("s_ok"), F.every("d_ok").alias("d_ok"), F.count(F.lit(1)).alias("chunks"),
-            F.array_distinct(F.flatten(F.collect_list(F.coalesce("dictionary", F.array().cast("array<double>"))))).alias("dictionary"),
-        )
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            chunk = RowGroup(r["file"], r["row_group"])
+            for fact in r["facts"]:
+                head, v, s = _profile_chunk(fact, chunk, patterns.get(fact["column"]))
+                yield _batch(PROFILE_SCHEMA, 1, dict(zip(PROFILE_FIELDS, head)))
+                if len(v) or len(s):
+                    yield _batch(PROFILE_SCHEMA, max(len(v), len(s)), {"column": head[0]} | ({"v": v} if len(v) else {"s": s}))
+            chunk.close()
+
+    found = by_row_group(read_footers(df, names)).mapInArrow(kernel, PROFILE_SCHEMA)
+    # One row per column and distinct value, then one per column: the heads ride along in sums of one row.
+    per = found.groupBy("column", "v", "s").agg(*[F.sum(c).alias(c) for c in ("rows", "nulls", "violations", "chunks", "chunks_read")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = per.groupBy("column").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "nulls", "violations", "chunks", "chunks_read")], F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.count_if(F.col("v").isNotNull() | F.col("s").isNotNull()).alias("distinct"),
     )
-    plan = per_file.select("file", "column", "s_ok", "d_ok", "chunks").toPandas()  # file metadata, a row per file and column
-    parts = []
-    footer_part = per_file.where("s_ok").groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    values = [per_file.where("d_ok").select("column", F.explode("dictionary").alias("x")).select("column", F.xxhash64(F.col("x") + F.lit(0.0)).alias("v"))]
-    extra = [spark.createDataFrame([], "column string, rows long, nulls long, lo double, hi double, violations long")]
-    for name in names:
-        mine = plan[plan["column"] == name]
-        to_scan = mine[~(mine["s_ok"] & mine["d_ok"])]["file"].tolist()
-        if name in patterns:
-            to_scan = mine["file"].tolist()
-        parts.append((name, int(mine["chunks"].sum()), int(mine[mine["file"].isin(to_scan)]["chunks"].sum())))
-        if not to_scan:
-            continue
-        part = spark.read.schema(T.StructType([df.schema[name]])).parquet(*to_scan)
-        is_num = isinstance(kinds[name], NUMERIC)
-        x = F.col(f"`{name}`")
-        num = F.when(~F.isnan(x.cast("double")), x.cast("double")) if is_num else F.lit(None).cast("double")
-        wrong = F.sum(F.when(x.isNotNull(), (~x.cast("string").rlike(patterns[name])).cast("long"))) if name in patterns else F.lit(None).cast("long")
-        stats_files = mine[~mine["s_ok"]]["file"].tolist()
-        stat_part = part if set(stats_files) == set(to_scan) else (spark.read.schema(T.StructType([df.schema[name]])).parquet(*stats_files) if stats_files else None)
-        if stat_part is not None:
-            extra.append(stat_part.agg(F.lit(name).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(x.isNull()).alias("nulls"), F.min(num).alias("lo"), F.max(num).alias("hi"), F.lit(None).cast("long").alias("violations")).select("column", "rows", "nulls", "lo", "hi", "violations"))
-        if name in patterns:
-            extra.append(part.agg(F.lit(name).alias("column"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("nulls"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), wrong.alias("violations")))
-        d_files = mine[~mine["d_ok"]]["file"].tolist()
-        if d_files:
-            d_part = spark.read.schema(T.StructType([df.schema[name]])).parquet(*d_files)
-            hashed = F.xxhash64(x.cast("double") + F.lit(0.0)) if is_num else F.xxhash64(x)
-            values.append(d_part.where(x.isNotNull()).select(F.lit(name).alias("column"), hashed.alias("v")))
-    stats = footer_part.withColumn("violations", F.lit(None).cast("long"))
-    for e in extra:
-        stats = stats.unionByName(e)
-    distinct = values[0]
-    for v in values[1:]:
-        distinct = distinct.unionByName(v)
-    distinct = distinct.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    head = spark.createDataFrame(parts, "column string, chunks long, chunks_read long")
-    total = stats.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("violations").alias("violations"))
+    head = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
     zero = F.lit(0).cast("long")
-    return (
-        head.join(total, "column", "left")
-        .join(distinct, "column", "left")
-        .select("column", F.coalesce("rows", zero).alias("rows"), F.coalesce("nulls", zero).alias("nulls"), F.coalesce("distinct", zero).alias("distinct"), (F.col("lo") + F.lit(0.0)).alias("lo"), (F.col("hi") + F.lit(0.0)).alias("hi"), "violations", "chunks", "chunks_read")
+    whole = lambda c: F.coalesce(c, zero).alias(c)
+    return head.join(total, "column", "left").select(
+        "column", whole("rows"), whole("nulls"), whole("distinct"), (F.col("lo") + F.lit(0.0)).alias("lo"), (F.col("hi") + F.lit(0.0)).alias("hi"), "violations", whole("chunks"), whole("chunks_read")
     )
 
 
@@ -113,46 +135,111 @@ class BadLoadRule:
 
 
 PROBS = [round(0.05 * k, 2) for k in range(1, 20)]
+#: ``c`` numbers the column; a row holds counts of a chunk, or a value ``v`` of the distribution and ``w`` of the distinct ones.
+LOAD_SCHEMA = "c int, rows long, nulls long, lo double, hi double, chunks long, chunks_read long, v double, w double"
 
 
-def load_profiles(df: DataFrame, load: str, columns: Sequence[str], positive: bool = True, rule: BadLoadRule = BadLoadRule()) -> DataFrame:
-    """One row per load and column: ``rows, nulls, impossible, outside, distinct, quantiles, lo, hi``.
-
-    ``impossible``: NaN, infinite, or not above 0 (``positive``). ``outside``: possible values that
-    lie further than ``far`` usual spreads from the usual level, both taken over the loads. All
-    figures are mergeable aggregates computed in two scans of the named columns alone, so neither a
-    load of any size nor a repeated one is gathered in one task. ``distinct`` is a HyperLogLog++
-    estimate (relative deviation 1 %), the quantiles are rank-bounded summaries (1/10 000). Rows
-    whose load is NULL belong to no load and are left out; an empty table gives no rows.
+def _load_chunk(facts: Mapping[str, Mapping], chunk: RowGroup, load: str, flag: str | None, columns: list[str]) -> Iterator[dict]:
+    """What one row group tells about each of its loads: columns of equal length of the rows of ``LOAD_SCHEMA``.
 
-    Chunks whose footers prove that no row of them has a load, or passes the filters of ``df``, are
-    skipped by the scans; the others must be read, because no footer holds a distribution per load.
+    The footer decides what is read. Nothing if it shows that no row has a load or passes the flag.
+    If it shows one load for all rows (and the flag set for all), a column's nulls and extrema come
+    from it and its distinct values from the dictionary; the values are read only for the
+    distribution, and not even for that where all are NULL or the dictionary holds a single value.
+    Otherwise the load, the flag and those columns that are not all NULL are read.
     """
-    return _profiles(df, load, list(columns), positive, rule)
-
-
-def _long(df: DataFrame, load: str, columns: list[str], positive: bool) -> DataFrame:
-    stack = ", ".join(f"{k}, cast(c{k} as double)" for k in range(len(columns)))
-    long = df.where(F.col(load).isNotNull()).select(F.col(load).alias("load"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])
-    long = long.selectExpr("load", f"stack({len(columns)}, {stack}) as (c, v)")
-    ok = ~F.isnan("v") & (F.abs("v") < F.lit(float("inf")))
+    rows = facts[load]["rows"]
+    constant = lambda f: f["exact"] and f["nulls"] == 0 and f["lo"] is not None and f["lo"] == f["hi"]
+    empty = lambda f: f["exact"] and f["nulls"] == rows
+    if rows == 0 or empty(facts[load]) or (flag and (empty(facts[flag]) or (constant(facts[flag]) and not facts[flag]["hi"]))):
+        return
+    one = constant(facts[load]) and (flag is None or constant(facts[flag]))
+    if one:
+        key = int(facts[load]["lo"]) if float(facts[load]["lo"]).is_integer() else facts[load]["lo"]
+        for c, name in enumerate(columns):
+            f = facts[name]
+            if empty(f):
+                yield {"load": [key], "c": c, "rows": rows, "nulls": rows, "chunks": 1, "chunks_read": 0}
+                continue
+            known = chunk.dictionary(name) if f["exact"] and f["present"] else None
+            known = known.astype(float) if known is not None and not isinstance(known, list) else None
+            if known is not None and len(known) == 1:
+                v = np.full(rows - f["nulls"], known[0])
+            else:
+                v = _as_numbers(chunk.read([name])[name])
+            nulls = f["nulls"] if f["exact"] else rows - len(v)
+            yield {"load": [key], "c": c, "rows": rows, "nulls": nulls, "lo": f["lo"], "hi": f["hi"], "chunks": 1, "chunks_read": int(known is None or len(known) != 1)}
+            if known is None:
+                yield {"load": [key] * len(v), "c": c, "v": v, "w": v}
+            else:
+                yield {"load": [key] * len(v), "c": c, "v": v}
+                yield {"load": [key] * len(known), "c": c, "w": known}
+        return
+    filled = [n for n in columns if not empty(facts[n])]
+    got = chunk.read([load, *([flag] if flag else []), *filled])
+    passes = got[load].is_valid().to_numpy()
+    if flag:
+        passes = passes & got[flag].fill_null(False).to_numpy()
+    at = np.flatnonzero(passes)
+    keys, which = np.unique(got[load].take(at).to_numpy(), return_inverse=True)
+    size = np.bincount(which, minlength=len(keys))
+    for c, name in enumerate(columns):
+        if name not in filled:
+            yield {"load": keys, "c": c, "rows": size, "nulls": size, "chunks": 1, "chunks_read": 0}
+            continue
+        x = got[name].take(at)
+        there = x.is_valid().to_numpy()
+        v, mine = _as_numbers(x), which[there]
+        lo, hi = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+        with np.errstate(all="ignore"):
+            np.fmin.at(lo, mine, v)
+            np.fmax.at(hi, mine, v)
+        yield {"load": keys, "c": c, "rows": size, "nulls": size - np.bincount(mine, minlength=len(keys)), "lo": lo, "hi": hi, "chunks": 1, "chunks_read": 1}
+        yield {"load": keys[mine], "c": c, "v": v, "w": v}
+
+
+def load_profiles(df: DataFrame, load: str, columns: Sequence[str], positive: bool = True, rule: BadLoadRule = BadLoadRule(), flag: str | None = None) -> DataFrame:
+    """One row per load and column: ``rows, nulls, impossible, outside, distinct, quantiles, lo, hi, chunks, chunks_read``.
+
+    ``flag`` names a truth column: rows in which it is not true are left out. ``impossible``: NaN,
+    infinite, or not above 0 (``positive``). ``outside``: possible values that lie further than
+    ``far`` usual spreads from the usual level, both taken over the loads. ``distinct`` is exact (NaN
+    is one value), the quantiles are rank-bounded summaries (1/10 000), extrema leave NaN out.
+
+    Footers decide which column chunks are read (see ``_load_chunk``): ``chunks`` counts those that hold
+    rows of the load, ``chunks_read`` those whose values were needed. A table that is no bare scan of
+    Parquet files is written as such first, so its filters hold. Chunks are read one by one on the
+    executors; their values are aggregated by load without gathering one in a task. ``load`` must be a
+    number, a text or a date. Rows whose load is NULL belong to no load and are left out; an empty table gives no rows.
+    """
+    names = list(columns)
+    kind = df.schema[load].dataType.simpleString()
+    schema = f"load {kind}, {LOAD_SCHEMA}"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            chunk = RowGroup(r["file"], r["row_group"])
+            for part in _load_chunk({f["column"]: f for f in r["facts"]}, chunk, load, flag, names):
+                for k in range(0, len(part["load"]), 1 << 16):
+                    piece = {c: x[k : k + (1 << 16)] if np.ndim(x) else x for c, x in part.items()}
+                    yield _batch(schema, len(piece["load"]), piece)
+            chunk.close()
+
+    told = by_row_group(read_footers(df, [load, *([flag] if flag else []), *names])).mapInArrow(kernel, schema)
+    finite = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lo", "hi")]
+    told = cut(told.select("load", "c", "rows", "nulls", *finite, "chunks", "chunks_read", "v", "w"))  # read three times below
+    ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf")))
     if positive:
         ok = ok & (F.col("v") > 0)
-    return long.withColumn("ok", F.col("v").isNotNull() & ok)
-
-
-def _profiles(df: DataFrame, load: str, columns: list[str], positive: bool, rule: BadLoadRule) -> DataFrame:
-    long = _long(df, load, columns, positive)
-    valid = F.when(F.col("ok"), F.col("v"))
+    long = told.withColumn("ok", ok)
+    zero = F.lit(0).cast("long")
     per = long.groupBy("load", "c").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("v").isNull()).alias("nulls"),
+        *[F.coalesce(F.sum(n), zero).alias(n) for n in ("rows", "nulls", "chunks", "chunks_read")],
         F.count_if(F.col("v").isNotNull() & ~F.col("ok")).alias("impossible"),
-        F.approx_count_distinct("v", 0.01).alias("distinct"),
-        F.percentile_approx(valid, PROBS, 10000).alias("quantiles"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-    )
+        F.percentile_approx(F.when(F.col("ok"), F.col("v")), PROBS, 10000).alias("quantiles"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+    distinct = told.where("w IS NOT NULL").select("load", "c", "w").distinct().groupBy("load", "c").agg(F.count(F.lit(1)).alias("distinct"))
     # The usual level and spread: medians over the loads, of figures that are themselves robust.
     q = F.col("quantiles")
     fig = per.where(F.size(q) == len(PROBS)).select("c", F.log(q[9]).alias("level"), ((F.log(q[17]) - F.log(q[1])) / 2.563).alias("width"))
@@ -161,9 +248,9 @@ def _profiles(df: DataFrame, load: str, columns: list[str], positive: bool, rule
     usual = usual.join(between, "c").select("c", "level", (F.sqrt(F.col("width") ** 2 + F.col("between") ** 2) * rule.far).alias("reach"))
     # One row per column: as small as the list of columns, whatever the size of the table.
     far = long.where("ok").join(F.broadcast(usual), "c", "inner").groupBy("load", "c").agg(F.count_if(F.abs(F.log("v") - F.col("level")) > F.greatest("reach", F.lit(0.5))).alias("outside"))
-    name = F.element_at(F.array(*[F.lit(n) for n in columns]), F.col("c") + 1)
-    return per.join(far, ["load", "c"], "left").select(
-        "load", name.alias("column"), "rows", "nulls", "impossible", F.coalesce("outside", F.lit(0).cast("long")).alias("outside"), "distinct", "quantiles", "lo", "hi"
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c") + 1)
+    return per.join(far, ["load", "c"], "left").join(distinct, ["load", "c"], "left").select(
+        "load", name.alias("column"), "rows", "nulls", "impossible", F.coalesce("outside", zero).alias("outside"), F.coalesce("distinct", zero).alias("distinct"), "quantiles", "lo", "hi", "chunks", "chunks_read"
     )
 
 
@@ -185,6 +272,14 @@ def _choices(n: float, d: float) -> float:
     return hi
 
 
+def _median(x: np.ndarray) -> np.ndarray | float:
+    """Median (per column) of what is not NaN; NaN where nothing is."""
+    if x.ndim == 2:
+        return np.array([_median(c) for c in x.T])
+    x = x[~np.isnan(x)]
+    return float(np.median(x)) if len(x) else np.nan
+
+
 def judge_loads(p: pd.DataFrame, rule: BadLoadRule) -> pd.DataFrame:
     """Compare the loads of one column with each other; a row per load with the reasons."""
     n = p["rows"].to_numpy(float)
@@ -196,7 +291,7 @@ def judge_loads(p: pd.DataFrame, rule: BadLoadRule) -> pd.DataFrame:
             reasons[i].append(why)
 
     def excess(share: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
-        usual = np.nanmedian(share)
+        usual = _median(share)
         se = np.sqrt(np.maximum(usual * (1 - usual), 0.01) / np.maximum(size, 1))
         return (size >= rule.least_rows) & (share - usual > np.maximum(least, rule.noise * 0.6 * se))
 
@@ -207,30 +302,30 @@ def judge_loads(p: pd.DataFrame, rule: BadLoadRule) -> pd.DataFrame:
         d = p["distinct"].to_numpy(float)
         ratio = d / np.maximum(filled, 1)
         k = np.array([_choices(a, min(b, a)) for a, b in zip(filled, d, strict=True)])
-        usual_k = np.nanmedian(k)
-        expected = np.array([_room(a, usual_k) / max(a, 1) for a in filled]) * np.nanmedian(np.minimum(ratio / np.array([_room(a, usual_k) / max(a, 1) for a in filled]), 1.0))
+        usual_k = _median(k)
+        expected = np.array([_room(a, usual_k) / max(a, 1) for a in filled]) * _median(np.minimum(ratio / np.array([_room(a, usual_k) / max(a, 1) for a in filled]), 1.0))
         flag((filled >= 2 * rule.least_rows) & (ratio < rule.distinct_ratio * expected), "distinct")
         q = np.array([x if x is not None and len(x) == len(PROBS) else [np.nan] * len(PROBS) for x in p["quantiles"]], float)
         lq = np.log(q)
         size_ok = filled >= 2 * rule.least_rows
         level, width = lq[:, 9], (lq[:, 17] - lq[:, 1]) / 2.563
-        mid, w = np.nanmedian(level), np.nanmedian(width)
-        between = 1.4826 * np.nanmedian(np.abs(level - mid))
+        mid, w = _median(level), _median(width)
+        between = 1.4826 * _median(np.abs(level - mid))
         shift = np.abs(level - mid)
         flag(size_ok & (shift > np.maximum.reduce([np.full(len(n), rule.shift * between), np.full(len(n), rule.shift_within * w), rule.noise * 1.25 * w / np.sqrt(np.maximum(filled, 1))])), "level")
         u = np.log(np.maximum(lq[:, 14] - lq[:, 4], 1e-6))
-        du = np.abs(u - np.nanmedian(u))
-        mad_u = 1.4826 * np.nanmedian(du)
+        du = np.abs(u - _median(u))
+        mad_u = 1.4826 * _median(du)
         flag(size_ok & (du > np.maximum(rule.shape, rule.shift * mad_u)) & (du > rule.noise * 1.6 / np.sqrt(np.maximum(filled, 1))), "spread")
-        ref = np.nanmedian(lq, axis=0)
+        ref = _median(lq)
         dist = np.array([np.nan if np.isnan(x).any() else np.max(np.abs(np.interp(ref, x, PROBS, left=0.0, right=1.0) - PROBS)) for x in lq])
-        dm = np.nanmedian(dist)
-        mad_d = 1.4826 * np.nanmedian(np.abs(dist - dm))
+        dm = _median(dist)
+        mad_d = 1.4826 * _median(np.abs(dist - dm))
         flag(size_ok & (dist > np.maximum(rule.distance, dm + rule.shift * mad_d)) & (dist > 2.5 / np.sqrt(np.maximum(filled, 1))), "distribution")
     return pd.DataFrame({"load": p["load"], "column": p["column"], "reasons": [",".join(r) for r in reasons]})
 
 
-def bad_loads(df: DataFrame, load: str, columns: Sequence[str], rule: BadLoadRule = BadLoadRule()) -> DataFrame:
+def bad_loads(df: DataFrame, load: str, columns: Sequence[str], rule: BadLoadRule = BadLoadRule(), flag: str | None = None) -> DataFrame:
     """Loads and columns that plainly differ from most loads: ``load, column, reasons``.
 
     Compared are the share of NULLs, the share of impossible or far-out values, the number of
@@ -239,9 +334,10 @@ def bad_loads(df: DataFrame, load: str, columns: Sequence[str], rule: BadLoadRul
     an absolute part, a part in robust spreads between the loads, so a column that differs from load
     to load anyway needs a larger difference, and a part for the noise of small loads.
 
-    The comparison sees one row per load and column, never the data.
+    The comparison sees one row per load and column, never the data; these come from footers,
+    dictionaries and the chunks that those do not settle (``load_profiles``).
     """
-    prof = load_profiles(df, load, columns, rule=rule)
+    prof = load_profiles(df, load, columns, rule=rule, flag=flag)
     kind = df.schema[load].dataType.simpleString()
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:

@@ -28,8 +28,7 @@ def p2_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    frames = table(spark, d, "frames").where("indexed")
-    return bad_loads(frames, "load_id", PROFILED).select(F.col("load").alias("load_id"), F.col("column").alias("column_name"))
+    return bad_loads(table(spark, d, "frames"), "load_id", PROFILED, flag="indexed").select(F.col("load").alias("load_id"), F.col("column").alias("column_name"))
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:

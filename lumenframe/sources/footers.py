@@ -1,4 +1,4 @@
-"""Parquet footers and dictionary pages, read on the executors."""
+"""Parquet footers, dictionary pages and single column chunks, read on the executors."""
 
 from __future__ import annotations
 
@@ -11,10 +11,9 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
-FOOTER_SCHEMA = (
-    "file string, row_group int, column string, rows long, nulls long, lo double, hi double, lo_s string, hi_s string, "
-    "exact boolean, dictionary_only boolean, dictionary array<double>"
-)
+from lumenframe.session import spread, written
+
+FOOTER_SCHEMA = "file string, row_group int, column string, rows long, nulls long, lo double, hi double, exact boolean, present boolean"
 
 #: Fixed values of the Parquet format: the types as they stand in a compact Thrift struct, the field
 #: numbers of a page header (for each kind of data page, that of its encoding), the encodings that
@@ -67,10 +66,10 @@ def _struct(buf: bytes, at: int) -> tuple[dict, int]:
             out[field] = (raw >> 1) ^ -(raw & 1)
 
 
-def dictionary_values(raw: pa.NativeFile, chunk: pq.ColumnChunkMetaData) -> np.ndarray | None:
-    """The numbers in a chunk's dictionary page, or None if there is none or its type is no number."""
+def dictionary_values(raw: pa.NativeFile, chunk: pq.ColumnChunkMetaData) -> np.ndarray | list[str] | None:
+    """The numbers or texts in a chunk's dictionary page, or None if there is none or it holds neither."""
     kind = PLAIN_TYPES.get(chunk.physical_type)
-    if kind is None or not chunk.has_dictionary_page:
+    if (kind is None and chunk.physical_type != "BYTE_ARRAY") or not chunk.has_dictionary_page:
         return None
     start = chunk.dictionary_page_offset
     size = chunk.data_page_offset - start
@@ -81,7 +80,14 @@ def dictionary_values(raw: pa.NativeFile, chunk: pq.ColumnChunkMetaData) -> np.n
     count = header[DICTIONARY_HEADER_FIELD][COUNT_FIELD]
     if chunk.compression != "UNCOMPRESSED":
         packed = pa.Codec(chunk.compression.lower()).decompress(packed, header[2], asbytes=True)
-    return np.frombuffer(packed, kind, count).astype(float)
+    if kind is not None:
+        return np.frombuffer(packed, kind, count)
+    out, at = [], 0
+    for _ in range(count):  # a text is its length in four bytes, then its bytes
+        n = int.from_bytes(packed[at : at + 4], "little")
+        out.append(packed[at + 4 : at + 4 + n].decode("utf-8", "replace"))
+        at += 4 + n
+    return out
 
 
 def _header(raw: pa.NativeFile, at: int) -> tuple[dict, int]:
@@ -118,45 +124,87 @@ def dictionary_only(raw: pa.NativeFile, chunk: pq.ColumnChunkMetaData) -> bool:
 
 
 def _number(x) -> float | None:
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and x == x else None
+    return float(x) if isinstance(x, (int, float)) and x == x else None
+
 
+def parquet_files(df: DataFrame, columns: list[str]) -> list[str]:
+    """Parquet files whose rows are those of ``df``: its own if it is a bare scan of some, otherwise
+    ``columns`` are written to the shared folder first (so no filter or column of ``df`` is passed over)."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if "Parquet" in relation.fileFormat().getClass().getSimpleName() and relation.partitionSchema().isEmpty():
+            return df.inputFiles()
+    return written(df.select(*[f"`{c}`" for c in columns])).inputFiles()
 
-def read_footers(df: DataFrame, columns: list[str], dictionaries: bool = False) -> DataFrame:
-    """One row per (file, row group, column) of the Parquet files beneath ``df``.
 
-    ``exact``: the footer states nulls and extrema. ``dictionary_only`` (looked into if
-    ``dictionaries`` are asked for): all data pages of the chunk refer to its dictionary, so
-    ``dictionary`` (numbers only) is the set of its distinct values. Only footers, page headers and
-    dictionary pages are read; files are spread over the tasks.
+def read_footers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per (file, row group, column) of the Parquet files that hold ``df``.
+
+    ``exact``: the footer states the number of nulls, and extrema if there are other values; ``lo`` and
+    ``hi`` are those of numbers and truth values. A column that a file lacks is all NULL there
+    (``present`` is false). Only footers are read; files are spread over the tasks.
     """
-    spark = df.sparkSession
-    files = df.inputFiles()
+    files = parquet_files(df, columns)
     wanted = list(columns)
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for uri in batch["file"]:
                 fs, path = pafs.FileSystem.from_uri(uri)
-                rows = []
                 with fs.open_input_file(path) as raw:
                     meta = pq.ParquetFile(raw).metadata
-                    names = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-                    for g in range(meta.num_row_groups):
-                        group = meta.row_group(g)
-                        for name in wanted:
-                            if name not in names:
-                                continue
-                            chunk = group.column(names[name])
-                            st = chunk.statistics
-                            exact = bool(st and st.has_null_count and (st.has_min_max or st.null_count == group.num_rows))
-                            lo, hi = (st.min, st.max) if st and st.has_min_max else (None, None)
-                            pure = dictionaries and dictionary_only(raw, chunk)
-                            values = dictionary_values(raw, chunk) if pure else None
-                            rows.append(
-                                (uri, g, name, group.num_rows, st.null_count if exact else None, _number(lo), _number(hi),
-                                 str(lo) if lo is not None else None, str(hi) if hi is not None else None, exact, bool(pure), values)
-                            )
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOOTER_SCHEMA.split(", ")])
+                names = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    for name in wanted:
+                        if name not in names:
+                            rows.append((uri, g, name, group.num_rows, group.num_rows, None, None, True, False))
+                            continue
+                        st = group.column(names[name]).statistics
+                        exact = bool(st and st.has_null_count and (st.has_min_max or st.null_count == group.num_rows))
+                        lo, hi = (st.min, st.max) if st and st.has_min_max else (None, None)
+                        rows.append((uri, g, name, group.num_rows, st.null_count if exact else None, _number(lo), _number(hi), exact, True))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOOTER_SCHEMA.split(", ")])
 
+    spark = df.sparkSession
     n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(n).mapInPandas(kernel, FOOTER_SCHEMA)
+
+
+def by_row_group(feet: DataFrame) -> DataFrame:
+    """The rows of ``read_footers`` gathered as ``file, row_group, facts``, spread over the tasks."""
+    from pyspark.sql import functions as F
+
+    facts = F.collect_list(F.struct("column", "rows", "nulls", "lo", "hi", "exact", "present")).alias("facts")
+    return spread(feet, "file", "row_group").groupBy("file", "row_group").agg(facts)
+
+
+class RowGroup:
+    """One row group of a file, opened when something of it is asked for."""
+
+    def __init__(self, uri: str, number: int):
+        self.uri, self.number, self.file = uri, number, None
+
+    def _open(self) -> pq.ParquetFile:
+        if self.file is None:
+            fs, path = pafs.FileSystem.from_uri(self.uri)
+            self.raw = fs.open_input_file(path)
+            self.file = pq.ParquetFile(self.raw)
+            meta = self.file.metadata
+            self.at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+        return self.file
+
+    def dictionary(self, column: str) -> np.ndarray | list[str] | None:
+        """The distinct values of a chunk all of whose data pages refer to its dictionary, else None."""
+        chunk = self._open().metadata.row_group(self.number).column(self.at[column])
+        return dictionary_values(self.raw, chunk) if dictionary_only(self.raw, chunk) else None
+
+    def read(self, columns: list[str]) -> pa.Table:
+        """The chunks of some columns."""
+        return self._open().read_row_group(self.number, columns=columns, use_threads=False)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.raw.close()
