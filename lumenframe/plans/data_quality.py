@@ -87,7 +87,50 @@ def _profile_sql() -> str:
     return " UNION ALL ".join(out)
 
 
+#: Loads that differ from most, by plainer rules than the operator's: shares against their medians over the loads,
+#: distinct values for the size, and the median and the middle half on the logarithmic scale.
+_BAD_LOADS = f"""WITH x AS ({" UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {c} AS v FROM frames WHERE indexed AND load_id IS NOT NULL" for c in PROFILED)}),
+ok AS (SELECT *, v IS NOT NULL AND isfinite(v) AND v > 0 AS good FROM x),
+q AS (SELECT load_id, column_name, count(*) AS n, count(v) AS filled, 1.0 - count(v) / count(*)::DOUBLE AS nulls, count(*) FILTER (WHERE v IS NOT NULL AND NOT good) AS wrong,
+  count(DISTINCT v) / greatest(count(v), 1)::DOUBLE AS variety, quantile_disc(ln(g), [0.1, 0.25, 0.5, 0.75, 0.9]) AS l FROM (SELECT *, CASE WHEN good THEN v END AS g FROM ok) GROUP BY 1, 2),
+u AS (SELECT column_name, median(nulls) AS nulls, median(l[3]) AS level, median(l[5] - l[1]) / 2.563 AS width, median(ln(greatest(l[4] - l[2], 1e-6))) AS half, median(variety) AS variety FROM q GROUP BY 1),
+b AS (SELECT column_name, 1.4826 * median(abs(l[3] - u.level)) AS between_loads, 1.4826 * median(abs(ln(greatest(l[4] - l[2], 1e-6)) - u.half)) AS between_halves FROM q JOIN u USING (column_name) GROUP BY 1),
+f AS (SELECT load_id, column_name, count(*) FILTER (WHERE good AND abs(ln(g) - u.level) > greatest(0.5, 5.0 * sqrt(u.width * u.width + b.between_loads * b.between_loads))) AS far
+  FROM (SELECT load_id, column_name, good, CASE WHEN good THEN v END AS g FROM ok) o JOIN u USING (column_name) JOIN b USING (column_name) GROUP BY 1, 2)
+SELECT load_id, column_name FROM q JOIN u USING (column_name) JOIN b USING (column_name) JOIN f USING (load_id, column_name) WHERE
+  (n >= 5 AND q.nulls - u.nulls > greatest(0.15, 0.3 / sqrt(n)))
+  OR (filled >= 5 AND (wrong + far) / filled::DOUBLE > greatest(0.08, 0.3 / sqrt(filled)))
+  OR (filled >= 10 AND q.variety < 0.6 * u.variety)
+  OR (filled >= 10 AND abs(l[3] - u.level) > greatest(6.0 * between_loads, 0.8 * u.width, 6.25 * u.width / sqrt(filled)))
+  OR (filled >= 10 AND abs(ln(greatest(l[4] - l[2], 1e-6)) - u.half) > greatest(0.9, 6.0 * between_halves, 8.0 / sqrt(filled)))"""
+
+def _readings_sql() -> str:
+    """All steps of the rule on whole sources: runs of equal values, usual spread, Haar details, local medians."""
+    long = " UNION ALL ".join(f"SELECT filename AS s, '{m}' AS measure, event AS e, frame_index AS f, {m}::DOUBLE AS v, {'v > 0' if b.strict else 'v >= 0'} AND isfinite(v) AS possible FROM frames WHERE {m} IS NOT NULL" for m, b in MEASURES.items())
+    haar = lambda h: f"CASE WHEN count(v) OVER (p ROWS BETWEEN CURRENT ROW AND {2 * h - 1} FOLLOWING) = {2 * h} THEN abs(avg(v) OVER (p ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING) - avg(v) OVER (p ROWS BETWEEN {h} FOLLOWING AND {2 * h - 1} FOLLOWING)) * sqrt({h} / 2.0) END AS h{h}"
+    part = "PARTITION BY s, measure ORDER BY e, f"
+    return f"""r0 AS (SELECT DISTINCT ON (s, measure, e, f) * FROM ({long}) ORDER BY s, measure, e, f, v),
+r1 AS (SELECT *, abs(v - lag(v) OVER p) AS d FROM r0 WINDOW p AS ({part})),
+r2 AS (SELECT *, sum((d = 0)::INTEGER) OVER (p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS ends FROM r1 WINDOW p AS ({part})),
+r3 AS (SELECT *, coalesce(max(ends::INTEGER) OVER (p ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 0) = 1 AS stuck FROM r2 WINDOW p AS ({part})),
+de AS (SELECT s, measure, d FROM r3 WHERE possible AND isfinite(d) AND NOT (d = 0 AND stuck)),
+ro AS (SELECT s, measure, count(*) FILTER (WHERE d > 0) >= 3 AS varies, quantile_disc(d, 0.5) AS q, quantile_disc(CASE WHEN d > 0 THEN d END, 0.5) AS qc FROM de GROUP BY 1, 2),
+sg AS (SELECT s, measure, any_value(varies) AS varies, coalesce(sqrt(avg(d * d) FILTER (WHERE d <= CASE WHEN q > 0 THEN q ELSE qc END * {3.5 / 0.6745!r}::DOUBLE) / 2), 0.0) AS sigma FROM de JOIN ro USING (s, measure) GROUP BY 1, 2),
+jd AS (SELECT r3.* EXCLUDE (stuck), sigma, stuck AND coalesce(varies, false) AS stuck FROM r3 LEFT JOIN sg USING (s, measure)),
+cl AS (SELECT * FROM jd WHERE possible AND NOT stuck AND sigma IS NOT NULL),
+w1 AS (SELECT *, {haar(1)}, {haar(2)}, {haar(4)} FROM cl WINDOW p AS ({part})),
+w2 AS (SELECT *, {", ".join(f"coalesce(max(h{h}) OVER (p ROWS BETWEEN {2 * h - 1} PRECEDING AND CURRENT ROW) > 3.0 * sigma, false) AS m{h}" for h in (1, 2, 4))},
+  median(v) OVER (p ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS l0, count(v) OVER (p ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS n0,
+  median(v) OVER (p ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS l1, count(v) OVER (p ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS n1,
+  median(v) OVER (p ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING EXCLUDE CURRENT ROW) AS l2 FROM w1 WINDOW p AS ({part})),
+found AS (SELECT f, measure, CASE WHEN NOT possible THEN 'impossible' ELSE 'stuck' END AS reason FROM jd WHERE NOT possible OR stuck
+  UNION ALL SELECT f, measure, 'spike' FROM w2 WHERE (m1 OR m2 OR m4) AND least(CASE WHEN n0 >= 7 THEN abs(v - l0) END, CASE WHEN n1 >= 7 THEN abs(v - l1) END, abs(v - l2)) > 8.0 * sigma)"""
+
+
 ORACLE = {
+    "p2_found": f"WITH {_readings_sql()} SELECT DISTINCT f AS frame_index, measure FROM found",
+    "p2_sources": f"WITH {_readings_sql()} SELECT measure, reason, count(*) AS readings FROM found GROUP BY 1, 2",
+    "p5_found": _BAD_LOADS,
     "p6_found": f"WITH {_PARENTS} SELECT row_id AS reflection_id, kind FROM ({_CHILD.format(t='reflections', i='reflection_id', kind=_KIND)})",
     "p6_report": f"""WITH {_PARENTS}, found AS ({_CHILD.format(t="reflections", i="reflection_id", kind=_KIND)}
   UNION ALL {_CHILD.format(t="peaks", i="peak_id", kind=_KIND)})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenframe.operators.orphans import Entity, ForeignKey, find_orphans, orphan_report
 from lumenframe.operators.positions import consecutive_pairs, dense_positions
 from lumenframe.operators.profile import BadLoadRule, bad_loads, judge_loads, load_profiles, profile_columns
-from lumenframe.operators.spikes import Bound, SpikeRule, implausible_readings, judge
+from lumenframe.operators.spikes import Bound, SpikeRule, implausible_readings
 
 
 def readings(spark, rows, **kw):
@@ -45,7 +45,7 @@ def test_spikes_do_not_depend_on_chunks(spark):
     v[320:326] = 9.9
     rows = [("a", k, k, float(x), 1, "") for k, x in enumerate(v)]
     whole = readings(spark, rows)
-    assert whole == readings(spark, rows, rule=SpikeRule(chunk=128, halo=48, slice_width=100))
+    assert whole == readings(spark, rows, rule=SpikeRule(chunk=128, slice_width=100))
     assert {k for k, _ in whole} == {0, 99, 100, 255, 256, 511, 699, *range(320, 326)}
 
 
@@ -68,10 +68,19 @@ def test_run_across_nulls_and_short_run(spark):
     assert {k for k, r in got if r == "stuck"} == {10, 12, 13, 16, 17, 18}
 
 
-def test_judge_of_a_burst():
-    v = series(40, 5)
+def test_a_burst_of_spikes(spark):
+    v = series(80, 5)
     v[1:4] = [13.0, 14.0, 60.0]
-    assert set(np.flatnonzero(judge(v, 0.2, True, Bound(0), SpikeRule()) == "spike")) == {1, 2, 3}
+    assert readings(spark, [("a", k, k, float(x), 1, "") for k, x in enumerate(v)]) == {(1, "spike"), (2, "spike"), (3, "spike")}
+
+
+def test_a_stuck_run_at_a_chunk_edge_hides_no_level(spark):
+    """A new level begins just before a chunk's edge, then many stuck values follow: no spike, however cut."""
+    v = np.concatenate([series(127, 6), series(1, 7, 30.0), np.full(200, 30.1), series(100, 8, 30.0)])
+    rows = [("a", k, k, float(x), 1, "") for k, x in enumerate(v)]
+    want = {(k, "stuck") for k in range(128, 328)}
+    assert readings(spark, rows) == want
+    assert readings(spark, rows, rule=SpikeRule(chunk=128, slice_width=64)) == want
 
 
 def test_positions_and_pairs(spark):
