@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.clusters import VARIANTS, Groups, cell_groups, describe_groups, group_pairs
 from lumenframe.llm.mixing import Mix, mix_sources
 from lumenframe.llm.packing import pack
-from lumenframe.llm.quantiles import merge_summaries, percentiles, percentiles_of, summaries
+from lumenframe.llm.quantiles import percentiles, ranks_within
 from lumenframe.llm.repetition import repetition
 from lumenframe.llm.tokens import token_counts
 from lumenframe.llm.topn import top_n_per_group
@@ -47,27 +47,38 @@ def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
     return describe_groups(_groups(spark, d)).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def _percentiles(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "reflections")
-    band = F.when(F.col("resolution_nm_inv") >= 0, F.floor("resolution_nm_inv").cast("int"))
-    keyed = r.select(F.lower(F.trim("panel")).alias("panel"), band.alias("band"), "load_id", "intensity")
-    return percentiles(keyed, ["panel", "band"], "intensity", PROBS, load="load_id", eps=0.005)
+EPS = 0.005
 
 
-def p4_loads(spark: SparkSession, d: str) -> DataFrame:
-    """The same percentiles per load: what is kept of each delivery, to be merged with later ones."""
-    r = table(spark, d, "reflections")
+def _intensities(spark: SparkSession, d: str) -> DataFrame:
+    """Intensities by panel and whole nm^-1 of resolution (NULL where it is missing or negative)."""
     band = F.when(F.col("resolution_nm_inv") >= 0, F.floor("resolution_nm_inv").cast("int"))
-    keys = ["load_id", "panel", "band"]
-    kept = merge_summaries(summaries(r.select("load_id", F.lower(F.trim("panel")).alias("panel"), band.alias("band"), "intensity"), keys, "intensity"), keys)
-    names = [F.col("p")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(PROBS)]
-    return percentiles_of(kept, keys, PROBS).select(*keys, "n", *names, "rank_error")
+    return table(spark, d, "reflections").select("load_id", F.lower(F.trim("panel")).alias("panel"), band.alias("band"), "intensity")
+
+
+def _percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles(_intensities(spark, d), ["panel", "band"], "intensity", PROBS, load="load_id", eps=EPS)
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per panel and whole nm^-1 of resolution (NULL where it is missing or negative)."""
+    """Per load, panel and band, and per panel and band over all loads, combined from those of the loads."""
     names = [F.col("p")[k].alias(f"p{round(100 * p):02d}") for k, p in enumerate(PROBS)]
-    return _percentiles(spark, d).select("panel", "band", "n", *names, "rank_error", (F.col("rank_error") <= F.ceil(F.col("n") * 0.005)).alias("within_bound"))
+    bound = F.col("rank_error") <= F.ceil(F.col("n") * EPS)
+    return _percentiles(spark, d).select("scope", "load_id", "panel", "band", "n", *names, "rank_error", bound.alias("within_bound"))
+
+
+def p4_loads(spark: SparkSession, d: str) -> DataFrame:
+    """What each load holds and how far its percentiles can be off."""
+    got = _percentiles(spark, d)
+    return got.groupBy("scope", "load_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("values"), F.every(F.col("rank_error") <= F.ceil(F.col("n") * EPS)).alias("within_bound"))
+
+
+def p4_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The exact ranks of all percentiles of ``p4_percentiles`` against their stated errors."""
+    rows, found = _intensities(spark, d), _percentiles(spark, d)
+    loads = ranks_within(rows, ["load_id", "panel", "band"], "intensity", found.where("scope = 'load'"), PROBS)
+    whole = ranks_within(rows, ["panel", "band"], "intensity", found.where("scope = 'all'"), PROBS)
+    return loads.select(F.lit("load").alias("scope"), "*").unionByName(whole.select(F.lit("all").alias("scope"), F.lit(None).cast("int").alias("load_id"), "*"))
 
 
 def _tokens(spark: SparkSession, d: str, *keep: str) -> DataFrame:
@@ -138,7 +149,11 @@ reach AS (SELECT p, q FROM alike UNION SELECT r.p, a.q FROM reach r JOIN alike a
 label AS (SELECT p, min(q) AS g FROM reach GROUP BY p)"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p4_loads, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
+_BANDS = """rf AS (SELECT load_id, lower(trim(panel)) AS panel, CASE WHEN resolution_nm_inv >= 0 THEN floor(resolution_nm_inv)::INTEGER END AS band FROM reflections
+  WHERE intensity IS NOT NULL AND NOT isnan(intensity)),
+gr AS (SELECT 'load' AS scope, load_id, panel, band, count(*) AS n FROM rf GROUP BY 2, 3, 4 UNION ALL SELECT 'all', NULL, panel, band, count(*) FROM rf GROUP BY 3, 4)"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p4_loads, p4_ranks, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
 
 ORACLE = {
     "p1_found": """SELECT frame_index, peak_id FROM (
@@ -152,6 +167,8 @@ ORACLE = {
     "p3_found": f"""WITH {_alike_sql()} SELECT a AS frame_index_a, p AS frame_index_b FROM (
   SELECT p, lag(p) OVER (PARTITION BY g ORDER BY p) AS a FROM label) WHERE a IS NOT NULL""",
     "p3_sizes": f"WITH {_alike_sql()} SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM label GROUP BY g) GROUP BY size",
+    "p4_loads": f"WITH {_BANDS} SELECT scope, load_id, count(*) AS groups, CAST(sum(n) AS BIGINT) AS values, true AS within_bound FROM gr GROUP BY 1, 2",
+    "p4_ranks": f"WITH {_BANDS} SELECT scope, load_id, panel, band, unnest({PROBS}::DOUBLE[]) AS prob, n, true AS within FROM gr",
     "p9_found": f"WITH {_WORDS} SELECT doc_id FROM judged WHERE high",
     "p9_shares": f"WITH {_WORDS} SELECT doc_id, words, repeated, high FROM judged",
 }

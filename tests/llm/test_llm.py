@@ -186,10 +186,19 @@ def test_percentiles_within_the_bound(spark):
     n = 60000
     x = rng.standard_cauchy(n)
     k = rng.choice(["hot", "hot", "b", None], n)
-    rows = spark.createDataFrame([(None if c is None or c == "None" else str(c), int(d), float(v)) for c, d, v in zip(k, rng.integers(0, 5, n), x, strict=True)], "k string, day int, x double").repartition(6)
+    days = rng.integers(0, 5, n)
+    rows = spark.createDataFrame([(None if c is None or c == "None" else str(c), int(d), float(v)) for c, d, v in zip(k, days, x, strict=True)], "k string, day int, x double").repartition(6)
     rows = rows.unionByName(spark.createDataFrame([("b", 1, None), ("b", 1, float("nan")), ("void", 1, None)], rows.schema))
     probs = [0.01, 0.5, 0.99]
-    got = {r["k"]: r for r in quantiles.percentiles(rows, ["k"], "x", probs, load="day", eps=0.01).collect()}
+    all_ = quantiles.percentiles(rows, ["k"], "x", probs, load="day", eps=0.01).collect()
+    assert {(r["k"], r["day"]) for r in all_ if r["scope"] == "load"} == {(c, d) for c in ("hot", "b", None) for d in range(5)}
+    got = {r["k"]: r for r in all_ if r["scope"] == "all"}
+    days = {(c, d): np.sort(x[[(None if e is None or e == "None" else e) == c and f == d for e, f in zip(k, days, strict=True)]]) for c in ("hot", "b") for d in range(5)}
+    for r in all_:
+        if r["scope"] == "load" and r["k"] is not None:
+            data = days[r["k"], r["day"]]
+            assert r["n"] == len(data) and r["rank_error"] <= 0.01 * len(data)
+            assert abs(np.searchsorted(data, r["p"][1]) + 1 - math.ceil(0.5 * len(data))) <= r["rank_error"]
     assert set(got) == {"hot", "b", None}
     for key, r in got.items():
         data = np.sort([v for c, v in zip(k, x, strict=True) if (None if c is None or c == "None" else c) == key])
@@ -198,6 +207,32 @@ def test_percentiles_within_the_bound(spark):
             assert abs(np.searchsorted(data, v) + 1 - math.ceil(p * len(data))) <= r["rank_error"]
 
 
+def test_a_stack_holds_few_tuples_and_keeps_its_promise():
+    rng = np.random.default_rng(8)
+    stack, data, keep = quantiles.Stack(400), [], 100
+    for _ in range(300):
+        v = rng.normal(0, 1, 500)
+        data.append(v)
+        stack.add(quantiles.summarise(v, 400))
+        assert stack.tuples() <= 401 * 10
+    data = np.sort(np.concatenate(data))
+    s = quantiles.prune(stack.whole(), keep)
+    check_summary(s, data)
+    assert max(quantiles.query(s, p)[1] for p in (0.01, 0.5, 0.99)) <= len(data) * (9 / 800 + 1 / 200 + 1 / 800)
+
+
+def test_tasks_with_many_keys_send_early(spark):
+    df = spark.range(40000).select((F.col("id") % 4000).alias("k"), F.col("id").cast("double").alias("x")).coalesce(1)
+    parts = quantiles.summaries(df, ["k"], "x", buffer=2000, held_tuples=9000)
+    assert parts.count() > 4000
+    got = quantiles.percentiles_of(quantiles.merge_summaries(parts, ["k"]), ["k"], [0.5]).toPandas()
+    assert len(got) == 4000 and (got["n"] == 10).all() and (got["rank_error"] == 0).all()
+    ranks = quantiles.ranks_within(df, ["k"], "x", quantiles.percentiles(df, ["k"], "x", [0.5]), [0.5]).toPandas()
+    assert len(ranks) == 4000 and ranks["within"].all() and (ranks["n"] == 10).all()
+    wrong = quantiles.percentiles(df, ["k"], "x", [0.5]).withColumn("p", F.transform("p", lambda v: v + 60000))
+    assert not quantiles.ranks_within(df, ["k"], "x", wrong, [0.5]).where("within").count()
+
+
 def test_days_can_be_combined_later(spark):
     df = spark.range(5000).select(F.lit("k").alias("k"), (F.col("id") % 5).cast("int").alias("day"), F.col("id").cast("double").alias("x"))
     per_day = quantiles.merge_summaries(quantiles.summaries(df, ["k", "day"], "x", 0.02), ["k", "day"], 0.02)
