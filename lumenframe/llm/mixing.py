@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.operators.positions import slice_offsets
+from lumenframe.operators.positions import dense_positions, slice_offsets
 from lumenframe.session import cut
 
 
 @dataclass(frozen=True)
 class MixRule:
-    """``block``: uses drawn together. ``shard_size``: size of an output shard. ``total``: wanted total
+    """``block``: uses drawn together, at least. ``slice_rows``: rows of a source numbered in one slice. ``shard_size``: size of an output shard. ``total``: wanted total
     size, or None for the largest at which every source with records still holds its share."""
 
     block: int = 16
     shard_size: int = 1_000_000
     total: int | None = None
     seed: int = 20240229
-    slices: int = 256
+    slice_rows: int = 1 << 16
     most_sources: int = 10_000
 
 
@@ -48,11 +47,30 @@ def split_blocks(blocks: np.ndarray, shards: int, shard: int, seed: int) -> tupl
     return first, have
 
 
-def _coprime(k: int, seed: int) -> int:
-    a = max(1, int(k * 0.6180339887) + seed % 7)
-    while gcd(a, k) != 1:
-        a += 1
-    return a
+#: Blocks in all that a split draws from; below what numpy's sampler takes (a thousand million).
+MOST_BLOCKS = 1 << 28
+
+
+def block_size(uses: int, rule: MixRule) -> int:
+    """Uses in a block: ``rule.block``, or more where there would be too many blocks to split."""
+    return max(rule.block, -(-uses // MOST_BLOCKS))
+
+
+def permuted_blocks(spark: SparkSession, names: list[str], blocks: np.ndarray, rule: MixRule) -> DataFrame:
+    """``s, block, permuted``: a random permutation of the blocks of each source, by the order of their
+    hashes, numbered in slices of hashes."""
+    ends = np.cumsum(blocks)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = b["id"].to_numpy()
+            k = np.searchsorted(ends, at, "right")
+            yield pd.DataFrame({"s": np.array(names, dtype=object)[k], "block": at - (ends - blocks)[k]})
+
+    listed = spark.range(int(ends[-1]) if len(ends) else 0).mapInPandas(kernel, "s string, block long")
+    hashed = listed.withColumn("h", F.xxhash64(F.lit(rule.seed + 2), "s", "block"))
+    slices = max(16, -(-int(blocks.max(initial=0)) // rule.slice_rows))
+    return dense_positions(hashed, ["s"], F.pmod("h", F.lit(slices)), [F.col("h"), F.col("block")], "permuted").drop("h")
 
 
 def folded_source(c: Column) -> Column:
@@ -84,7 +102,7 @@ def mix_sources(
     smallest ``max_repeats`` holds. If the wanted total is more than a source allows, the source
     gives what it can. Empty tables give empty draws. Other columns are not read.
 
-    The uses of a source follow each other pass by pass, in blocks; the blocks are permuted, the
+    The uses of a source follow each other pass by pass, in blocks; the blocks are permuted at random, the
     splitting tree gives each shard its exact quota of blocks of every source, and inside a shard
     (of bounded size) the uses are shuffled by hash. Per source only counts and sums are gathered,
     in hash slices, so one source may hold any share of the records.
@@ -114,7 +132,8 @@ def mix_sources(
 
     # The hashed order of a source: by slice, then by hash and id.
     h = F.xxhash64(F.lit(rule.seed), F.col("i"))
-    hashed = sized.withColumn("h", h).withColumn("slice", F.pmod("h", F.lit(rule.slices)))
+    slices = max(16, -(-max((c for _, c in have.values()), default=0) // rule.slice_rows))
+    hashed = sized.withColumn("h", h).withColumn("slice", F.pmod("h", F.lit(slices)))
     w = Window.partitionBy("s", "slice").orderBy("h", "i")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     local = hashed.withColumn("rn", F.row_number().over(w).cast("long")).withColumn("sum_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -133,7 +152,8 @@ def mix_sources(
     used = {r["s"]: (r["u"], r["n"], r["k"]) for r in placed.groupBy("s").agg(F.sum("uses").alias("u"), F.sum(F.col("uses") * F.col("n")).alias("n"), F.max("uses").alias("k")).collect()}
 
     order = sorted(used)
-    blocks = np.array([-(-used[s][0] // rule.block) for s in order], np.int64)
+    block = block_size(sum(used[s][0] for s in order), rule)
+    blocks = np.array([-(-used[s][0] // block) for s in order], np.int64)
     shards = max(1, -(-int(sum(used[s][1] for s in order)) // rule.shard_size))
     seed = rule.seed
 
@@ -147,13 +167,11 @@ def mix_sources(
 
     quotas = spark.range(shards).mapInPandas(kernel, "shard long, s string, first long, beyond long")
     owner = quotas.select("shard", "s", F.explode(F.sequence("first", F.col("beyond") - 1)).alias("permuted"))
-    steps = spark.createDataFrame([(s, int(k), _coprime(int(k), seed)) for s, k in zip(order, blocks, strict=True)], "s string, k long, step long")
+    home = permuted_blocks(spark, order, blocks, rule).join(owner, ["s", "permuted"]).drop("permuted")
     draws = (
         placed.withColumn("use", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)))
-        .withColumn("block", F.floor((F.col("use") * F.col("c") + F.col("p")) / F.lit(rule.block)))
-        .join(F.broadcast(steps), "s")
-        .withColumn("permuted", F.pmod(F.col("block") * F.col("step"), F.col("k")))
-        .join(owner, ["s", "permuted"], "inner")
+        .withColumn("block", F.floor((F.col("use") * F.col("c") + F.col("p")) / F.lit(block)))
+        .join(home, ["s", "block"], "inner")
     )
     local_order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "i", "use"), "i", "use")
     draws = draws.select("shard", (F.row_number().over(local_order) - 1).alias("position"), F.col("i").alias(item), F.col("s").alias("source"), F.col("use").cast("int").alias("use"), F.col("n").alias("size"))

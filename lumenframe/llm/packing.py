@@ -64,7 +64,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int,
     return plan
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int, slices: int = 256) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, capacity: int, slice_rows: int = 1 << 16) -> DataFrame:
     """The container of each item: ``item, piece, size, container``.
 
     An item of at most ``capacity`` is one piece (piece 0). A longer one is split into full pieces
@@ -74,8 +74,8 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, slices: int = 25
     Repeated ids are items of their own; an empty table gives no rows; other columns are not read.
 
     Only the histogram of lengths, at most ``capacity`` rows, reaches the driver; the plan has a row
-    per pattern and length. Items of one length are numbered in ``slices`` hash slices, so a length
-    that a third of all items share is spread as well.
+    per pattern and length. Items of one length are numbered in hash slices of about ``slice_rows``, so
+    a length that a third of all items share is spread as well.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -90,6 +90,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, slices: int = 25
         "i", F.when(F.col("n") > c, F.floor(F.col("n") / c)).otherwise(0).cast("int").alias("piece"), F.when(F.col("n") > c, F.col("n") % c).otherwise(F.col("n")).alias("n")
     ).where("n > 0")
     histogram = {r["n"]: r["c"] for r in part.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    slices = max(16, -(-max(histogram.values(), default=0) // slice_rows))
     slots, base, taken = [], 0, {}
     for pattern, times in plan_bins(histogram, capacity):
         for length, need in sorted(pattern.items()):
@@ -103,7 +104,8 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, slices: int = 25
     placed = at.join(plan, "n", "inner").where("pos >= first AND pos < beyond").select(
         "i", "piece", "n", (F.col("base") + F.floor((F.col("pos") - F.col("first")) / F.col("need"))).cast("long").alias("container")
     )
-    alone = dense_positions(full.withColumn("one", F.lit(0)), ["one"], F.pmod(F.xxhash64("i"), F.lit(slices)), [F.col("i"), F.col("piece")])
+    many = max(16, -(-(full.agg(F.count(F.lit(1))).first()[0]) // slice_rows))
+    alone = dense_positions(full.withColumn("one", F.lit(0)), ["one"], F.pmod(F.xxhash64("i"), F.lit(many)), [F.col("i"), F.col("piece")])
     alone = alone.select("i", "piece", "n", (F.col("pos") + F.lit(base)).alias("container"))
     out = placed.unionByName(alone).unionByName(empty)
     return out.select(F.col("i").alias(item), "piece", F.col("n").alias(size), "container")

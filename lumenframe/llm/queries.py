@@ -12,7 +12,7 @@ from lumenframe.llm.quantiles import percentiles, ranks_within
 from lumenframe.llm.repetition import repetition
 from lumenframe.llm.tokens import token_counts
 from lumenframe.llm.topn import top_n_per_group
-from lumenframe.session import table
+from lumenframe.session import cut, table
 
 CAPACITY = 2048
 CELL = ["cell_a_a", "cell_b_a", "cell_c_a", "cell_alpha_deg", "cell_beta_deg", "cell_gamma_deg"]
@@ -43,8 +43,13 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """How many groups there are of each size."""
-    return describe_groups(_groups(spark, d)).groupBy("size").agg(F.count(F.lit(1)).alias("groups"))
+    """How many groups there are of each size, and whether the typical frames are members of their own."""
+    groups = _groups(spark, d)
+    told = cut(describe_groups(groups))
+    named = told.select("cluster", F.explode("typical").alias("item")).join(groups.members.select("item", F.col("cluster").alias("home")), "item")
+    inside = named.groupBy("cluster").agg(F.every(F.col("home") == F.col("cluster")).alias("inside"), F.count(F.lit(1)).alias("n"))
+    right = F.col("inside") & F.col("n").between(1, 3)
+    return told.join(inside, "cluster").groupBy("size").agg(F.count(F.lit(1)).alias("groups"), F.every(right).alias("typical_inside"))
 
 
 EPS = 0.005
@@ -90,12 +95,17 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are, against the least number that could do."""
-    per = p7_containers(spark, d).where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("t"))
-    return per.agg(
-        F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("t") / CAPACITY).alias("least_containers"), F.sum("t").alias("tokens"),
-        F.max("t").alias("fullest"), (1 - F.sum("t") / (F.count(F.lit(1)) * CAPACITY)).alias("unused_share"),
-    )
+    """Whether each text is packed whole, no container overflows, and the containers are within 1 % of the
+    least number that could do."""
+    sizes, placed = cut(_tokens(spark, d)), cut(p7_containers(spark, d))
+    per = placed.where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("t"))
+    full = per.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.max("t").alias("top"))
+    packed = placed.groupBy("doc_id").agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece").alias("distinct"))
+    whole = sizes.join(packed, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("texts"), F.every((F.col("got") == F.col("tokens")) & (F.col("pieces") == F.col("distinct")) & ((F.col("tokens") > CAPACITY) | (F.col("pieces") == 1))).alias("each_whole")
+    )
+    fits, few = (F.col("top") <= CAPACITY).alias("none_overflows"), (F.col("n") <= F.ceil(F.col("t") / CAPACITY) * 1.01 + 1).alias("few_containers")
+    return whole.join(full).select("texts", "each_whole", fits, few)  # one row each
 
 
 def _mix(spark: SparkSession, d: str) -> Mix:
@@ -114,6 +124,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: whether no text is used too often, the draws are the uses, and the share is met
+    to within one text."""
+    m = _mix(spark, d)
+    draws, uses, shares = cut(m.draws), cut(m.uses), m.shares
+    drawn = draws.groupBy("doc_id", "use").agg(F.count(F.lit(1)).alias("k")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("drawn"), F.max("k").alias("k"))
+    per = uses.join(drawn, "doc_id", "left").groupBy("source").agg(F.max("uses").alias("top"), F.max("size").alias("largest"), F.every((F.coalesce("drawn", F.lit(0)) == F.col("uses")) & (F.coalesce("k", F.lit(1)) == 1)).alias("draws_are_uses"))
+    total = shares.agg(F.sum("used").alias("total"))
+    off = F.abs(F.col("actual_share") - F.col("reachable_share")) * F.col("total")
+    got = shares.join(per, "source", "left").join(total)  # one row beside a row per target
+    return got.select(
+        "source", "target_share", "max_repeats", F.round("reachable_share", 6).alias("reachable_share"), "records", (F.coalesce("top", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"),
+        F.coalesce("draws_are_uses", F.lit(True)).alias("draws_are_uses"), (off <= F.coalesce("largest", F.lit(0)) + 1).alias("on_target"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents"), "doc_id", "text").where("high").select("doc_id").distinct()
 
@@ -153,7 +179,7 @@ _BANDS = """rf AS (SELECT load_id, lower(trim(panel)) AS panel, CASE WHEN resolu
   WHERE intensity IS NOT NULL AND NOT isnan(intensity)),
 gr AS (SELECT 'load' AS scope, load_id, panel, band, count(*) AS n FROM rf GROUP BY 2, 3, 4 UNION ALL SELECT 'all', NULL, panel, band, count(*) FROM rf GROUP BY 3, 4)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p4_loads, p4_ranks, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_clusters, p3_sizes, p4_percentiles, p4_loads, p4_ranks, p7_containers, p7_fill, p8_draws, p8_uses, p8_shares, p8_checks, p9_found, p9_shares)}
 
 ORACLE = {
     "p1_found": """SELECT frame_index, peak_id FROM (
@@ -166,9 +192,15 @@ ORACLE = {
     WHERE panel IS NOT NULL AND intensity IS NOT NULL AND NOT isnan(intensity))) WHERE rank <= 3""",
     "p3_found": f"""WITH {_alike_sql()} SELECT a AS frame_index_a, p AS frame_index_b FROM (
   SELECT p, lag(p) OVER (PARTITION BY g ORDER BY p) AS a FROM label) WHERE a IS NOT NULL""",
-    "p3_sizes": f"WITH {_alike_sql()} SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM label GROUP BY g) GROUP BY size",
+    "p3_sizes": f"WITH {_alike_sql()} SELECT size, count(*) AS groups, true AS typical_inside FROM (SELECT count(*) AS size FROM label GROUP BY g) GROUP BY size",
     "p4_loads": f"WITH {_BANDS} SELECT scope, load_id, count(*) AS groups, CAST(sum(n) AS BIGINT) AS values, true AS within_bound FROM gr GROUP BY 1, 2",
     "p4_ranks": f"WITH {_BANDS} SELECT scope, load_id, panel, band, unnest({PROBS}::DOUBLE[]) AS prob, n, true AS within FROM gr",
+    "p7_fill": "SELECT count(*) AS texts, true AS each_whole, true AS none_overflows, true AS few_containers FROM documents",
+    "p8_checks": """WITH t AS (SELECT lower(trim(source)) AS source, sum(target_share) AS target_share, min(max_repeats)::BIGINT AS max_repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+h AS (SELECT lower(trim(source)) AS source, count(*) AS records FROM documents WHERE length(text) > 0 GROUP BY 1),
+b AS (SELECT t.*, coalesce(records, 0) AS records FROM t LEFT JOIN h USING (source))
+SELECT source, target_share, max_repeats, round(CASE WHEN records > 0 THEN target_share / sum(target_share) FILTER (WHERE records > 0) OVER () ELSE 0.0 END, 6) AS reachable_share, records,
+  true AS within_repeats, true AS draws_are_uses, true AS on_target FROM b""",
     "p9_found": f"WITH {_WORDS} SELECT doc_id FROM judged WHERE high",
     "p9_shares": f"WITH {_WORDS} SELECT doc_id, words, repeated, high FROM judged",
 }

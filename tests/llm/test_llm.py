@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenframe.llm import clusters, packing, quantiles, repetition
-from lumenframe.llm.mixing import MixRule, mix_sources, split_blocks
+from lumenframe.llm.mixing import MOST_BLOCKS, MixRule, block_size, mix_sources, permuted_blocks, split_blocks
 from lumenframe.llm.tokens import token_counts
 from lumenframe.llm.topn import top_n_per_group
 
@@ -308,6 +308,26 @@ def test_splitting_tree_partitions_all_blocks():
     assert max(sizes) - min(sizes) <= 4
 
 
+def test_blocks_stay_few_enough_to_be_split():
+    for uses in (0, 5, 16, 10**9, 32 * 10**9, 10**13):
+        assert block_size(uses, MixRule()) >= 16 and uses / block_size(uses, MixRule()) <= MOST_BLOCKS
+    uses = np.array([20 * 10**9, 11 * 10**9, 10**9])  # 2e9 blocks of 16
+    blocks = -(-uses // block_size(int(uses.sum()), MixRule()))
+    parts = [split_blocks(blocks, 5, s, 3) for s in range(5)]
+    assert (sum(n for _, n in parts) == blocks).all()
+
+
+def test_blocks_are_permuted_at_random(spark):
+    blocks = np.array([5000, 1, 0, 300])
+    got = permuted_blocks(spark, ["a", "b", "c", "d"], blocks, MixRule(slice_rows=100)).toPandas()
+    for name, n in zip("abcd", blocks, strict=True):
+        g = got[got.s == name]
+        assert sorted(g["block"]) == sorted(g["permuted"]) == list(range(n))
+    a = got[got.s == "a"].sort_values("block")["permuted"].to_numpy()
+    step = np.diff(a) % 5000
+    assert np.unique(step, return_counts=True)[1].max() < 10 and abs(np.corrcoef(np.arange(5000), a)[0, 1]) < 0.05
+
+
 def test_mix(spark):
     rng = np.random.default_rng(3)
     rows = [(k, " Big" if k % 2 else "BIG", int(rng.integers(1, 50))) for k in range(2000)]
