@@ -1,7 +1,8 @@
 """Stencils over pixels: as range windows on the long form, and as a kernel on dense frames.
 
-The window form sums rows, then columns (two sorts, no neighbour explosion) and minds missing
-pixels, because it works on ranges of coordinates. The dense form takes one frame per row and is the
+The window form of boxes sums rows, then columns (two sorts, no neighbour explosion) and minds missing
+pixels, because it works on ranges of coordinates. Weighted stencils and labels of the long form go
+frame by frame through a kernel (``by_frames``): one shuffle, no copy of a pixel per tap. The dense form takes one frame per row and is the
 one for large detectors: millions of pixels per frame never become rows.
 """
 
@@ -12,9 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import spread
+
 
 def _range(across: str, along: str, r: int):
     return Window.partitionBy("frame_index", across).orderBy(along).rangeBetween(-r, r)
@@ -66,50 +70,72 @@ def matched_side(sigma: float) -> int:
     return 2 * math.ceil(3 * sigma) + 1
 
 
-def _correlate(pixels: DataFrame, values: dict[str, Column], kernel: Sequence[float], along: str, size: int, reflect: bool) -> DataFrame:
-    """Weighted sums along one axis: a pixel is sent to the few places that use it, and summed there.
+def by_frames(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` applied to whole frames of the long form (``frame_index, row, col``, …), in that order.
 
-    Partial sums are combined before the shuffle. With ``reflect`` the frame continues mirrored
-    (without repeating its edge); otherwise it is zero outside.
+    One shuffle by frame. ``fn`` gets one or more frames at a time as an Arrow table, as many as are
+    complete; what is held is one frame more, so memory depends on the detector and not on the run.
     """
-    half = len(kernel) // 2
-    taps = F.explode(F.array(*[F.struct(F.lit(k - half).alias("o"), F.lit(float(x)).alias("w")) for k, x in enumerate(kernel)]))
-    other = "row" if along == "col" else "col"
-    spread = pixels.select("frame_index", other, F.col(along).alias("at"), *[v.alias(n) for n, v in values.items()], taps.alias("t"))
-    out = spread.select("*", (F.col("at") - F.col("t.o")).alias("to"))
-    if reflect:
-        # A target beyond the edge stands for nothing; a source is also seen at its mirror images.
-        images = F.array_distinct(F.array(F.col("at"), -F.col("at"), F.lit(2 * (size - 1)) - F.col("at")))
-        out = spread.withColumn("im", F.explode(images)).select("*", (F.col("im") - F.col("t.o")).alias("to"))
-    inside = out.where((F.col("to") >= 0) & (F.col("to") < size))
-    return inside.groupBy("frame_index", other, F.col("to").alias(along)).agg(*[F.sum(F.col("t.w") * F.col(n)).alias(n) for n in values])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            f = b.column("frame_index").to_numpy(zero_copy_only=False)
+            start = int(np.searchsorted(f, f[-1]))  # rows come in order of the frame
+            if start == 0 and (not held or held[-1].column("frame_index")[-1].as_py() == f[0]):
+                held.append(b)
+                continue
+            yield from fn(pa.Table.from_batches([*held, b.slice(0, start)]).combine_chunks()).to_batches()
+            held = [b.slice(start)]
+        if held:
+            yield from fn(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    whole = df.where("frame_index IS NOT NULL AND row IS NOT NULL AND col IS NOT NULL")
+    return spread(whole, "frame_index").sortWithinPartitions("frame_index", "row", "col").mapInArrow(kernel, schema)
+
+
+def _images(t: pa.Table, columns: Sequence[str], height: int, width: int) -> tuple[tuple[np.ndarray, ...], list[np.ndarray]]:
+    """The places of the rows in a stack of their frames, and the columns as such stacks (0 where no row is)."""
+    f = np.unique(t["frame_index"].to_numpy(), return_inverse=True)[1]
+    at = f, t["row"].to_numpy(), t["col"].to_numpy()
+    out = []
+    for c in columns:
+        x = np.zeros((int(f.max()) + 1, height, width))
+        x[at] = t[c].to_numpy()
+        out.append(x)
+    return at, out
+
+
+def _masked(pixels: DataFrame, value: str, mask: Column | None) -> DataFrame:
+    m = F.when(mask if mask is not None else F.col(value).isNotNull(), 1.0).otherwise(0.0)
+    return pixels.select(F.col("frame_index").cast("long").alias("frame_index"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), m.alias("m"), (F.coalesce(F.col(value).cast("double"), F.lit(0.0)) * m).alias("s"))
 
 
 def gaussian_mean(pixels: DataFrame, value: str, side: int, sigma: float, height: int, width: int, mask: Column | None = None) -> DataFrame:
-    """``frame_index, row, col, smooth``: Gaussian mean weighted by the mask, mirrored at the edges."""
-    m = F.when(mask if mask is not None else F.col(value).isNotNull(), 1.0).otherwise(0.0)
-    start = pixels.select("frame_index", "row", "col", m.alias("m"), (F.coalesce(F.col(value), F.lit(0.0)) * m).alias("s"))
+    """``frame_index, row, col, smooth`` of the pixels there are: Gaussian mean weighted by the mask,
+    mirrored at the edges (without repeating them); 0 where the mask is empty all around."""
     k = gaussian(side, sigma)
-    first = _correlate(start, {"m": F.col("m"), "s": F.col("s")}, k, "col", width, True)
-    second = _correlate(first, {"m": F.col("m"), "s": F.col("s")}, k, "row", height, True)
-    return second.select("frame_index", "row", "col", F.when(F.col("m") > 0, F.col("s") / F.greatest("m", F.lit(1e-12))).otherwise(0.0).alias("smooth"))
+
+    def smooth(t: pa.Table) -> pa.Table:
+        at, (m, s) = _images(t, ("m", "s"), height, width)
+        m, s = correlate_dense(m, k, "reflect"), correlate_dense(s, k, "reflect")
+        got = np.where(m > 0, s / np.maximum(m, 1e-12), 0.0)
+        return t.select(["frame_index", "row", "col"]).append_column("smooth", pa.array(got[at]))
+
+    return by_frames(_masked(pixels, value, mask), smooth, "frame_index long, row int, col int, smooth double")
 
 
 def matched_filter(pixels: DataFrame, z: str, scales: Sequence[float], height: int, width: int, mask: Column | None = None) -> DataFrame:
-    """``frame_index, row, col, t``: the largest response over the scales of a unit-norm Gaussian."""
-    m = F.when(mask if mask is not None else F.col(z).isNotNull(), 1.0).otherwise(0.0)
-    start = pixels.select("frame_index", "row", "col", m.alias("m"), (F.coalesce(F.col(z), F.lit(0.0)) * m).alias("s"))
-    best = None
-    for sigma in scales:
-        g = gaussian(matched_side(sigma), sigma)
-        norm = math.sqrt(sum(x * x for x in g))
-        u = [x / norm for x in g]
-        num = _correlate(_correlate(start, {"s": F.col("s")}, u, "col", width, False), {"s": F.col("s")}, u, "row", height, False)
-        u2 = [x * x for x in u]
-        den = _correlate(_correlate(start, {"m": F.col("m")}, u2, "col", width, False), {"m": F.col("m")}, u2, "row", height, False)
-        t = num.join(den, ["frame_index", "row", "col"]).select("frame_index", "row", "col", (F.col("s") / F.sqrt(F.greatest("m", F.lit(1e-12)))).alias("t"))
-        best = t if best is None else best.unionByName(t)
-    return best.groupBy("frame_index", "row", "col").agg(F.max("t").alias("t")) if len(scales) > 1 else best
+    """``frame_index, row, col, t`` of the pixels there are: the largest response over the scales of a
+    unit-norm Gaussian, nothing beyond the frame."""
+
+    def respond(t: pa.Table) -> pa.Table:
+        at, (m, s) = _images(t, ("m", "s"), height, width)
+        return t.select(["frame_index", "row", "col"]).append_column("t", pa.array(matched_dense(s, m > 0, scales)[at]))
+
+    return by_frames(_masked(pixels, z, mask), respond, "frame_index long, row int, col int, t double")
 
 
 def local_maxima(pixels: DataFrame, value: str) -> DataFrame:
@@ -170,14 +196,3 @@ def matched_dense(z: np.ndarray, mask: np.ndarray, scales: Sequence[float]) -> n
         t = correlate_dense(z * m, u, "constant") / np.sqrt(np.maximum(correlate_dense(m, u * u, "constant"), 1e-12))
         best = t if best is None else np.maximum(best, t)
     return best
-
-
-def map_dense(frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], height: int, width: int, out: str = "pixels") -> DataFrame:
-    """Apply an image function to each dense frame: ``frame_index, out`` (flat array)."""
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [np.asarray(fn(np.asarray(p, float).reshape(height, width))).ravel().tolist() for p in b["pixels"]]
-            yield pd.DataFrame({"frame_index": b["frame_index"], out: got})
-
-    return frames.select("frame_index", "pixels").mapInPandas(kernel, f"frame_index long, {out} array<double>")
