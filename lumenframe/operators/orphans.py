@@ -55,11 +55,28 @@ def _rows(e: Entity, key: Column) -> DataFrame:
     )
 
 
+#: Keys up to which they are broadcast (some 40 bytes each), and into how many parts a hot key is split beyond.
+BROADCAST_KEYS = 500_000
+SALTS = 16
+
+
+def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (``k``, ``row``) whose key is among ``keys`` (``k`` once, other columns ride along). A few keys
+    are sent to the rows; of many, each is met by a part of its rows at a time, so that a key which a
+    third of all rows hold is no single task."""
+    keys = cut(keys)
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), "k", "inner")
+    part = F.pmod(F.xxhash64("row"), F.lit(SALTS))
+    every = keys.withColumn("__part", F.explode(F.array(*[F.lit(n).cast("long") for n in range(SALTS)])))
+    return rows.withColumn("__part", part).join(every, ["k", "__part"], "inner").drop("__part")
+
+
 def _direct(child: Entity, parent: Entity, fk: ForeignKey, fold) -> DataFrame:
     """Rows of the child whose parent is missing, withdrawn or late. The join is on one row per key
     of either side: the child's keys are pre-aggregated with their earliest arrival, so that a key
     which holds a large share of the child meets the parent once, and only the keys that do not
-    hold up are joined back to the rows."""
+    hold up meet the rows again (``_meet``)."""
     gone = F.col(parent.removed).isNotNull() if parent.removed else F.lit(False)
     came = F.col(parent.arrived).cast("timestamp_ntz") if parent.arrived else F.lit(None).cast("timestamp_ntz")
     parents = (
@@ -74,7 +91,7 @@ def _direct(child: Entity, parent: Entity, fk: ForeignKey, fold) -> DataFrame:
     kind = (
         F.when(F.col("all_gone").isNull(), "missing").when(F.col("all_gone"), "deleted").when(F.col("first_came") > F.col("at"), "late")
     )
-    return rows.join(bad, "k", "inner").select("row", "period", "k", kind.alias("kind")).where("kind IS NOT NULL")
+    return _meet(rows, bad).select("row", "period", "k", kind.alias("kind")).where("kind IS NOT NULL")
 
 
 def find_orphans(
@@ -125,7 +142,7 @@ def find_orphans(
             lost = result.where((F.col("table") == fk.parent) & F.col("kind").isin("missing", "deleted", "inherited")).select("row").distinct()
             kept = holder.join(touched, "k", "left_semi").where(~F.col("gone")).join(lost, "row", "left_anti").select("k").distinct()
             lost_keys = touched.join(kept, "k", "left_anti")
-            rows = _rows(child, fold(F.col(fk.column))).where("k IS NOT NULL").join(lost_keys, "k", "left_semi")
+            rows = _meet(_rows(child, fold(F.col(fk.column))).where("k IS NOT NULL"), lost_keys)
             step.append(
                 rows.select(
                     F.lit(fk.child).alias("table"), "row", "period", F.lit(fk.name).alias("reference"), F.lit("inherited").alias("kind"), F.lit(level).alias("level")

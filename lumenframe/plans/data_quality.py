@@ -55,7 +55,21 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return report.select(F.col("table").alias("table_name"), F.col("period").cast("int").alias("load_id"), "kind", F.when(F.col("level") == 0, "direct").otherwise("inherited").alias("how"), "rows")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sources, p5_found, p5_profile, p6_found, p6_report)}
+def p6_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Rows orphaned directly and through others once a region is withdrawn, down to the line items."""
+    t = {n: table(spark, d, n) for n in ("region", "nation", "customer", "orders", "lineitem")}
+    region = t["region"].withColumn("removed", F.when(F.col("r_name") == "ASIA", F.lit("withdrawn")))
+    line = t["lineitem"].withColumn("line", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    entities = {
+        "region": Entity(region, "r_regionkey", "removed"), "nation": Entity(t["nation"], "n_nationkey"), "customer": Entity(t["customer"], "c_custkey"),
+        "orders": Entity(t["orders"], "o_orderkey"), "lineitem": Entity(line, "line"),
+    }
+    keys = [ForeignKey("nation", "n_regionkey", "region", "r_regionkey"), ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"), ForeignKey("orders", "o_custkey", "customer", "c_custkey"), ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey")]
+    report = orphan_report(find_orphans(entities, keys))
+    return report.select(F.col("table").alias("table_name"), "kind", "level", "rows")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sources, p5_found, p5_profile, p6_found, p6_report, p6_cascade)}
 
 _PARENTS = """parents AS (SELECT lower(trim(frame_id)) AS k, bool_and(removed_at IS NOT NULL) AS gone, min(loaded_at) AS came
   FROM frames WHERE frame_id IS NOT NULL GROUP BY 1)"""
@@ -135,5 +149,11 @@ ORACLE = {
     "p6_report": f"""WITH {_PARENTS}, found AS ({_CHILD.format(t="reflections", i="reflection_id", kind=_KIND)}
   UNION ALL {_CHILD.format(t="peaks", i="peak_id", kind=_KIND)})
 SELECT table_name, load_id, kind, 'direct' AS how, count(*) AS rows FROM found GROUP BY 1, 2, 3""",
+    "p6_cascade": """WITH RECURSIVE e AS (SELECT 'nation' AS t, n_nationkey::VARCHAR AS r, 'region' AS pt, n_regionkey::VARCHAR AS pk FROM nation UNION SELECT 'customer', c_custkey::VARCHAR, 'nation', c_nationkey::VARCHAR FROM customer
+  UNION SELECT 'orders', o_orderkey::VARCHAR, 'customer', o_custkey::VARCHAR FROM orders UNION SELECT 'lineitem', l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR, 'orders', l_orderkey::VARCHAR FROM lineitem),
+p AS (SELECT 'region' AS t, r_regionkey::VARCHAR AS k, r_name = 'ASIA' AS gone FROM region UNION SELECT t, r, false FROM e),
+d AS (SELECT e.t, e.r, CASE WHEN p.k IS NULL THEN 'missing' ELSE 'deleted' END AS kind FROM e LEFT JOIN p ON pt = p.t AND pk = p.k WHERE pk IS NOT NULL AND (p.k IS NULL OR gone)),
+c AS (SELECT t, r, kind, 0 AS level FROM d UNION SELECT e.t, e.r, 'inherited', c.level + 1 FROM c JOIN e ON e.pt = c.t AND e.pk = c.r WHERE (e.t, e.r) NOT IN (SELECT (t, r) FROM d))
+SELECT t AS table_name, kind, level, count(*) AS rows FROM c GROUP BY 1, 2, 3""",
     "p5_profile": _profile_sql(),
 }

@@ -212,3 +212,18 @@ def profile_schema():
     from lumenframe.sources.footers import FOOTER_SCHEMA
 
     return FOOTER_SCHEMA
+
+
+def test_hot_keys_are_met_in_parts(spark, monkeypatch):
+    from lumenframe.operators import orphans
+
+    p = spark.createDataFrame([("a",)], "k string")
+    c = spark.createDataFrame([(k, "hot" if k % 3 else ("a" if k % 2 else f"x{k}")) for k in range(300)], "row long, ref string")
+    e = {"p": Entity(p, "k"), "c": Entity(c, "row")}
+    want = {str(k) for k in range(300) if k % 3 or k % 2 == 0}
+    for limit in (10**6, 3):
+        monkeypatch.setattr(orphans, "BROADCAST_KEYS", limit)
+        assert {r["row"] for r in find_orphans(e, [ForeignKey("c", "ref", "p", "k")]).collect()} == want
+    rows = [(k, k - 1) for k in range(1, 71)]
+    deep = find_orphans({"t": Entity(spark.createDataFrame(rows[:8], "k long, up long"), "k")}, [ForeignKey("t", "up", "t", "k")])
+    assert deep.agg(F.max("level")).first()[0] == 7
