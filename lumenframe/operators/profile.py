@@ -10,14 +10,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.session import cut
-from lumenframe.sources.footers import RowGroup, by_row_group, read_footers
+from lumenframe.sources.footers import Chunks, by_file, read_footers
 
-PROFILE_SCHEMA = "column string, rows long, nulls long, lo double, hi double, violations long, chunks long, chunks_read long, v double, s string"
-
-
-PROFILE_FIELDS = [c.split()[0] for c in PROFILE_SCHEMA.split(", ")]
+#: A row holds counts of a chunk, or a distinct value as a number or a text, or names a chunk that is to be scanned.
+PROFILE_SCHEMA = "column string, rows long, nulls long, lo double, hi double, chunks long, chunks_read long, v double, s string, file string"
 #: Arrow types of the column types that the kernels below send.
 ARROW = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "date": pa.date32(), "boolean": pa.bool_()}
 
@@ -34,44 +33,26 @@ def _batch(schema: str, n: int, columns: Mapping) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names=names)
 
 
-def _as_numbers(x: pa.ChunkedArray) -> np.ndarray:
-    """The non-NULL values of a number column as doubles; NaN stays."""
-    return x.drop_null().to_numpy().astype(float)
-
-
-def _profile_chunk(fact: Mapping, chunk: RowGroup, pattern: str | None) -> tuple[tuple, np.ndarray, list[str]]:
-    """Counts and extrema of one column chunk, and its distinct values as doubles or as texts."""
-    name, rows = fact["column"], fact["rows"]
-    nothing = np.empty(0), []
-    if rows == 0 or (fact["exact"] and fact["nulls"] == rows):
-        return (name, rows, fact["nulls"] or 0, None, None, 0 if pattern else None, 1, 0), *nothing
-    values = chunk.dictionary(name) if fact["exact"] and pattern is None else None
-    if values is not None:
-        number = not isinstance(values, list)
-        floats = number and values.dtype.kind == "f"
-        head = (name, rows, fact["nulls"], fact["lo"] if number else None, fact["hi"] if number else None, None, 1, 0)
-        return (head, values.astype(float), []) if floats else (head, nothing[0], [str(v) for v in values])
-    column = chunk.read([name])[name]
-    kind = column.type
-    nulls = column.null_count
-    lo = hi = None
-    if pa.types.is_floating(kind) or pa.types.is_integer(kind):
-        v = _as_numbers(column)
-        v = v[~np.isnan(v)]
-        lo, hi = (float(v.min()), float(v.max())) if len(v) else (None, None)
-    distinct = column.unique().drop_null()
-    wrong = None
-    if pattern is not None:
-        import regex
-
-        text = column.drop_null().cast(pa.string())
-        wrong = sum(regex.search(pattern, t) is None for t in text.to_pylist())
-    head = (name, rows, nulls, lo, hi, wrong, 1, 1)
-    if pa.types.is_floating(kind):
-        return head, distinct.to_numpy(zero_copy_only=False).astype(float), []
-    if pa.types.is_temporal(kind):
-        distinct = distinct.cast(pa.timestamp("us") if pa.types.is_timestamp(kind) else kind).view(pa.int64() if pa.types.is_timestamp(kind) else kind)
-    return head, np.empty(0), [str(x) for x in distinct.to_pylist()]
+NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+REAL = (T.DoubleType, T.FloatType)
+
+
+def _scan_profile(df: DataFrame, files: list[str], names: list[str], patterns: Mapping[str, str]) -> DataFrame:
+    """Counts, extrema, violations and distinct values of some columns of some files, in one scan."""
+    schema = T.StructType([df.schema[n] for n in names])
+    rows = df.sparkSession.read.schema(schema).parquet(*files)
+    none = F.lit(None)
+    parts = []
+    for n in names:
+        x, kind = F.col(f"`{n}`"), df.schema[n].dataType
+        number = x.cast("double") if isinstance(kind, NUMERIC) else none.cast("double")
+        as_text = F.unix_micros(x.cast("timestamp")).cast("string") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else x.cast("string")
+        text = none.cast("string") if isinstance(kind, REAL) else as_text
+        wrong = (~x.cast("string").rlike(patterns[n])).cast("long") if n in patterns else none.cast("long")
+        parts.append(F.struct(F.lit(n).alias("column"), x.isNull().cast("long").alias("nulls"), number.alias("x"), (x.cast("double") + F.lit(0.0) if isinstance(kind, REAL) else none.cast("double")).alias("v"), text.alias("s"), wrong.alias("wrong")))
+    long = rows.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    finite = F.when(~F.isnan("x"), F.col("x"))
+    return long.groupBy("column", "v", "s").agg(F.count(F.lit(1)).alias("rows"), F.sum("nulls").alias("nulls"), F.sum("wrong").alias("violations"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, patterns: Mapping[str, str] | None = None) -> DataFrame:
@@ -83,37 +64,55 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, pattern
 
     Nulls and extrema come from the footers where those state them exactly, distinct values from
     dictionary pages where no data page left the dictionary; a chunk all of whose values are NULL needs
-    neither. Only the other column chunks are read (``chunks_read`` of ``chunks``), one by one, in
-    one pass over the row groups; what moves are counts and the distinct values of each chunk. A
+    neither. A column is scanned only in files with a chunk that these do not settle
+    (``chunks_read`` of ``chunks``): one scan for each set of such columns, over the files that share it. A
     table that is no bare scan of Parquet files is written as such first. An empty table or one
     without files gives rows of zeros.
     """
     names = list(columns or df.columns)
     patterns = dict(patterns or {})
+    temporal = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
-            chunk = RowGroup(r["file"], r["row_group"])
-            for fact in r["facts"]:
-                head, v, s = _profile_chunk(fact, chunk, patterns.get(fact["column"]))
-                yield _batch(PROFILE_SCHEMA, 1, dict(zip(PROFILE_FIELDS, head)))
-                if len(v) or len(s):
-                    yield _batch(PROFILE_SCHEMA, max(len(v), len(s)), {"column": head[0]} | ({"v": v} if len(v) else {"s": s}))
-            chunk.close()
-
-    found = by_row_group(read_footers(df, names)).mapInArrow(kernel, PROFILE_SCHEMA)
-    # One row per column and distinct value, then one per column: the heads ride along in sums of one row.
-    per = found.groupBy("column", "v", "s").agg(*[F.sum(c).alias(c) for c in ("rows", "nulls", "violations", "chunks", "chunks_read")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    total = per.groupBy("column").agg(
-        *[F.sum(c).alias(c) for c in ("rows", "nulls", "violations", "chunks", "chunks_read")], F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.count_if(F.col("v").isNotNull() | F.col("s").isNotNull()).alias("distinct"),
-    )
-    head = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+            chunks = Chunks(r["file"])
+            for name in names:
+                mine = [f for f in r["facts"] if f["column"] == name]
+                heads, values, settled = [], [], name not in patterns
+                for f in mine:
+                    empty = f["rows"] == 0 or (f["exact"] and f["nulls"] == f["rows"])
+                    found = chunks.dictionary(f["row_group"], name) if settled and not empty and f["exact"] and name not in temporal else None
+                    settled = settled and (empty or found is not None)
+                    if found is not None and not settled:
+                        break
+                    heads.append({"column": name, "rows": f["rows"], "nulls": f["rows"] if empty else f["nulls"], "lo": f["lo"], "hi": f["hi"], "chunks": 1, "chunks_read": 0})
+                    if found is not None:
+                        values.append(found)
+                if not settled:
+                    yield _batch(PROFILE_SCHEMA, 1, {"column": name, "chunks": len(mine), "chunks_read": len(mine), "file": r["file"]})
+                    continue
+                for h in heads:
+                    text = any(isinstance(v, list) for v in values)
+                    yield _batch(PROFILE_SCHEMA, 1, {k: None if text and k in ("lo", "hi") else v for k, v in h.items()})
+                for v in values:
+                    real = not isinstance(v, list) and v.dtype.kind == "f"
+                    yield _batch(PROFILE_SCHEMA, len(v), {"column": name} | ({"v": v.astype(float) + 0.0} if real else {"s": [str(x) for x in v]}))
+            chunks.close()
+
+    told = cut(by_file(read_footers(df, names)).mapInArrow(kernel, PROFILE_SCHEMA))
+    sets = told.where("file IS NOT NULL").groupBy("file").agg(F.array_sort(F.collect_set("column")).alias("set")).groupBy("set").agg(F.collect_list("file").alias("files"))
+    figures = ["rows", "nulls", "violations", "chunks", "chunks_read"]
     zero = F.lit(0).cast("long")
+    parts = told.withColumn("violations", F.lit(None).cast("long")).groupBy("column", "v", "s").agg(*[F.sum(c).alias(c) for c in figures], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    for r in sets.collect():  # the files to be scanned, as any scan has them
+        parts = parts.unionByName(_scan_profile(df, r["files"], r["set"], patterns).select("column", "v", "s", "rows", "nulls", "violations", zero.alias("chunks"), zero.alias("chunks_read"), "lo", "hi"))
+    per = parts.groupBy("column", "v", "s").agg(*[F.sum(c).alias(c) for c in figures], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    total = per.groupBy("column").agg(*[F.sum(c).alias(c) for c in figures], F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_if(F.col("v").isNotNull() | F.col("s").isNotNull()).alias("distinct"))
+    head = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
     whole = lambda c: F.coalesce(c, zero).alias(c)
-    return head.join(total, "column", "left").select(
-        "column", whole("rows"), whole("nulls"), whole("distinct"), (F.col("lo") + F.lit(0.0)).alias("lo"), (F.col("hi") + F.lit(0.0)).alias("hi"), "violations", whole("chunks"), whole("chunks_read")
-    )
+    numeric = F.col("column").isin([n for n in names if isinstance(df.schema[n].dataType, NUMERIC)])
+    extreme = lambda c: F.when(numeric, F.col(c) + F.lit(0.0)).alias(c)
+    return head.join(total, "column", "left").select("column", whole("rows"), whole("nulls"), whole("distinct"), extreme("lo"), extreme("hi"), "violations", whole("chunks"), whole("chunks_read"))
 
 
 @dataclass(frozen=True)
@@ -135,82 +134,57 @@ class BadLoadRule:
 
 
 PROBS = [round(0.05 * k, 2) for k in range(1, 20)]
-#: ``c`` numbers the column; a row holds counts of a chunk, or a value ``v`` of the distribution and ``w`` of the distinct ones.
-LOAD_SCHEMA = "c int, rows long, nulls long, lo double, hi double, chunks long, chunks_read long, v double, w double"
+#: ``c`` numbers the column; a row holds counts of a chunk, or a value ``v``, or names a file that is to be scanned.
+LOAD_SCHEMA = "c int, rows long, nulls long, chunks long, chunks_read long, v double, file string"
 
 
-def _load_chunk(facts: Mapping[str, Mapping], chunk: RowGroup, load: str, flag: str | None, columns: list[str]) -> Iterator[dict]:
-    """What one row group tells about each of its loads: columns of equal length of the rows of ``LOAD_SCHEMA``.
+def _settle_loads(facts: list[dict], chunks: Chunks, load: str, flag: str | None, columns: list[str]) -> list[dict] | None:
+    """What the footer and the dictionaries of a file tell about its loads: columns of equal length of the
+    rows of ``LOAD_SCHEMA``; None if they do not settle it, so that it has to be scanned.
 
-    The footer decides what is read. Nothing if it shows that no row has a load or passes the flag.
-    If it shows one load for all rows (and the flag set for all), a column's nulls and extrema come
-    from it and its distinct values from the dictionary; the values are read only for the
-    distribution, and not even for that where all are NULL or the dictionary holds a single value.
-    Otherwise the load, the flag and those columns that are not all NULL are read.
+    A row group is settled if its footer shows that no row has a load or passes the flag; or if it
+    shows one load for all rows and the flag set for all, and each column is all NULL, or its dictionary
+    holds a single value (then nulls, extrema, distinct values and distribution are known).
     """
-    rows = facts[load]["rows"]
-    constant = lambda f: f["exact"] and f["nulls"] == 0 and f["lo"] is not None and f["lo"] == f["hi"]
-    empty = lambda f: f["exact"] and f["nulls"] == rows
-    if rows == 0 or empty(facts[load]) or (flag and (empty(facts[flag]) or (constant(facts[flag]) and not facts[flag]["hi"]))):
-        return
-    one = constant(facts[load]) and (flag is None or constant(facts[flag]))
-    if one:
-        key = int(facts[load]["lo"]) if float(facts[load]["lo"]).is_integer() else facts[load]["lo"]
+    out = []
+    for g in sorted({f["row_group"] for f in facts}):
+        here = {f["column"]: f for f in facts if f["row_group"] == g}
+        rows = here[load]["rows"]
+        constant = lambda f: f["exact"] and f["nulls"] == 0 and f["lo"] is not None and f["lo"] == f["hi"]
+        empty = lambda f: f["exact"] and f["nulls"] == f["rows"]
+        if rows == 0 or empty(here[load]) or (flag and (empty(here[flag]) or (constant(here[flag]) and not here[flag]["hi"]))):
+            continue
+        if not constant(here[load]) or (flag and not constant(here[flag])):
+            return None
+        key = int(here[load]["lo"]) if float(here[load]["lo"]).is_integer() else here[load]["lo"]
         for c, name in enumerate(columns):
-            f = facts[name]
+            f = here[name]
             if empty(f):
-                yield {"load": [key], "c": c, "rows": rows, "nulls": rows, "chunks": 1, "chunks_read": 0}
+                out.append({"load": [key], "c": c, "rows": rows, "nulls": rows, "chunks": 1, "chunks_read": 0})
                 continue
-            known = chunk.dictionary(name) if f["exact"] and f["present"] else None
-            known = known.astype(float) if known is not None and not isinstance(known, list) else None
-            if known is not None and len(known) == 1:
-                v = np.full(rows - f["nulls"], known[0])
-            else:
-                v = _as_numbers(chunk.read([name])[name])
-            nulls = f["nulls"] if f["exact"] else rows - len(v)
-            yield {"load": [key], "c": c, "rows": rows, "nulls": nulls, "lo": f["lo"], "hi": f["hi"], "chunks": 1, "chunks_read": int(known is None or len(known) != 1)}
-            if known is None:
-                yield {"load": [key] * len(v), "c": c, "v": v, "w": v}
-            else:
-                yield {"load": [key] * len(v), "c": c, "v": v}
-                yield {"load": [key] * len(known), "c": c, "w": known}
-        return
-    filled = [n for n in columns if not empty(facts[n])]
-    got = chunk.read([load, *([flag] if flag else []), *filled])
-    passes = got[load].is_valid().to_numpy()
-    if flag:
-        passes = passes & got[flag].fill_null(False).to_numpy()
-    at = np.flatnonzero(passes)
-    keys, which = np.unique(got[load].take(at).to_numpy(), return_inverse=True)
-    size = np.bincount(which, minlength=len(keys))
-    for c, name in enumerate(columns):
-        if name not in filled:
-            yield {"load": keys, "c": c, "rows": size, "nulls": size, "chunks": 1, "chunks_read": 0}
-            continue
-        x = got[name].take(at)
-        there = x.is_valid().to_numpy()
-        v, mine = _as_numbers(x), which[there]
-        lo, hi = np.full(len(keys), np.nan), np.full(len(keys), np.nan)
-        with np.errstate(all="ignore"):
-            np.fmin.at(lo, mine, v)
-            np.fmax.at(hi, mine, v)
-        yield {"load": keys, "c": c, "rows": size, "nulls": size - np.bincount(mine, minlength=len(keys)), "lo": lo, "hi": hi, "chunks": 1, "chunks_read": 1}
-        yield {"load": keys[mine], "c": c, "v": v, "w": v}
+            # Extrema that differ already show more than one value; else the dictionary tells whether NaN is another.
+            known = chunks.dictionary(g, name) if f["exact"] and f["lo"] == f["hi"] else None
+            if known is None or isinstance(known, list) or len(known) != 1:
+                return None
+            out.append({"load": [key], "c": c, "rows": rows, "nulls": f["nulls"], "chunks": 1, "chunks_read": 0})
+            out.append({"load": [key] * (rows - f["nulls"]), "c": c, "rows": 0, "v": float(known[0])})
+    return out
 
 
 def load_profiles(df: DataFrame, load: str, columns: Sequence[str], positive: bool = True, rule: BadLoadRule = BadLoadRule(), flag: str | None = None) -> DataFrame:
-    """One row per load and column: ``rows, nulls, impossible, outside, distinct, quantiles, lo, hi, chunks, chunks_read``.
+    """One row per load and column: ``rows, nulls, impossible, outside, distinct, quantiles, lo, hi, chunks, scanned``.
 
     ``flag`` names a truth column: rows in which it is not true are left out. ``impossible``: NaN,
     infinite, or not above 0 (``positive``). ``outside``: possible values that lie further than
     ``far`` usual spreads from the usual level, both taken over the loads. ``distinct`` is exact (NaN
     is one value), the quantiles are rank-bounded summaries (1/10 000), extrema leave NaN out.
 
-    Footers decide which column chunks are read (see ``_load_chunk``): ``chunks`` counts those that hold
-    rows of the load, ``chunks_read`` those whose values were needed. A table that is no bare scan of
-    Parquet files is written as such first, so its filters hold. Chunks are read one by one on the
-    executors; their values are aggregated by load without gathering one in a task. ``load`` must be a
-    number, a text or a date. Rows whose load is NULL belong to no load and are left out; an empty table gives no rows.
+    Footers and dictionaries settle the files that they can (see ``_settle_loads``); of the others the named
+    columns are scanned. ``chunks`` counts the column chunks that hold rows of the load in settled
+    files, ``scanned`` the rows that came from a scan. A table that is no bare scan of Parquet files is
+    written as such first, so its filters hold. All figures are mergeable aggregates, so a load of any
+    size is gathered in no task. ``load`` must be a number, a text or a date. Rows whose load is NULL
+    belong to no load and are left out; an empty table gives no rows.
     """
     names = list(columns)
     kind = df.schema[load].dataType.simpleString()
@@ -218,28 +192,37 @@ def load_profiles(df: DataFrame, load: str, columns: Sequence[str], positive: bo
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
-            chunk = RowGroup(r["file"], r["row_group"])
-            for part in _load_chunk({f["column"]: f for f in r["facts"]}, chunk, load, flag, names):
-                for k in range(0, len(part["load"]), 1 << 16):
-                    piece = {c: x[k : k + (1 << 16)] if np.ndim(x) else x for c, x in part.items()}
-                    yield _batch(schema, len(piece["load"]), piece)
-            chunk.close()
-
-    told = by_row_group(read_footers(df, [load, *([flag] if flag else []), *names])).mapInArrow(kernel, schema)
-    finite = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lo", "hi")]
-    told = cut(told.select("load", "c", "rows", "nulls", *finite, "chunks", "chunks_read", "v", "w"))  # read three times below
+            chunks = Chunks(r["file"])
+            got = _settle_loads(r["facts"], chunks, load, flag, names)
+            chunks.close()
+            if got is None:
+                yield _batch(schema, 1, {"file": r["file"]})
+            for part in got or []:
+                yield _batch(schema, len(part["load"]), part)
+
+    told = cut(by_file(read_footers(df, [load, *([flag] if flag else []), *names])).mapInArrow(kernel, schema))
+    files = [r["file"] for r in told.where("file IS NOT NULL").select("file").collect()]  # as any scan has them
+    long = told.where("file IS NULL").select("load", "c", "rows", "nulls", "chunks", F.lit(0).cast("long").alias("scanned"), "v")
+    if files:
+        read = df.sparkSession.read.schema(T.StructType([df.schema[n] for n in dict.fromkeys([load, *([flag] if flag else []), *names])])).parquet(*files)
+        read = read.where(F.col(load).isNotNull() & (F.col(flag) if flag else F.lit(True)))
+        stack = ", ".join(f"{k}, cast(`{n}` as double)" for k, n in enumerate(names))
+        one = F.lit(1).cast("long")
+        rows = read.selectExpr(f"`{load}` AS load", f"stack({len(names)}, {stack}) AS (c, v)")
+        long = long.unionByName(rows.select("load", "c", one.alias("rows"), F.col("v").isNull().cast("long").alias("nulls"), F.lit(0).cast("long").alias("chunks"), one.alias("scanned"), "v"))
+    long = cut(long)  # read three times below
     ok = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf")))
     if positive:
         ok = ok & (F.col("v") > 0)
-    long = told.withColumn("ok", ok)
+    long = long.withColumn("ok", ok)
     zero = F.lit(0).cast("long")
     per = long.groupBy("load", "c").agg(
-        *[F.coalesce(F.sum(n), zero).alias(n) for n in ("rows", "nulls", "chunks", "chunks_read")],
+        *[F.coalesce(F.sum(n), zero).alias(n) for n in ("rows", "nulls", "chunks", "scanned")],
         F.count_if(F.col("v").isNotNull() & ~F.col("ok")).alias("impossible"),
         F.percentile_approx(F.when(F.col("ok"), F.col("v")), PROBS, 10000).alias("quantiles"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min(F.when(~F.isnan("v"), F.col("v"))).alias("lo"), F.max(F.when(~F.isnan("v"), F.col("v"))).alias("hi"),
     )
-    distinct = told.where("w IS NOT NULL").select("load", "c", "w").distinct().groupBy("load", "c").agg(F.count(F.lit(1)).alias("distinct"))
+    distinct = long.where("v IS NOT NULL").select("load", "c", "v").distinct().groupBy("load", "c").agg(F.count(F.lit(1)).alias("distinct"))
     # The usual level and spread: medians over the loads, of figures that are themselves robust.
     q = F.col("quantiles")
     fig = per.where(F.size(q) == len(PROBS)).select("c", F.log(q[9]).alias("level"), ((F.log(q[17]) - F.log(q[1])) / 2.563).alias("width"))
@@ -250,7 +233,7 @@ def load_profiles(df: DataFrame, load: str, columns: Sequence[str], positive: bo
     far = long.where("ok").join(F.broadcast(usual), "c", "inner").groupBy("load", "c").agg(F.count_if(F.abs(F.log("v") - F.col("level")) > F.greatest("reach", F.lit(0.5))).alias("outside"))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c") + 1)
     return per.join(far, ["load", "c"], "left").join(distinct, ["load", "c"], "left").select(
-        "load", name.alias("column"), "rows", "nulls", "impossible", F.coalesce("outside", zero).alias("outside"), F.coalesce("distinct", zero).alias("distinct"), "quantiles", "lo", "hi", "chunks", "chunks_read"
+        "load", name.alias("column"), "rows", "nulls", "impossible", F.coalesce("outside", zero).alias("outside"), F.coalesce("distinct", zero).alias("distinct"), "quantiles", "lo", "hi", "chunks", "scanned"
     )
 
 
@@ -334,8 +317,8 @@ def bad_loads(df: DataFrame, load: str, columns: Sequence[str], rule: BadLoadRul
     an absolute part, a part in robust spreads between the loads, so a column that differs from load
     to load anyway needs a larger difference, and a part for the noise of small loads.
 
-    The comparison sees one row per load and column, never the data; these come from footers,
-    dictionaries and the chunks that those do not settle (``load_profiles``).
+    The comparison sees one row per load and column, never the data; these come from footers
+    and dictionaries, and from a scan of the files that those do not settle (``load_profiles``).
     """
     prof = load_profiles(df, load, columns, rule=rule, flag=flag)
     kind = df.schema[load].dataType.simpleString()

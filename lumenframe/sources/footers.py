@@ -1,4 +1,4 @@
-"""Parquet footers, dictionary pages and single column chunks, read on the executors."""
+"""Parquet footers and dictionary pages, read on the executors."""
 
 from __future__ import annotations
 
@@ -173,38 +173,31 @@ def read_footers(df: DataFrame, columns: list[str]) -> DataFrame:
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(n).mapInPandas(kernel, FOOTER_SCHEMA)
 
 
-def by_row_group(feet: DataFrame) -> DataFrame:
-    """The rows of ``read_footers`` gathered as ``file, row_group, facts``, spread over the tasks."""
+def by_file(feet: DataFrame) -> DataFrame:
+    """The rows of ``read_footers`` gathered as ``file, facts``, spread over the tasks."""
     from pyspark.sql import functions as F
 
-    facts = F.collect_list(F.struct("column", "rows", "nulls", "lo", "hi", "exact", "present")).alias("facts")
-    return spread(feet, "file", "row_group").groupBy("file", "row_group").agg(facts)
+    facts = F.collect_list(F.struct("row_group", "column", "rows", "nulls", "lo", "hi", "exact", "present")).alias("facts")
+    return spread(feet, "file").groupBy("file").agg(facts)
 
 
-class RowGroup:
-    """One row group of a file, opened when something of it is asked for."""
+class Chunks:
+    """The column chunks of one file, opened when something of it is asked for."""
 
-    def __init__(self, uri: str, number: int):
-        self.uri, self.number, self.file = uri, number, None
+    def __init__(self, uri: str):
+        self.uri, self.file = uri, None
 
-    def _open(self) -> pq.ParquetFile:
+    def dictionary(self, row_group: int, column: str) -> np.ndarray | list[str] | None:
+        """The distinct values of a chunk all of whose data pages refer to its dictionary, else None."""
         if self.file is None:
             fs, path = pafs.FileSystem.from_uri(self.uri)
             self.raw = fs.open_input_file(path)
             self.file = pq.ParquetFile(self.raw)
             meta = self.file.metadata
             self.at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-        return self.file
-
-    def dictionary(self, column: str) -> np.ndarray | list[str] | None:
-        """The distinct values of a chunk all of whose data pages refer to its dictionary, else None."""
-        chunk = self._open().metadata.row_group(self.number).column(self.at[column])
+        chunk = self.file.metadata.row_group(row_group).column(self.at[column])
         return dictionary_values(self.raw, chunk) if dictionary_only(self.raw, chunk) else None
 
-    def read(self, columns: list[str]) -> pa.Table:
-        """The chunks of some columns."""
-        return self._open().read_row_group(self.number, columns=columns, use_threads=False)
-
     def close(self) -> None:
         if self.file is not None:
             self.raw.close()

@@ -193,15 +193,15 @@ def test_footers_decide_what_is_read(spark, tmp_path, monkeypatch):
     from lumenframe.operators import profile
 
     put = lambda n, load, ok, x, **kw: pq.write_table(pa.table({"load": pa.array(load, pa.int32()), "ok": ok, "x": pa.array(x, pa.float64())}), tmp_path / f"{n}.parquet", **kw)
-    put("a", [1] * 6, [True] * 6, [1.0, 2.0, 2.0, None, float("nan"), 3.0])  # one load, all pass: only the values are read
+    put("a", [1] * 6, [True] * 6, [1.0, 2.0, 2.0, None, float("nan"), 3.0])  # one load, all pass: scanned for the distribution
     put("b", [2] * 4, [True] * 4, [None] * 4)  # all NULL: nothing is read
     put("c", [3] * 4, [False] * 4, [1.0] * 4)  # none passes
     put("d", [None] * 4, [True] * 4, [1.0] * 4)  # no load
     put("e", [4] * 5, [True] * 5, [7.0] * 4 + [None])  # one value: the dictionary settles it
     put("f", [1, 2, 5, None], [True, None, True, True], [9.0, 5.0, -1.0, 4.0])  # mixed: read
     df = spark.read.parquet(str(tmp_path))
-    got = {r["load"]: (r["rows"], r["nulls"], r["impossible"], r["distinct"], r["lo"], r["hi"], r["chunks"], r["chunks_read"]) for r in load_profiles(df, "load", ["x"], flag="ok").collect()}
-    assert got == {1: (7, 1, 1, 5, 1.0, 9.0, 2, 2), 2: (4, 4, 0, 0, None, None, 1, 0), 4: (5, 1, 0, 1, 7.0, 7.0, 1, 0), 5: (1, 0, 1, 1, -1.0, -1.0, 1, 1)}
+    got = {r["load"]: (r["rows"], r["nulls"], r["impossible"], r["distinct"], r["lo"], r["hi"], r["chunks"], r["scanned"]) for r in load_profiles(df, "load", ["x"], flag="ok").collect()}
+    assert got == {1: (7, 1, 1, 5, 1.0, 9.0, 0, 7), 2: (4, 4, 0, 0, None, None, 1, 0), 4: (5, 1, 0, 1, 7.0, 7.0, 1, 0), 5: (1, 0, 1, 1, -1.0, -1.0, 0, 1)}
     same = {r["load"]: r["rows"] for r in load_profiles(df.where("load <> 1"), "load", ["x"], flag="ok").collect()}
     assert same == {2: 4, 4: 5, 5: 1}
     monkeypatch.setattr(profile, "read_footers", lambda df, columns: spark.createDataFrame([], profile_schema()))
