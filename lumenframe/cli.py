@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.operators.dense import FinderRule
 from lumenframe.plans.pipeline import Pipeline
 from lumenframe.session import ensure_checkpoint_dir, local_session
 from lumenframe.sinks import tables, text
-from lumenframe.sources.frames import read_frames, read_list
+from lumenframe.sources.frames import read_frames, read_list, read_mask
 from lumenframe.sources.geom import parse_cell, parse_geometry, read_text
 
 
@@ -27,6 +30,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--target-noise-peaks", type=float, default=5.0)
     p.add_argument("--warmup-frames", type=int, default=16)
     p.add_argument("--flux-variance", action="store_true")
+    p.add_argument("--flux-var-floor", type=float, default=0.15)
+    p.add_argument("--noise-mode", choices=["robust", "plain"], default="robust", help="whether values are clipped before they are learned")
+    p.add_argument("--eigen-modes", type=int, default=0)
+    p.add_argument("--batch-size", type=int, help="frames in an Arrow batch")
+    p.add_argument("--mask", help="a Parquet table row, col, word of mask flags")
     p.add_argument("--panel", default="p0")
     p.add_argument("--enrich-gate", action="store_true")
     p.add_argument("--enrich-alpha", type=float, default=1e-3)
@@ -39,8 +47,12 @@ def main(argv: list[str] | None = None) -> int:
     if not a.peaks_only and not a.cell:
         print("a cell is needed unless --peaks-only is given", file=sys.stderr)
         return 2
-    spark = local_session()
+    # The session that spark-submit or a notebook made wins; only without any is a local one started.
+    given = SparkSession.getActiveSession() is not None or any(k in os.environ for k in ("PYSPARK_GATEWAY_PORT", "SPARK_REMOTE", "MASTER"))
+    spark = SparkSession.builder.appName("lumenframe").getOrCreate() if given else local_session()
     ensure_checkpoint_dir(spark)
+    if a.batch_size:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(a.batch_size))
     paths = read_list(spark, a.input) if a.input.endswith(".lst") else a.input
     frames = read_frames(spark, paths)
     first = frames.select("h", "w").first()
@@ -49,8 +61,9 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     geometry = parse_geometry(read_text(spark, a.geometry))
     cell = parse_cell(read_text(spark, a.cell)) if a.cell else None
-    run = Pipeline(frames, geometry, first["h"], first["w"], cell)
-    run.calibrate(a.seed_frames, a.target_noise_peaks, a.flux_variance, warmup=a.warmup_frames)
+    run = Pipeline(frames, geometry, first["h"], first["w"], cell, FinderRule(flux_floor=a.flux_var_floor))
+    mask = read_mask(spark, a.mask, geometry.mask, geometry.panels) if a.mask else None
+    run.calibrate(a.seed_frames, a.target_noise_peaks, a.flux_variance, warmup=a.warmup_frames, robust=a.noise_mode == "robust", eigen_modes=a.eigen_modes, mask=mask)
     events = run.frames(a.start, a.stop).select("frame_index", "filename", "event")
     if a.peaks_only:
         found = run.peaks(a.start, a.stop).df.join(events, "frame_index")
@@ -64,6 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     solved = run.index(a.start, a.stop)
     if a.enrich_gate:
         solved = solved.enrich_gate(a.enrich_alpha)
+    solved.panel = a.panel
     (solved.to_stream if a.output.endswith(".stream") else solved.to_db)(a.output)
     if not a.quiet:
         print(events.agg(F.count(F.lit(1))).first()[0], "frames,", solved.count(), "indexed")

@@ -61,19 +61,20 @@ def ratio_or_zero(a: Column, b: Column) -> Column:
 
 
 def poisson_tail(k: Column, mean: Column) -> Column:
-    """P(X >= k) of a Poisson number, summed in logarithms; 1 for k = 0, 0 for a mean not above 0.
+    """P(X >= k) of a Poisson number; 1 for k = 0, 0 for a mean not above 0, NULL for a NULL.
 
-    Up to ``k`` terms are folded without a table of them; beyond a mean of 700 the terms are still
-    finite, because each is a power of e by itself.
+    Above the mean the terms from k on are summed, so that a chance far below 1e-16 is still told from a
+    smaller one; otherwise 1 less the terms below k. The first term is taken from its logarithm, each
+    other one from the one before.
     """
-    state = F.struct(F.lit(0.0).alias("logf"), F.lit(0.0).alias("sum"))
-    below = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(k.cast("int") - 1, F.lit(0))),
-        state,
-        lambda s, i: F.struct(
-            (s["logf"] + F.when(i > 0, F.log(F.greatest(i, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))).alias("logf"),
-            (s["sum"] + F.exp(i * F.log(mean) - mean - s["logf"] - F.when(i > 0, F.log(F.greatest(i, F.lit(1)).cast("double"))).otherwise(F.lit(0.0)))).alias("sum"),
-        ),
-        lambda s: s["sum"],
-    )
-    return F.when(k <= 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - below))
+    k = k.cast("int")
+    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    at_k = F.exp(k * F.log(mean) - mean - log_factorial)
+    state = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    add = lambda ratio: lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["sum"] + s["term"] * ratio(i)).alias("sum"))
+    reach = (F.lit(60) + F.ceil(F.lit(10.0) * F.sqrt(mean))).cast("int")  # terms until they fade
+    upper = at_k * F.aggregate(F.sequence(F.lit(1), reach), state, add(lambda i: mean / (k + i)), lambda s: s["sum"])
+    # Below k: the terms k - 1, k - 2, … 0, the first of them k / mean times that at k.
+    lower = at_k * k / mean * F.aggregate(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), state, add(lambda i: F.greatest((k - i) / mean, F.lit(0.0))), lambda s: s["sum"])
+    tail = F.when(k > mean, upper).otherwise(F.lit(1.0) - lower)
+    return F.when(k.isNull() | mean.isNull(), F.lit(None).cast("double")).when(k <= 0, F.lit(1.0)).when(mean <= 0, F.lit(0.0)).otherwise(F.least(F.greatest(F.lit(0.0), tail), F.lit(1.0)))

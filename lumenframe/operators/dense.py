@@ -51,14 +51,15 @@ class FinderRule:
 
 @dataclass(frozen=True)
 class Background:
-    """Mean, variance and validity of each pixel."""
+    """Mean, variance and validity of each pixel, and unit-norm background modes (mode, row, col)."""
 
     mean: np.ndarray
     var: np.ndarray
     valid: np.ndarray
+    modes: np.ndarray | None = None
 
     def __post_init__(self):
-        if self.mean.nbytes + self.var.nbytes + self.valid.nbytes > MODEL_BYTES:
+        if sum(x.nbytes for x in (self.mean, self.var, self.valid, self.modes) if x is not None) > MODEL_BYTES:
             raise ValueError("the detector is too large to broadcast its background")
 
 
@@ -78,6 +79,9 @@ def score_image(x: np.ndarray, bg: Background, rule: FinderRule) -> dict[str, np
     m, v0 = bg.valid & np.isfinite(x), np.maximum(bg.var, 1e-12)
     x = np.where(m, x, bg.mean)
     mean, var = bg.mean, v0
+    if bg.modes is not None:
+        clipped = np.minimum(x - mean, 5.0 * np.sqrt(v0)) * m
+        mean = mean + np.tensordot(np.tensordot(bg.modes, clipped, 2), bg.modes, 1)
     if rule.local:
         local, spread = annulus_dense(x - mean, v0, m, rule.inner, rule.outer)
         mean = mean + local
@@ -173,6 +177,8 @@ def integrate_frames(frames: DataFrame, predicted: DataFrame, bg: Background, ru
     """
     from pyspark.sql import functions as F
 
+    wanted = predicted.select("frame_index").distinct()
+    frames = frames.join(wanted, "frame_index", "left_semi")  # only images with predictions move, if any do
     lists = predicted.groupBy("frame_index").agg(F.sort_array(F.collect_list(F.struct("refl", "row", "col"))).alias("p"))
     shared = frames.sparkSession.sparkContext.broadcast(bg)
     shape = bg.mean.shape
@@ -193,3 +199,34 @@ def integrate_frames(frames: DataFrame, predicted: DataFrame, bg: Background, ru
             yield pd.concat(out)[names] if out else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
 
     return frames.select("frame_index", "pixels").join(lists, "frame_index").mapInPandas(kernel, BOX_SCHEMA)
+
+
+def frame_scales(frames: DataFrame, bg: Background, k: float = 5.0) -> DataFrame:
+    """``frame_index, scale, sigma, offset``: each frame's weighted straight line against the background.
+
+    Five weighted sums over the valid pixels of an image, taken where it is; weights 1 / variance, pixels
+    more than ``k`` deviations above the background left out. An image that is NULL or of another size
+    gives no row, one without a usable pixel neither.
+    """
+    shared, shape = frames.sparkSession.sparkContext.broadcast(bg), bg.mean.shape
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bg = shared.value
+        good = bg.valid & (bg.var > 0)
+        top = bg.mean + k * np.sqrt(np.maximum(bg.var, 0))
+        for b in batches:
+            out = []
+            for f, p in zip(b["frame_index"], b["pixels"], strict=True):
+                if p is None or len(p) != shape[0] * shape[1]:
+                    continue
+                y = np.asarray(p, float).reshape(shape)
+                ok = good & np.isfinite(y) & (y < top)
+                if not ok.any():
+                    continue
+                w, x, y = 1.0 / bg.var[ok], bg.mean[ok], y[ok]
+                s, sx, sxx, sy, sxy = w.sum(), w @ x, w @ (x * x), w @ y, w @ (x * y)
+                det = max(s * sxx - sx * sx, 1e-12)
+                out.append((int(f), (s * sxy - sx * sy) / det, np.sqrt(max(s / det, 0.0)), (sxx * sy - sx * sxy) / det))
+            yield pd.DataFrame(out, columns=["frame_index", "scale", "sigma", "offset"])
+
+    return frames.select("frame_index", "pixels").mapInPandas(kernel, "frame_index long, scale double, sigma double, offset double")

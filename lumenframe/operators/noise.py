@@ -93,6 +93,25 @@ def robust_fold(df: DataFrame, key: str, order: Sequence[str], value: str, k: fl
     return folded.select(key, F.col("f.n").alias("n"), F.col("f.mean").alias("mean"), var.alias("var"), F.col("f.clipped").alias("clipped"))
 
 
+def clipped_values(df: DataFrame, key: str, order: Sequence[str], value: str, k: float = 5.0, least: int = 4) -> DataFrame:
+    """``key, order…, x``: each value as ``robust_fold`` learns it, cut down where it lies too high.
+
+    For seed frames, whose number is a parameter: a key's values and their clipped ones are two arrays.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"), F.array().cast("array<double>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        std = F.when(s["n"] >= 2, F.sqrt(s["m2"] / (s["n"] - 1))).otherwise(F.lit(0.0))
+        top = s["mean"] + F.lit(k) * std
+        x = F.when((s["n"] >= least) & (std > 0) & (e["__x"] > top), top).otherwise(e["__x"])
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (x - s["mean"]) * (x - mean)).alias("m2"), F.concat(s["out"], F.array(x)).alias("out"))
+
+    folded = _ordered(df, key, order, value).select(key, "s", F.aggregate("s", start, step)["out"].alias("out"))
+    return folded.select(key, F.explode(F.arrays_zip("s", "out")).alias("e")).select(key, *[F.col(f"e.s.{o}").alias(o) for o in order], F.col("e.out").alias("x"))
+
+
 def ewma_fold(df: DataFrame, key: str, order: Sequence[str], value: str, decay: float = 0.95) -> DataFrame:
     """``key, n, mean, var`` with exponentially fading memory, both starting at 0."""
     if not 0 < decay < 1:

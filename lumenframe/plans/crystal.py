@@ -14,8 +14,9 @@ from lumenframe.plans import detector as images
 from lumenframe.plans.detector import rounded
 from lumenframe.session import spread, table
 from lumenframe.sinks import tables as out_tables
+from lumenframe.sinks import text
 from lumenframe.sources import frames as src
-from lumenframe.sources.geom import split_lines
+from lumenframe.sources.geom import parse_cell, split_lines
 
 DET = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0)
 TILTED = Detector(0.1, 75e-6, 1.3, 512.0, 1040.0, (Panel("west", 0, 1039, 0, 2075, -1040.0, -512.0, 1.0, 0.01, -0.01, 1.0), Panel("east", 1040, 2079, 0, 2075, 4.0, -512.0, 1.0, -0.02, 0.02, 1.0)))
@@ -69,7 +70,7 @@ def flat_resolution(spark, d):
 
 
 def _bounds(spark, d) -> list[Panel]:
-    rows = table(spark, d, "panels").orderBy("name").limit(4096).collect()  # a detector's panels
+    rows = table(spark, d, "panels").orderBy("name").collect()  # a detector's panels, of a fixed number whatever the run
     return [Panel(r["name"], r["min_fs"], r["max_fs"], r["min_ss"], r["max_ss"]) for r in rows]
 
 
@@ -373,11 +374,37 @@ def geom_parse(spark, d):
     return split_lines(lines).select("block", "key", F.col("text").try_cast("double").alias("number"))
 
 
+CELL_TEXT = """; a made-up cell
+lattice_type = orthorhombic
+centering = I
+a = 50.3 A
+b = 104.2 A ; the long one
+c = 87.9 A
+al = 90.0 deg
+be = 90.0 deg
+ga = 90.0 deg
+not an assignment
+"""
+
+
+def cell_parse(spark, d):
+    c = parse_cell(CELL_TEXT).in_degrees()
+    row = (c["a"], c["b"], c["c"], round(c["alpha"], 6), round(c["beta"], 6), round(c["gamma"], 6), round(c["volume"], 3), c["lattice_type"], c["centering"])
+    return spark.createDataFrame([row], "a double, b double, c double, alpha double, beta double, gamma double, volume double, lattice_type string, centering string")
+
+
+def stream_text(spark, d):
+    """The peak lists of the text stream: lines in order of place, one text per frame."""
+    p = table(spark, d, "peaks").where("frame_id IS NOT NULL AND NOT isnan(intensity)").select("peak_id", F.lower(F.trim("frame_id")).alias("frame_id"), *[F.floor(c).cast("double").alias(c) for c in ("fs", "ss", "intensity", "resolution_nm_inv")], "panel")
+    whole = p.where("intensity IS NOT NULL AND resolution_nm_inv IS NOT NULL AND panel IS NOT NULL").distinct()
+    return text.peak_lines(whole)
+
+
 NAMES = """q_lift q_lift_panels q_project q_max flat_resolution panel_assign_first panel_assign_last frame_ranges frame_locate frame_id cell_volume
 cell_to_b cell_match rotation hkl_enumerate hkl_absences ewald_shell rocking mosaicity hkl_assign snap_nn deblend box_integrate enrichment
 enrich_gate falloff_limit percentile_limit topk_seed_peaks seed_fitness accept_rank backfill indexed_rate funnel shard_union block_bounds
 serials join_reflections attach_scale best_resolution mask_bits static_mask assemble_panels assemble_physical radial_profile render_scale
-resolution_histogram geom_parse""".split()
+resolution_histogram geom_parse cell_parse stream_text""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 # --- SQL --------------------------------------------------------------------------------------------
@@ -539,5 +566,10 @@ SELECT frame_index, r::INTEGER AS row, c::INTEGER AS col, round(adu, 4) AS adu F
     "render_scale": f"WITH {images.PIX} SELECT round(quantile_cont(adu, 0.01), 4) AS vmin, round(quantile_cont(adu, 0.995), 4) AS vmax FROM px",
     "resolution_histogram": """WITH p AS (SELECT DISTINCT peak_id, resolution_nm_inv AS q FROM peaks WHERE resolution_nm_inv >= 0), t AS (SELECT max(q) AS top FROM p)
 SELECT CAST(least(floor(q / (top / 40.0)), 39) AS INTEGER) AS bin, count(*) AS n FROM p, t GROUP BY 1""",
+    "cell_parse": "SELECT 50.3::DOUBLE AS a, 104.2::DOUBLE AS b, 87.9::DOUBLE AS c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, 90.0::DOUBLE AS gamma, round(50.3::DOUBLE * 104.2 * 87.9, 3) AS volume, 'orthorhombic' AS lattice_type, 'I' AS centering",
+    "stream_text": """WITH p AS (SELECT DISTINCT peak_id, lower(trim(frame_id)) AS frame_id, floor(fs) AS fs, floor(ss) AS ss, floor(intensity) AS i, floor(resolution_nm_inv) AS q, panel FROM peaks
+  WHERE frame_id IS NOT NULL AND intensity IS NOT NULL AND NOT isnan(intensity) AND resolution_nm_inv IS NOT NULL AND panel IS NOT NULL),
+l AS (SELECT frame_id, ss, fs, printf('%7.2f %7.2f %10.2f %10.2f   %s', fs, ss, q, i, panel) AS line FROM p)
+SELECT frame_id, string_agg(line, chr(10) ORDER BY ss, fs, line) AS text FROM l GROUP BY 1""",
     "geom_parse": "SELECT * FROM (VALUES (NULL, 'clen', 0.125::DOUBLE), (NULL, 'photon_energy', 9500.0), (NULL, 'res', 13333.3), ('west', 'min_fs', 0.0), ('west', 'max_fs', 31.0), ('west', 'corner_x', -32.5), ('east', 'min_fs', 32.0), ('shadow', 'min_ss', 4.0)) AS t(block, key, number)",
 }

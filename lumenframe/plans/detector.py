@@ -56,6 +56,24 @@ def noise_panel(spark, d):
     return rounded(noise.panel_stats(pixels(spark, d), TILES))
 
 
+def noise_panel_clipped(spark, d):
+    """Panel statistics of the seed, of values clipped before they are learned, as calibration takes them."""
+    keyed = seed(spark, d).withColumn("pix", F.col("row") * W + F.col("col"))
+    x = noise.clipped_values(keyed, "pix", ["frame_index"], "adu", k=2.0)
+    px = x.select("frame_index", F.floor(F.col("pix") / W).cast("int").alias("row"), (F.col("pix") % W).cast("int").alias("col"), F.col("x").alias("adu"))
+    return rounded(noise.panel_stats(px, TILES))
+
+
+def beamstop_hist(spark, d):
+    """Counts of bright pixels and of all pixels of a frame in 40 equal bins of their distance from the centre."""
+    r = lambda: F.sqrt((F.col("row") - 3.5) ** 2 + (F.col("col") - 3.5) ** 2)
+    top = 24.5**0.5
+    which = F.least(F.floor(r() / F.lit(top / 40)), F.lit(39)).cast("int")
+    hot = whitened(spark, d).where("z > 2.5").groupBy(which.alias("bin")).agg(F.count(F.lit(1)).alias("peaks"))
+    all_ = pixels(spark, d).select("row", "col").distinct().groupBy(which.alias("bin")).agg(F.count(F.lit(1)).alias("pixels"))
+    return all_.join(hot, "bin", "left").select("bin", F.coalesce("peaks", F.lit(0)).alias("peaks"), "pixels")
+
+
 def noise_robust_fold(spark, d):
     return rounded(noise.robust_fold(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value"))
 
@@ -211,7 +229,7 @@ def eigen_background(spark, d):
     return both.agg((1 - F.sum((F.col("x") - F.col("mean") - F.col("correction")) ** 2) / F.sum((F.col("x") - F.col("mean")) ** 2)).alias("explained"))
 
 
-NAMES = """noise_pixel_stats noise_radial noise_panel noise_robust_fold noise_ewma_fold noise_frame_mode noise_dead_mask noise_running noise_drift
+NAMES = """noise_pixel_stats noise_radial noise_panel noise_panel_clipped beamstop_hist noise_robust_fold noise_ewma_fold noise_frame_mode noise_dead_mask noise_running noise_drift
 noise_shrinkage_z box_sum annulus_background gaussian_smooth matched_filter local_maxima dilation score_posterior components blob_stats peaks
 frame_peaks blend_grid best_blend em_mixture photon_transfer empirical_null threshold_sweep threshold_calibration scale_wls eigen_gram
 eigen_background""".split()
@@ -312,6 +330,11 @@ ROBUST = _fold(
   FROM fo f JOIN ev e ON e.k = f.k AND e.i = f.i + 1)""",
     "SELECT k AS user_id, n, round(mean, 4) AS mean, round(CASE WHEN n >= 2 THEN m2 / (n - 1) ELSE 0 END, 4) AS var, clipped FROM fo JOIN top USING (k, i)",
 )
+ROBUST_SCORES = (
+    ROBUST.split(", top AS")[0].replace("value AS x,", "value AS x, event_id,")
+    + """, va AS (SELECT *, CASE WHEN n >= 2 THEN m2 / (n - 1) ELSE 0 END AS var FROM fo), wu AS (SELECT k, var > 0 AS ok FROM va WHERE i = 16)
+SELECT va.k AS user_id, ev.event_id, n, round(CASE WHEN i < 16 OR ok THEN (ev.x - mean) / sqrt(greatest(var, 1e-12)) END, 4) AS z FROM va JOIN ev USING (k, i) LEFT JOIN wu ON wu.k = va.k"""
+)
 EWMA = _fold(
     "event_type", "SELECT k, i, 1::BIGINT AS n, {a} * x AS mean, 0.95 * ({a} * x * x) AS var FROM ev WHERE i = 1".replace("{a}", repr(1.0 - 0.95) + "::DOUBLE"),
     "SELECT f.k, e.i, n + 1, mean + {a} * (x - mean), 0.95::DOUBLE * (var + {a} * (x - mean) * (x - mean)) FROM fo f JOIN ev e ON e.k = f.k AND e.i = f.i + 1".replace("{a}", repr(1.0 - 0.95) + "::DOUBLE"),
@@ -328,6 +351,13 @@ ORACLE = {
     "noise_pixel_stats": f"WITH {PIX}, st AS ({OWN.format(t='px')}) SELECT row, col, n, {_r('mean var')} FROM st",
     "noise_radial": f"WITH {PIX}, t AS ({TWO.format(k='bin', e=BIN, t='px')}) SELECT bin, n, {_r('mean var')}, pixels FROM t",
     "noise_panel": f"WITH {PIX}, t AS ({TWO.format(k='panel', e=PANEL, t='px')}) SELECT panel, n, {_r('mean var')}, pixels FROM t",
+    "noise_panel_clipped": f"""WITH RECURSIVE {SEEDED}, ev AS (SELECT row * 8 + col AS k, adu AS x, row, col, frame_index, row_number() OVER (PARTITION BY row, col ORDER BY frame_index) AS i FROM sd),
+fo AS (SELECT k, i, 1::BIGINT AS n, x AS mean, 0.0::DOUBLE AS m2, x AS y FROM ev WHERE i = 1 UNION ALL
+  SELECT k, i, n + 1, mean + (y - mean) / (n + 1), m2 + (y - mean) * (y - (mean + (y - mean) / (n + 1))), y FROM (
+  SELECT f.k, e.i, f.n, f.mean, f.m2, CASE WHEN f.n >= 4 AND f.m2 > 0 THEN least(e.x, f.mean + 2.0 * sqrt(f.m2 / (f.n - 1))) ELSE e.x END AS y FROM fo f JOIN ev e ON e.k = f.k AND e.i = f.i + 1)),
+cx AS (SELECT frame_index, row, col, y AS adu FROM fo JOIN ev USING (k, i)), t AS ({TWO.format(k="panel", e=PANEL, t="cx")}) SELECT panel, n, {_r('mean var')}, pixels FROM t""",
+    "beamstop_hist": f"""WITH {WHITE}, r AS (SELECT row, col, z > 2.5 AS hot, CAST(least(floor(sqrt((row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5)) / (sqrt(24.5::DOUBLE) / 40)), 39) AS INTEGER) AS bin FROM wh)
+SELECT bin, count(*) FILTER (WHERE hot) AS peaks, count(DISTINCT row * 8 + col) AS pixels FROM r GROUP BY 1""",
     "noise_robust_fold": ROBUST,
     "noise_ewma_fold": EWMA,
     "noise_frame_mode": "SELECT user_id, 1::BIGINT AS n, round(arg_max(value, (ts, event_id)), 4) AS mean, 0.0::DOUBLE AS var FROM events WHERE value IS NOT NULL GROUP BY 1",

@@ -84,7 +84,7 @@ class IndexFrame(_Lazy):
 
     def __init__(self, df: DataFrame, pipeline: Pipeline, peaks: DataFrame, refl: DataFrame, events: DataFrame):
         super().__init__(df)
-        self.pipeline, self.peaks, self.refl, self.events = pipeline, peaks, refl, events
+        self.pipeline, self.peaks, self.refl, self.events, self.panel = pipeline, peaks, refl, events, "p0"
 
     def enrich_gate(self, alpha: float = 1e-3) -> IndexFrame:
         return self._with(reflections.enrich_gate(self.df, alpha))
@@ -95,8 +95,8 @@ class IndexFrame(_Lazy):
         d = p.detector
         ids = self.df.select("frame_index")
         named = lambda df: df.join(ids, "frame_index", "left_semi").join(self.events.select("frame_index", "filename", "event"), "frame_index")
-        peaks = tables.peak_rows(named(self.peaks), d)
-        refl = tables.reflection_rows(named(self.refl), d)
+        peaks = tables.peak_rows(named(self.peaks), d, self.panel)
+        refl = tables.reflection_rows(named(self.refl), d, self.panel)
         solved = self.df.join(self.events.select("frame_index", "filename", "event"), "frame_index").withColumn("indexed", F.lit(True))
         frames = tables.frame_rows(solved, peaks, refl, self.events)
         return {"frames": frames, "peaks": peaks, "reflections": refl} | tables.metadata_tables(self.df.sparkSession, p.geometry, p.cell)
@@ -149,37 +149,48 @@ class Pipeline:
         df = df if start is None else df.where(F.col("frame_index") >= start)
         return df if stop is None else df.where(F.col("frame_index") < stop)
 
-    def calibrate(self, seed: int = 32, target_noise_peaks: float = 5.0, flux: bool = False, max_adu: float | None = None, warmup: int = 16, robust: bool = True) -> Calibration:
-        """Learn background, blend, mixture and threshold from the first ``seed`` frames.
+    def calibrate(self, seed: int = 32, target_noise_peaks: float = 5.0, flux: bool = False, max_adu: float | None = None, warmup: int = 16, robust: bool = True, eigen_modes: int = 0, mask: DataFrame | None = None) -> Calibration:
+        """Learn background, blend, mixture, modes and threshold from the first ``seed`` frames.
+
+        All three background sources (pixel, ring, panel) learn the clipped values, so a strong spot in a
+        seed frame shifts none of them. Panels are those of the geometry; pixels of none, and detectors
+        without, have the mean of the whole. ``mask``: ``row, col, valid`` of a mask file.
 
         The seed is a parameter, so the statistics of each pixel fold a bounded array.
         """
         px = cut(noise.pixels_of(self.frames(stop=seed), width=self.width))
         if robust:
             keyed = px.withColumn("pix", F.col("row") * self.width + F.col("col"))
-            own = noise.robust_fold(keyed, "pix", ["frame_index"], "adu").select(F.floor(F.col("pix") / self.width).cast("int").alias("row"), (F.col("pix") % self.width).cast("int").alias("col"), "n", "mean", "var")
+            learned = noise.clipped_values(keyed, "pix", ["frame_index"], "adu")
+            learned = cut(learned.select("frame_index", F.floor(F.col("pix") / self.width).cast("int").alias("row"), (F.col("pix") % self.width).cast("int").alias("col"), F.col("x").alias("adu")))
         else:
-            own = noise.pixel_stats(px)
+            learned = px
+        own = noise.pixel_stats(learned)
         from lumenframe.sources.frames import static_mask
 
-        bad = static_mask(px, max_adu if max_adu is not None else self.geometry.parameters.get("max_adu"), self.geometry.bad_regions)
+        bad = static_mask(px, max_adu if max_adu is not None else self.geometry.parameters.get("max_adu"), self.geometry.bad_regions, mask)
         alive = noise.dead_mask(px, min(warmup, seed)).select("row", "col", F.col("valid").alias("alive"))
         valid = cut(bad.join(alive, ["row", "col"]).select("row", "col", (F.col("valid") & F.col("alive")).alias("valid")))
         own = cut(own.join(valid.where("valid"), ["row", "col"], "left_semi"))
         seen = px.join(valid.where("valid"), ["row", "col"], "left_semi")
-        ring = noise.radial_stats(seen, self.height, self.width).select("bin", F.col("mean").alias("mu_radial"))
+        taught = learned.join(valid.where("valid"), ["row", "col"], "left_semi")
+        ring = noise.radial_stats(taught, self.height, self.width).select("bin", F.col("mean").alias("mu_radial"))
         model = own.withColumn("bin", noise.radial_bin(F.col("row"), F.col("col"), self.height, self.width)).join(F.broadcast(ring), "bin")
-        whole = seen.groupBy("frame_index").agg(F.avg("adu").alias("m")).agg(F.avg("m").alias("mu_panel"))
-        model = cut(model.crossJoin(F.broadcast(whole)).select("row", "col", "mu_radial", "mu_panel", F.col("mean").alias("mu_pixel"), "var"))
+        whole = taught.groupBy("frame_index").agg(F.avg("adu").alias("m")).agg(F.avg("m").alias("mu_whole"))
+        panels = self.geometry.panels
+        per = noise.panel_stats(taught, panels).select("panel", F.col("mean").alias("mu_own"))
+        model = model.withColumn("panel", noise.panel_of(F.col("row"), F.col("col"), panels, last=True)).join(F.broadcast(per), "panel", "left")  # a row per panel
+        model = model.crossJoin(F.broadcast(whole)).withColumn("mu_panel", F.coalesce("mu_own", "mu_whole"))  # one row
+        model = cut(model.select("row", "col", "mu_radial", "mu_panel", F.col("mean").alias("mu_pixel"), "var"))
         sample = cut(seen.join(model, ["row", "col"]).withColumnRenamed("adu", "x"))
         best = calibrate.best_blend(calibrate.blend_grid(sample)).first()
         w = (best["w_pixel"], best["w_radial"], best["w_panel"]) if best and best["w_pixel"] is not None else (1.0, 0.0, 0.0)
         scale = best["var_scale"] if best and best["var_scale"] is not None else 1.0
         mean = F.lit(w[0]) * F.col("mu_pixel") + F.lit(w[1]) * F.col("mu_radial") + F.lit(w[2]) * F.col("mu_panel")
         z = sample.select(((F.col("x") - mean) / (F.sqrt(F.greatest("var", F.lit(1e-12))) * scale)).alias("z"))
-        pi, kappa = calibrate.em_mixture(z, iterations=20)
+        pi, kappa = calibrate.em_mixture(z)
         stats = model.select("row", "col", mean.alias("mean"), (F.col("var") * scale**2).alias("var"))
-        bg = dense.background_of(stats, self.height, self.width, valid)
+        bg = replace(dense.background_of(stats, self.height, self.width, valid), modes=self._modes(seen, stats, eigen_modes))
         read, gain = None, None
         if flux:
             pt = calibrate.photon_transfer(stats).first()
@@ -193,10 +204,22 @@ class Pipeline:
         if q_min is not None:
             q = geo.q_norm(F.col("row"), F.col("col"), self.detector)
             inner = stats.select("row", "col", (q >= q_min).alias("valid"))
-            bg = dense.background_of(stats, self.height, self.width, inner)
+            bg = replace(dense.background_of(stats, self.height, self.width, inner), modes=bg.modes)
         self.learned = replace(self.learned, q_min=q_min, background=bg)
         return self.learned
 
+    def _modes(self, seen: DataFrame, stats: DataFrame, modes: int):
+        """Background modes of the seed as images (detector-sized), or None for none."""
+        import numpy as np
+
+        if modes <= 0:
+            return None
+        px = cut(seen.withColumnRenamed("adu", "x").join(stats, ["row", "col"]))
+        got = calibrate.eigen_modes(px, modes).toPandas()
+        out = np.zeros((modes, self.height, self.width))
+        out[got["mode"], got["row"], got["col"]] = got["u"]
+        return out
+
     def _beam_stop(self, peaks: DataFrame, px: DataFrame) -> float | None:
         q = geo.q_norm(F.col("row"), F.col("col"), self.detector).alias("q")
         return calibrate.beam_stop(peaks.select(q), px.select("row", "col").distinct().select(q))
@@ -224,11 +247,7 @@ class Pipeline:
 
     def scales(self, start: int | None = None, stop: int | None = None) -> DataFrame:
         """``frame_index, scale, sigma, offset`` of each frame against the background."""
-        bg = self.calibration.background
-        rows = [(r, c, float(bg.mean[r, c]), float(bg.var[r, c])) for r in range(self.height) for c in range(self.width) if bg.valid[r, c]]
-        model = self.spark.createDataFrame(rows, "row int, col int, t double, var double")
-        px = noise.pixels_of(self.frames(start, stop), width=self.width).join(model, ["row", "col"])
-        return calibrate.weighted_scale(px, "frame_index", "t", "adu", "var")
+        return dense.frame_scales(self.frames(start, stop), self.calibration.background)
 
     def index(self, start: int | None = None, stop: int | None = None, least_peaks: int = 5, mosaicity_prior: float = math.radians(0.1)) -> IndexFrame:
         """Solutions with integrated reflections, limits, mosaicity and enrichment."""
@@ -254,6 +273,10 @@ class Pipeline:
         snapped = cut(reflections.snap(pred, found.select("frame_index", "row", "col")))
         boxes = cut(dense.integrate_frames(frames, snapped, bg, self.finder_rule, gain=self.calibration.gain or self.geometry.adu_per_photon or 1.0))
         refl = cut(boxes.drop("row", "col").join(snapped, ["frame_index", "refl"]))
+        # A frame without an integrated reflection still has its indexed peaks.
+        seen = solved.select("frame_index", F.explode(F.arrays_zip("peak", "h", "k", "l")).alias("x")).select("frame_index", F.col("x.peak").alias("peak_id"), "x.h", "x.k", "x.l")
+        seen = seen.join(found.select("frame_index", "peak_id", "row", "col", "intensity", "sigma"), ["frame_index", "peak_id"])
+        refl = cut(tables.with_observed(refl, seen))
         ok = refl.where("sigma > 0")
         fall = reflections.falloff_limit(ok.select("frame_index", (F.col("qn") * 10.0).alias("q"), (F.col("intensity") / F.col("sigma")).alias("isig")), "frame_index", "q", "isig")
         last = reflections.percentile_limit(lifted.select("frame_index", (F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2) * 10.0).alias("q")), "frame_index", "q").withColumnRenamed("limit", "peak_limit")
@@ -275,10 +298,11 @@ class Pipeline:
         )
         return IndexFrame(cut(out), self, found, refl, frames.select("frame_index", "filename", "event"))
 
-    def funnel(self, start: int | None = None, stop: int | None = None, least_peaks: int = 5) -> Funnel:
-        """Frames, hits and indexed frames of a range."""
-        peaks = self.peaks(start, stop).df.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"))
-        return Funnel(self.frames(start, stop).count(), peaks.where(F.col("n") >= least_peaks).count(), self.index(start, stop).count())
+    def funnel(self, start: int | None = None, stop: int | None = None, least_peaks: int = 5, solved: IndexFrame | None = None) -> Funnel:
+        """Frames, hits and indexed frames of a range. With ``solved`` (of the same range) nothing is indexed again."""
+        solved = solved or self.index(start, stop, least_peaks)
+        peaks = solved.peaks.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"))
+        return Funnel(self.frames(start, stop).select("frame_index").count(), peaks.where(F.col("n") >= least_peaks).count(), solved.count())
 
 
 __all__ = ["Calibration", "Funnel", "IndexFrame", "PeakFrame", "Pipeline"]

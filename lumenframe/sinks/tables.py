@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -72,6 +73,16 @@ def reflection_rows(refl: DataFrame, d: Detector, label: str = "p0") -> DataFram
     return conform(out, "reflections")
 
 
+def with_observed(reflections: DataFrame, observed: DataFrame) -> DataFrame:
+    """``reflections`` and, for frames that have none, their indexed peaks (``frame_index, h, k, l, row,
+    col, intensity, sigma``) with peak and background 0; other columns are NULL there."""
+    rest = observed.join(reflections.select("frame_index").distinct(), "frame_index", "left_anti")
+    have = set(rest.columns)
+    fill = {"peak": F.lit(0.0), "background": F.lit(0.0)}
+    cols = [(F.col(f.name) if f.name in have else fill.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in reflections.schema.fields]
+    return reflections.unionByName(rest.select(*cols))
+
+
 def backfill(written: DataFrame, events: DataFrame) -> DataFrame:
     """The frames table completed: events (``frame_index, filename, event``) that were not written get a
     row with their identity, indexed = false and NULL for all else."""
@@ -100,10 +111,44 @@ def frame_rows(solutions: DataFrame, peaks: DataFrame, reflections: DataFrame, e
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet folder per table; existing ones are replaced. Frame ids must be unique."""
-    for name in SCHEMAS:
-        if name in tables:
-            tables[name].write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    """One Parquet folder per table. All tables are written beside the former ones first, which are then
+    replaced by renaming, so a failed write leaves them as they were. Frame ids must be unique."""
+    fresh = f"{path}/.new-{uuid.uuid4().hex}"
+    names = [n for n in SCHEMAS if n in tables]
+    for name in names:
+        tables[name].write.parquet(f"{fresh}/{name}.parquet")
+    if not names:
+        return
+    spark = tables[names[0]].sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in names:
+        target = jvm(f"{path}/{name}.parquet")
+        fs.delete(target, True)
+        if not fs.rename(jvm(f"{fresh}/{name}.parquet"), target):
+            raise OSError(f"cannot put {name} in place")
+    fs.delete(jvm(fresh), True)
+
+
+#: Counters of a run that shards add up.
+STATS = ("frames", "hits", "indexed", "peaks", "reflections")
+
+
+def write_stats(spark: SparkSession, counts: dict[str, int], path: str) -> None:
+    """The counters of one shard as a JSON record beside its tables."""
+    row = tuple(int(counts.get(c, 0)) for c in STATS)
+    spark.createDataFrame([row], ", ".join(f"{c} long" for c in STATS)).coalesce(1).write.mode("overwrite").json(f"{path}/stats.json")
+
+
+def merge_stats(spark: SparkSession, shards: Sequence[str]) -> dict[str, int]:
+    """The sums of the counters of all shards; a shard without a record adds nothing."""
+    have = [f"{s}/stats.json" for s in shards]
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    have = [p for p in have if fs(p)]
+    if not have:
+        return dict.fromkeys(STATS, 0)
+    got = spark.read.schema(", ".join(f"{c} long" for c in STATS)).json(have).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS]).first()
+    return got.asDict()
 
 
 def duplicate_frame_ids(frames: DataFrame) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import Detector
+from lumenframe.operators.positions import dense_positions
+from lumenframe.session import cut
 from lumenframe.sources.geom import Geometry
 
-#: Fixed values of the text format: its version line and the two table headings.
+#: Fixed values of the text format: its version line, the two table headings and the marks of a chunk.
 VERSION = "CrystFEL stream format 2.3"
 PEAK_HEAD = "  fs/px   ss/px (1/d)/nm^-1   Intensity  Panel"
+BEGIN_CHUNK, END_CHUNK, SERIAL_LINE = "----- Begin chunk -----", "----- End chunk -----", "Image serial number: "
 REFLECTION_HEAD = "   h    k    l          I   sigma(I)       peak background  fs/px  ss/px panel"
 
 
@@ -59,7 +64,7 @@ def stream_chunks(frames: DataFrame, peaks: DataFrame, reflections: DataFrame, d
     nm = [F.col(f"cell_{x}_A") / 10.0 for x in "abc"]
     cell = F.format_string("Cell parameters %.5f %.5f %.5f nm, %.2f %.2f %.2f deg", *nm, *[F.col(f"cell_{x}_deg") for x in ("alpha", "beta", "gamma")])
     chunk = put(
-        F.lit("----- Begin chunk -----"), F.format_string("Image filename: %s", "filename"), F.format_string("Event: //%d", "event"), F.format_string("Image serial number: %d", "serial"),
+        F.lit(BEGIN_CHUNK), F.format_string("Image filename: %s", "filename"), F.format_string("Event: //%d", "event"), F.format_string(SERIAL_LINE + "%d", "serial"),
         F.lit("hit = 1"), F.lit("indexed_by = fromfile"), F.lit("n_indexing_tries = 1"), F.lit(f"photon_energy_eV = {d.photon_energy or 0.0:.2f}"),
         F.lit("beam_divergence = 0.00e+00 rad"), F.lit("beam_bandwidth = 1.00e-08 (fraction)"), F.lit(f"average_camera_length = {d.clen:.6f} m"),
         F.format_string("num_peaks = %d", F.coalesce("n_peaks", F.lit(0))), F.lit("num_saturated_peaks = 0"), F.concat(F.lit("peak_resolution = "), resolution_text(F.col("peak_resolution_nm_inv"))),
@@ -69,7 +74,7 @@ def stream_chunks(frames: DataFrame, peaks: DataFrame, reflections: DataFrame, d
         F.format_string("profile_radius = %.5f nm^-1", F.coalesce("profile_radius_nm_inv", F.lit(0.002))), F.lit("predict_refine/det_shift x = 0.000000 y = 0.000000 mm"), *private,
         F.concat(F.lit("diffraction_resolution_limit = "), resolution_text(F.coalesce("diffraction_limit_nm_inv", "__largest", F.lit(0.0)))),
         F.format_string("num_reflections = %d", F.coalesce("num_reflections", F.lit(0))), F.lit("num_saturated_reflections = 0"), F.lit("num_implausible_reflections = 0"),
-        F.lit("Reflections measured after indexing"), F.lit(REFLECTION_HEAD), F.col("__refl"), F.lit("End of reflections"), F.lit("--- End crystal"), F.lit("----- End chunk -----"),
+        F.lit("Reflections measured after indexing"), F.lit(REFLECTION_HEAD), F.col("__refl"), F.lit("End of reflections"), F.lit("--- End crystal"), F.lit(END_CHUNK),
     )
     return all_.select("serial", chunk.alias("chunk"))
 
@@ -81,6 +86,34 @@ def write_stream(chunks: DataFrame, head: str, path: str) -> None:
     chunks.select(F.col("serial").cast("long").alias("serial"), "chunk").unionByName(first).repartitionByRange("serial").sortWithinPartitions("serial").select("chunk").write.mode("overwrite").text(path)
 
 
+def merge_streams(spark: SparkSession, parts: Sequence[str], path: str) -> int:
+    """Streams (files or folders of them) one after the other as one stream; returns the number of chunks.
+
+    Chunks keep their order within a part and are numbered 1, 2, … anew; the header is that of the first
+    part that has one. Parts that are missing or empty add nothing.
+    """
+    text = None
+    for k, part in enumerate(parts):
+        p = spark._jvm.org.apache.hadoop.fs.Path(part)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(p) or not fs.getContentSummary(p).getLength():
+            continue
+        got = spark.read.text(part, lineSep=END_CHUNK).select(F.lit(k).alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+        text = got if text is None else text.unionByName(got)
+    if text is None:
+        return 0
+    text = cut(text)
+    cleave = F.split_part("value", F.lit(BEGIN_CHUNK), F.lit(1))
+    heads = text.where(F.trim(F.regexp_replace(cleave, r"\s+", " ")).startswith(VERSION)).select("part", "file", "block", "at", F.rtrim(F.regexp_replace(cleave, r"\s+$", "")).alias("head"))
+    head = heads.orderBy("part", "file", "block", "at").limit(1).first()
+    bodies = text.where(F.col("value").contains(BEGIN_CHUNK)).select("part", "file", "block", "at", F.concat(F.lit(BEGIN_CHUNK), F.split_part("value", F.lit(BEGIN_CHUNK), F.lit(2)), F.lit(END_CHUNK)).alias("chunk"))
+    one = bodies.withColumn("all", F.lit(0))
+    numbered = dense_positions(one, ["all"], F.col("part").cast("long"), [F.col("file"), F.col("block"), F.col("at")], "serial").withColumn("serial", F.col("serial") + 1)
+    chunks = numbered.select("serial", F.regexp_replace("chunk", SERIAL_LINE + r"-?\d+", F.concat(F.lit(SERIAL_LINE), F.col("serial").cast("string"))).alias("chunk"))
+    write_stream(chunks, head["head"] if head else VERSION, path)
+    return numbered.count()
+
+
 def padded_peaks(peaks: DataFrame, width: int | None = None) -> DataFrame:
     """``filename, event, nPeaks, peakXPosRaw, peakYPosRaw, peakTotalIntensity``: arrays padded with 0.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import Panel
 from lumenframe.operators.positions import dense_positions
+from lumenframe.session import cut
 
 FRAME_SCHEMA = "frame_index long, filename string, event long, h int, w int, pixels array<float>"
 
@@ -43,10 +45,10 @@ def locate_frames(df: DataFrame, ranges: DataFrame, block: int = 1024) -> DataFr
 
     Ranges are cut into blocks, so the range join is an equi-join however many files there are.
     """
-    cut = ranges.where("stop > start").select(F.col("filename").alias("__f"), F.col("pos").alias("__p"), F.col("start").alias("__a"), F.col("stop").alias("__b"))
-    cut = cut.withColumn("__k", F.explode(F.sequence(F.floor(F.col("__a") / block), F.floor((F.col("__b") - 1) / block))))
+    parts = ranges.where("stop > start").select(F.col("filename").alias("__f"), F.col("pos").alias("__p"), F.col("start").alias("__a"), F.col("stop").alias("__b"))
+    parts = parts.withColumn("__k", F.explode(F.sequence(F.floor(F.col("__a") / block), F.floor((F.col("__b") - 1) / block))))
     keys = df.select("frame_index").where("frame_index IS NOT NULL").distinct().withColumn("__k", F.floor(F.col("frame_index") / block))
-    hit = keys.join(cut, "__k").where("frame_index >= __a AND frame_index < __b").groupBy("frame_index").agg(F.min(F.struct("__p", "__f", "__a")).alias("h"))
+    hit = keys.join(parts, "__k").where("frame_index >= __a AND frame_index < __b").groupBy("frame_index").agg(F.min(F.struct("__p", "__f", "__a")).alias("h"))
     out = df.join(hit, "frame_index", "left")
     return out.select(*df.columns, F.coalesce("h.__f", F.lit("unknown")).alias("filename"), F.coalesce(F.col("frame_index") - F.col("h.__a"), F.col("frame_index"), F.lit(0)).cast("long").alias("event"))
 
@@ -78,6 +80,84 @@ def read_frames(spark: SparkSession, path: str | Sequence[str], start: int | Non
     return df.where(F.col("filename").isin(list(files))) if files is not None else df
 
 
+def scan_files(spark: SparkSession, paths: Sequence[str], height: int | None = None, width: int | None = None) -> DataFrame:
+    """``filename, pos, n_frames, problem`` of frame files, from their footers alone.
+
+    A file that cannot be read, lacks a frame column or holds frames of another shape (the first readable
+    file's unless given) has 0 frames and a ``problem``; the others' is NULL. See ``usable_files``.
+    """
+    needed = {c.split()[0] for c in FRAME_SCHEMA.split(", ")}
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            out = []
+            for pos, name in zip(b["pos"], b["filename"], strict=True):
+                n, h, w, problem = 0, None, None, None
+                try:
+                    fs, path = pafs.FileSystem.from_uri(name if "://" in name or name.startswith("file:") else f"file://{name}")
+                    with fs.open_input_file(path) as raw:
+                        meta = pq.ParquetFile(raw).metadata
+                    names = {meta.schema.column(i).path.split(".")[0]: i for i in range(meta.num_columns)}
+                    if needed - set(names):
+                        raise ValueError("no column " + ", ".join(sorted(needed - set(names))))
+                    sizes = [(s.min, s.max) if (s := meta.row_group(g).column(names[c]).statistics) and s.has_min_max else (-1, -1) for g in range(meta.num_row_groups) for c in ("h", "w")]
+                    if any(lo != hi or lo != sizes[k % 2][0] for k, (lo, hi) in enumerate(sizes)):
+                        raise ValueError("frames of several shapes")
+                    n = meta.num_rows
+                    h, w = (int(sizes[0][0]), int(sizes[1][0])) if sizes else (None, None)
+                except Exception as e:  # noqa: BLE001 - whatever the reason, the file is left out and the reason told
+                    n, problem = 0, f"{type(e).__name__}: {e}"[:300]
+                out.append((int(pos), name, n, h, w, problem))
+            got = pd.DataFrame(out, columns=["pos", "filename", "n_frames", "h", "w", "problem"])
+            yield got.astype({"h": "Int32", "w": "Int32"})
+
+    files = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "pos int, filename string")
+    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
+    seen = cut(files.repartition(n).mapInPandas(kernel, "pos int, filename string, n_frames long, h int, w int, problem string"))
+    if height is None or width is None:
+        first = seen.where("problem IS NULL AND n_frames > 0").orderBy("pos").select("h", "w").first()
+        height, width = (first["h"], first["w"]) if first else (None, None)
+    other = F.col("problem").isNull() & (F.col("n_frames") > 0) & ~(F.col("h").eqNullSafe(F.lit(height)) & F.col("w").eqNullSafe(F.lit(width)))
+    shape = F.format_string(f"frames of %d x %d, not {height} x {width}", F.col("h"), F.col("w"))
+    return seen.select("filename", "pos", F.when(other, F.lit(0)).otherwise(F.col("n_frames")).alias("n_frames"), F.coalesce("problem", F.when(other, shape)).alias("problem"))
+
+
+def usable_files(scanned: DataFrame) -> list[str]:
+    """The files without a problem in list order; each of the others is warned about."""
+    rows = scanned.orderBy("pos").collect()  # the list of files
+    for r in rows:
+        if r["problem"] is not None:
+            warnings.warn(f"{r['filename']} is left out: {r['problem']}", stacklevel=2)
+    return [r["filename"] for r in rows if r["problem"] is None]
+
+
+def check_placement(panels: Sequence[Panel], height: int, width: int) -> None:
+    """Panels that reach over the frame, are turned inside out, or lie on each other are an error."""
+    for k, p in enumerate(panels):
+        if not (0 <= p.min_fs <= p.max_fs < width and 0 <= p.min_ss <= p.max_ss < height):
+            raise ValueError(f"panel {p.name} does not lie in a frame of {height} x {width}")
+        for q in panels[:k]:
+            if p.min_fs <= q.max_fs and q.min_fs <= p.max_fs and p.min_ss <= q.max_ss and q.min_ss <= p.max_ss:
+                raise ValueError(f"panels {q.name} and {p.name} overlap")
+
+
+def read_mask(spark: SparkSession, path: str, rule, panels: Sequence[Panel] = ()) -> DataFrame:
+    """``row, col, valid`` of a mask table: ``row, col, word``, or ``panel, ss, fs, word`` to be put in place.
+
+    A pixel is good if its word has all good bits and no bad one; without either rule, if it is 0. A NULL word
+    is bad.
+    """
+    words = spark.read.parquet(path)
+    if "panel" in words.columns:
+        words = assemble_panels(words.select(F.lit(0).cast("long").alias("frame_index"), "panel", "ss", "fs", F.col("word").alias("adu")), panels).withColumnRenamed("adu", "word")
+    word = F.col("word").cast("long")
+    ok = good_pixel(word, rule.good, rule.bad) if rule.good or rule.bad else word == 0
+    return words.select("row", "col", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
 def block_of(position: Column, total: Column | int, blocks: int) -> Column:
     """Which of ``blocks`` contiguous blocks, sizes differing by at most one (larger first), holds a position."""
     n = total if isinstance(total, Column) else F.lit(total)

@@ -48,6 +48,42 @@ def online_noise(stream: DataFrame, key: str, order: list[str], value: str, k: f
     return rows.groupBy(key).applyInPandasWithState(kernel, f"{key} {kind}, n long, mean double, var double, clipped long", STATE, "update", "NoTimeout")
 
 
+def online_scores(stream: DataFrame, key: str, order: list[str], value: str, k: float = 5.0, least: int = 4, warmup: int = 16) -> DataFrame:
+    """``key, order…, n, z`` of each arriving value, scored against the running state (append mode).
+
+    A value is folded in before it is scored, so it is whitened against statistics that include it. When
+    ``warmup`` values of a key have been learned, the key is committed as valid or not (it does not
+    vary); from then on z is NULL for keys that are not. NULL values are skipped.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    kinds = ", ".join(f"{o} {stream.schema[o].dataType.simpleString()}" for o in order)
+
+    def kernel(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        *s, valid = state.get if state.exists else (0, 0.0, 0.0, 0, True)
+        rows = pd.concat(list(batches)).dropna(subset=["x"]).sort_values(order, kind="stable")
+        n, z = [], []
+        for x in rows["x"].to_numpy(float):
+            s = fold(*s, np.array([x]), k, least)
+            var = s[2] / (s[0] - 1) if s[0] >= 2 else 0.0
+            if s[0] == warmup:
+                valid = var > 0
+            n.append(s[0])
+            z.append((x - s[1]) / max(var, 1e-12) ** 0.5 if valid else None)
+        state.update((*s, valid))
+        yield rows[order].assign(**{key: name[0], "n": n, "z": pd.Series(z, index=rows.index, dtype=float)})[[key, *order, "n", "z"]]
+
+    rows = stream.select(key, *order, F.col(value).cast("double").alias("x"))
+    return rows.groupBy(key).applyInPandasWithState(kernel, f"{key} {kind}, {kinds}, n long, z double", STATE + ", valid boolean", "append", "NoTimeout")
+
+
+def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Drain a finite stream in append mode into a table of the shared folder."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def run_to_end(stream: DataFrame, key: str, spark: SparkSession, newest: str = "n") -> DataFrame:
     """Drain a finite stream in update mode into a table of the shared folder; the last row per key."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
