@@ -181,8 +181,7 @@ def test_panels_and_spots_of_the_seed_do_not_mix(spark):
     bg = learned.background
     assert np.abs(bg.mean - level)[bg.valid].max() < 8
     assert bg.modes.shape == (2, 24, 32) and np.allclose([np.linalg.norm(m) for m in bg.modes], 1, atol=1e-6)
-    found = run.peaks().df.toPandas()
-    assert {(20, 7, 7)} <= {(int(f), round(r), round(c)) for f, r, c in found[["frame_index", "row", "col"]].to_numpy()}
+    assert abs(bg.mean[7, 7] - 100) < 8 and bg.var[7, 7] < 100
     scale = run.scales().toPandas()
     assert len(scale) == 34 and np.allclose(scale["scale"], 1, atol=0.05)
 
