@@ -567,7 +567,7 @@ SELECT frame_index, r::INTEGER AS row, c::INTEGER AS col, round(adu, 4) AS adu F
     "resolution_histogram": """WITH p AS (SELECT DISTINCT peak_id, resolution_nm_inv AS q FROM peaks WHERE resolution_nm_inv >= 0), t AS (SELECT max(q) AS top FROM p)
 SELECT CAST(least(floor(q / (top / 40.0)), 39) AS INTEGER) AS bin, count(*) AS n FROM p, t GROUP BY 1""",
     "cell_parse": "SELECT 50.3::DOUBLE AS a, 104.2::DOUBLE AS b, 87.9::DOUBLE AS c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, 90.0::DOUBLE AS gamma, round(50.3::DOUBLE * 104.2 * 87.9, 3) AS volume, 'orthorhombic' AS lattice_type, 'I' AS centering",
-    "stream_text": """WITH p AS (SELECT DISTINCT peak_id, lower(trim(frame_id)) AS frame_id, floor(fs) AS fs, floor(ss) AS ss, floor(intensity) AS i, floor(resolution_nm_inv) AS q, panel FROM peaks
+    "stream_text": """WITH p AS (SELECT DISTINCT peak_id, lower(trim(frame_id)) AS frame_id, floor(fs) AS fs, floor(ss) AS ss, floor(intensity) + 0.0 AS i, floor(resolution_nm_inv) AS q, panel FROM peaks
   WHERE frame_id IS NOT NULL AND intensity IS NOT NULL AND NOT isnan(intensity) AND resolution_nm_inv IS NOT NULL AND panel IS NOT NULL),
 l AS (SELECT frame_id, ss, fs, printf('%7.2f %7.2f %10.2f %10.2f   %s', fs, ss, q, i, panel) AS line FROM p)
 SELECT frame_id, string_agg(line, chr(10) ORDER BY ss, fs, line) AS text FROM l GROUP BY 1""",
