@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.geometry import Detector, q_to_detector
-from lumenframe.functions.lattice import allowed, rocking_radius
 from lumenframe.functions.scoring import poisson_tail
 from lumenframe.session import spread
 
@@ -37,7 +38,7 @@ def index_bounds(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
 def enumerate_hkl(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
     """``crystals`` with ``h, k, l``: every index triple within ``index_bounds``, without 0 0 0.
 
-    For grids that are wanted whole; prediction solves for the shell instead (``shell_hkl``).
+    For grids that are wanted whole; prediction solves for the shell instead (``shell_candidates``).
     """
     out = index_bounds(spread(crystals, a), q_max, a)
     for name in "hkl":
@@ -49,88 +50,192 @@ def enumerate_hkl(crystals: DataFrame, q_max: float, a: str = "a") -> DataFrame:
 _BITS, _HALF = 21, 1 << 20
 
 
-def shell_triples(a: np.ndarray, q_max: float, wavelength: float, tol: float, slope: float = 0.0, floor: float = 0.0, frame: tuple[float, ...] | None = None) -> np.ndarray:
-    """Packed index triples of one matrix with norm <= ``q_max`` and excitation < ``tol`` (a hair more).
+#: Tiles of the frame along each side, and directions in the plane of two indices, by which the lines that can meet the frame are bounded.
+_TILES, _TURNS = 16, 32
 
-    With ``slope`` the excitation may be ``tol`` less slope times (q_max - norm), or ``floor`` if that is more; with ``frame``
-    (distance in pixels, beam row and column, height, width) only triples that hit it count.
 
-    For each pair of the two shorter indices the third lies in at most two short intervals, the roots
-    of |s| = 1 + tol and |s| = 1 - tol: the box of all triples is never laid out.
+def frame_corners(frame: tuple[float, ...]) -> tuple[np.ndarray, float]:
+    """Directions to the corners of the frame's tiles, one pixel wider than the frame, and the largest secant of a tile:
+    with weights from r to r times it, their convex hull holds every vector of length r that hits the frame."""
+    far, row, col, height, width = frame
+    r, c = np.meshgrid(np.linspace(-1.5, height + 0.5, _TILES + 1) - row, np.linspace(-1.5, width + 0.5, _TILES + 1) - col, indexing="ij")
+    u = np.stack([c, r, np.full(c.shape, far)], axis=-1)
+    u /= np.linalg.norm(u, axis=-1, keepdims=True)
+    each = np.stack([u[:-1, :-1], u[1:, :-1], u[:-1, 1:], u[1:, 1:]])
+    axis = each.sum(axis=0)
+    axis /= np.linalg.norm(axis, axis=-1, keepdims=True)
+    return u.reshape(-1, 3), 1.0 / float((each * axis).sum(axis=-1).min())
+
+
+def shell_candidates(a: np.ndarray, q_max: float, wavelength: float, tol: float, corners: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index triples (as numbers) among which are all with norm <= ``q_max`` and excitation < ``tol``, of those, with
+    ``corners``, that hit the frame.
+
+    For each pair of the two shorter indices the third lies in at most two short intervals, the roots of |s| = 1 + tol
+    and |s| = 1 - tol. Only pairs are gone through whose line can meet the resolution sphere and the frame's part of the
+    shell: a polygon bounds them, by the largest values along a few directions.
     """
-    bound = np.maximum(np.ceil(q_max * np.linalg.norm(np.linalg.inv(a), axis=1)), 1).astype(int)
+    inv = np.linalg.inv(a)
+    bound = np.maximum(np.ceil(q_max * np.linalg.norm(inv, axis=1)), 1).astype(int)
     if bound.max() >= _HALF:
         raise ValueError("an index bound beyond 2 ** 20")
     last = int(np.argmax(bound))
     first, second = [k for k in range(3) if k != last]
-    x, y = (g.ravel() for g in np.mgrid[-bound[first] : bound[first] + 1, -bound[second] : bound[second] + 1])
-    v = wavelength * a[:, last]
-    s0 = wavelength * (x[:, None] * a[:, first] + y[:, None] * a[:, second]) + np.array([0.0, 0.0, 1.0])
-    vv, mid = v @ v, -(s0 @ v) / (v @ v)
-    off = (s0 * s0).sum(axis=1) - vv * mid * mid  # squared distance of the line from the sphere's centre
     t = tol * (1 + 1e-6) + 1e-9
-    out2 = ((1 + t) ** 2 - off) / vv
-    in2 = ((1 - t) ** 2 - off) / vv if t < 1 else np.full(len(off), -1.0)
-    hit = out2 >= 0
-    x, y, mid, out, inner = x[hit], y[hit], mid[hit], np.sqrt(out2[hit]) + 1e-6, np.sqrt(np.maximum(in2[hit], 0.0)) - 1e-6
-    lo1, hi2 = np.maximum(np.ceil(mid - out), -bound[last]).astype(int), np.minimum(np.floor(mid + out), bound[last]).astype(int)
-    hi1 = np.minimum(np.floor(mid - inner), hi2).astype(int)
-    lo2 = np.maximum(np.maximum(np.ceil(mid + inner), lo1), hi1 + 1).astype(int)
-    x, y, lo, n = np.tile(x, 2), np.tile(y, 2), np.concatenate([lo1, lo2]), np.maximum(np.concatenate([hi1 - lo1, hi2 - lo2]) + 1, 0)
-    z = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    hkl = np.empty((len(z), 3), np.int64)
-    hkl[:, first], hkl[:, second], hkl[:, last] = np.repeat(x, n), np.repeat(y, n), z
+    turn = math.pi * (np.arange(_TURNS) + 0.5) / _TURNS
+    across, along = np.cos(turn) / bound[first], np.sin(turn) / bound[second]
+    ahead = np.concatenate([across[:, None] * inv[first] + along[:, None] * inv[second], inv[[first, last]]])
+    ahead = np.concatenate([ahead, -ahead])
+    most = q_max * np.linalg.norm(ahead, axis=1)
+    if corners is not None:
+        reach = (ahead @ corners[0].T).max(axis=1)
+        most = np.minimum(most, (np.maximum(reach * max(1 - t, 0.0), reach * ((1 + t) * corners[1])) - ahead[:, 2]) / wavelength)
+    most = most * (1 + np.sign(most) * 1e-9) + 1e-9
+    up, down = most[: _TURNS + 2], -most[_TURNS + 2 :]
+    x = np.arange(math.ceil(down[_TURNS]), math.floor(up[_TURNS]) + 1.0)
+    top = np.floor(((up[:_TURNS, None] - across[:, None] * x) / along[:, None]).min(axis=0))
+    low = np.ceil(((down[:_TURNS, None] - across[:, None] * x) / along[:, None]).max(axis=0))
+    n = np.maximum(top - low + 1, 0).astype(int)
+    least, greatest = math.ceil(down[_TURNS + 1]), math.floor(up[_TURNS + 1])
+    if not n.sum() or least > greatest:
+        return (np.empty(0),) * 3
+    v = wavelength * a[:, last]
+    vv = float(v @ v)
+    x, low = np.repeat(x, n), np.repeat(low - (np.cumsum(n) - n), n)
+    y = low + np.arange(len(x))
+    # The beam and the two shorter vectors across the line: in a plane with the first of them as an axis.
+    side = [wavelength * a[:, first], wavelength * a[:, second], np.array([0.0, 0.0, 1.0])]
+    slip = [float(w @ v) / vv for w in side]
+    side = [w - k * v for w, k in zip(side, slip, strict=True)]
+    e1 = side[0] / np.linalg.norm(side[0])
+    e2 = np.cross(e1, v / math.sqrt(vv))
+    off = x * float(side[0] @ e1) + y * float(side[1] @ e1)
+    off += float(side[2] @ e1)
+    off *= off
+    other = y * float(side[1] @ e2) + float(side[2] @ e2)
+    other *= other
+    off += other  # squared distance of the line from the sphere's centre
+    mid = x * -slip[0] - y * slip[1]
+    mid -= slip[2]
+    off /= -vv
+    out = np.sqrt(np.maximum(off + (1 + t) ** 2 / vv, 0.0))
+    out += 1e-6
+    inner = np.sqrt(np.maximum(off + (1 - t) ** 2 / vv, 0.0)) if t < 1 else np.zeros(len(off))
+    inner -= 1e-6
+    lo1, hi1 = np.maximum(np.ceil(mid - out), least), np.minimum(np.floor(mid - inner), greatest)
+    hi2 = np.minimum(np.floor(mid + out), greatest)
+    lo2 = np.maximum(np.maximum(np.ceil(mid + inner), least), hi1 + 1)
+    found = []
+    for lo, hi in ((lo1, hi1), (lo2, hi2)):
+        at = np.flatnonzero(hi >= lo)
+        m = (hi[at] - lo[at]).astype(int) + 1
+        if m.size and m.max() > 1:
+            at, step = np.repeat(at, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            found.append((at, lo[at] + step))
+        else:
+            found.append((at, lo[at]))
+    at = np.concatenate([f[0] for f in found])
+    out = [np.empty(0)] * 3
+    out[first], out[second], out[last] = x[at], y[at], np.concatenate([f[1] for f in found])
+    return tuple(out)
+
+
+def shell_triples(a: np.ndarray, q_max: float, wavelength: float, tol: float) -> np.ndarray:
+    """Packed index triples of one matrix with norm <= ``q_max`` and excitation < ``tol`` (a hair more)."""
+    h, k, l = shell_candidates(a, q_max, wavelength, tol)  # noqa: E741
+    hkl = np.stack([h, k, l], axis=1)
     q = hkl @ a.T
-    qn = np.sqrt((q * q).sum(axis=1))
-    keep = (qn <= q_max * (1 + 1e-9)) & (hkl != 0).any(axis=1)
     s = wavelength * q + np.array([0.0, 0.0, 1.0])
-    keep &= np.abs(np.sqrt((s * s).sum(axis=1)) - 1.0) < np.maximum(t - slope * np.maximum(q_max - qn, 0.0), floor * (1 + 1e-6) + 1e-9)
-    if frame:
-        far, row, col, height, width = frame
-        sz = np.maximum(s[:, 2], 1e-30)
-        r, c = row + s[:, 1] * far / sz, col + s[:, 0] * far / sz
-        keep &= (s[:, 2] > 0) & (r > -0.5) & (r < height - 0.5) & (c > -0.5) & (c < width - 0.5)
-    hkl = hkl[keep] + _HALF
+    keep = (np.sqrt((q * q).sum(axis=1)) <= q_max * (1 + 1e-9)) & (hkl != 0).any(axis=1)
+    keep &= np.abs(np.sqrt((s * s).sum(axis=1)) - 1.0) < tol * (1 + 1e-6) + 1e-9
+    hkl = hkl[keep].astype(np.int64) + _HALF
     return (hkl[:, 0] << 2 * _BITS) | (hkl[:, 1] << _BITS) | hkl[:, 2]
 
 
-def shell_hkl(crystals: DataFrame, q_max: float, wavelength: float, tol: Column, slope: Column, floor: float = 0.0, frame: tuple[float, ...] | None = None, a: str = "a") -> DataFrame:
-    """``crystals`` with the ``h, k, l`` of ``enumerate_hkl`` that ``shell_triples`` gives: those near
-    the Ewald sphere, and perhaps a few just beside. A matrix with a NULL gives no row."""
+def _allowed(h: np.ndarray, k: np.ndarray, l: np.ndarray, centering: str | None) -> np.ndarray | None:  # noqa: E741
+    """``lattice.allowed`` for the kernel; None keeps all."""
+    even, third = (lambda x: x % 2 == 0), (lambda x: x % 3 == 0)
+    rules = {
+        "A": lambda: even(k + l), "B": lambda: even(h + l), "C": lambda: even(h + k), "I": lambda: even(h + k + l),
+        "F": lambda: even(h + k) & even(h + l) & even(k + l), "R": lambda: third(-h + k + l), "H": lambda: third(h - k),
+    }
+    return rules.get((centering or "P").strip()[:1].upper(), lambda: None)()
 
-    @F.pandas_udf("array<long>")
-    def triples(m: pd.Series, tol: pd.Series, slope: pd.Series) -> pd.Series:
-        usable = [x is not None and len(x) == 9 and np.isfinite(np.asarray(x, float)).all() for x in m]
-        got = [shell_triples(np.asarray(x, float).reshape(3, 3), q_max, wavelength, t, g, floor, frame) if ok else np.empty(0, np.int64) for x, t, g, ok in zip(m, tol, slope, usable, strict=True)]
-        return pd.Series(got, dtype=object)
 
-    packed = spread(crystals, a).withColumn("__hkl", F.explode(triples(F.col(a), tol, slope)))
-    index = lambda shift: (F.shiftright("__hkl", shift).bitwiseAND(F.lit(2 * _HALF - 1)) - F.lit(_HALF)).cast("int")
-    return packed.select(*crystals.columns, index(2 * _BITS).alias("h"), index(_BITS).alias("k"), index(0).alias("l"))
+#: Columns that prediction adds, and about how many rows its kernel hands on at a time.
+PREDICTED = {"h": "int", "k": "int", "l": "int", "qx": "double", "qy": "double", "qz": "double", "qn": "double", "excitation": "double", "row": "double", "col": "double"}
+_ROWS = 32768
 
 
 def predict_reflections(
     crystals: DataFrame, d: Detector, q_max: float, height: int, width: int, eta: Column | float, size: float = 5e-5, bandwidth: float = 0.0,
-    sigma: float = 1.5, least: float = 5e-4, centering: str | None = None, a: str = "a",
+    sigma: float = 1.5, least: float = 5e-4, centering: str | None = None, a: str = "a", columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``crystals`` × reflections near the Ewald sphere that hit the frame: h k l, q, excitation, position."""
-    eta = eta if isinstance(eta, Column) else F.lit(float(eta))
-    widest = F.greatest(*[F.lit(d.wavelength * sigma) * rocking_radius(F.lit(x), eta, size, d.wavelength, bandwidth) for x in (0.0, q_max)], F.lit(least))
-    # Without bandwidth the tolerance is a straight line above its floor, which the kernel follows; else it takes the widest.
-    slope = F.lit(0.5 * d.wavelength * sigma) * F.greatest(F.coalesce(eta, F.lit(0.0)), F.lit(0.0)) if bandwidth == 0 else F.lit(0.0)
+    """``crystals`` × reflections near the Ewald sphere that hit the frame: h k l, q, excitation, position.
+
+    ``columns`` names those wanted, of ``crystals`` and of the result; all by default. A matrix with a NULL gives no row.
+    Without ``eta`` the tolerance is ``least``. One kernel solves for the triples, tests them and computes their
+    columns, frame by frame, so that only reflections leave it.
+    """
+    wanted = list(columns) if columns else [*crystals.columns, *PREDICTED]
+    made = [c for c in PREDICTED if c in wanted]
+    if d.by_panels:  # Spark places them
+        made = [c for c in PREDICTED if c in ("qx", "qy", "qz") or c in made and c not in ("row", "col")]
+    carried = [c for c in crystals.columns if c in wanted and c not in PREDICTED]
     frame = None if d.by_panels else (d.clen / d.pixel_size, d.beam_row, d.beam_col, height, width)
-    grid = shell_hkl(crystals, q_max, d.wavelength, widest, slope, least, frame, a).where(allowed(F.col("h"), F.col("k"), F.col("l"), centering))
-    hkl = [F.col(x).cast("double") for x in "hkl"]
-    q = [_a(a, r, 0) * hkl[0] + _a(a, r, 1) * hkl[1] + _a(a, r, 2) * hkl[2] for r in range(3)]
-    lam = F.lit(d.wavelength)
-    at = grid.select("*", *[x.alias(n) for x, n in zip(q, ("qx", "qy", "qz"), strict=True)])
-    at = at.withColumn("qn", F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2)).where(F.col("qn") <= q_max)
-    sx, sy, sz = lam * F.col("qx"), lam * F.col("qy"), lam * F.col("qz") + 1.0
-    at = at.withColumn("sz", sz).withColumn("excitation", F.sqrt(sx * sx + sy * sy + sz * sz) - 1.0)
-    tol = F.greatest(lam * sigma * rocking_radius(F.col("qn"), eta, size, d.wavelength, bandwidth), F.lit(least))
-    near = at.where((F.col("sz") > 0) & (F.abs("excitation") < tol)).drop("sz")
-    row, col = q_to_detector(F.col("qx"), F.col("qy"), F.col("qz"), d)
-    return near.withColumn("row", row).withColumn("col", col).where(f"row >= 0 AND row <= {height - 1} AND col >= 0 AND col <= {width - 1}")
+    lam = d.wavelength
+
+    def one(m: np.ndarray, eta: float | None, corners: tuple[np.ndarray, float] | None) -> list[np.ndarray]:
+        radius = lambda q: 0.0 if eta is None else size + 0.5 * eta * q + 0.5 * lam * bandwidth * q * q
+        h, k, l = shell_candidates(m, q_max, lam, max(lam * sigma * radius(0.0), lam * sigma * radius(q_max), least), corners)  # noqa: E741
+        got = {"h": h, "k": k, "l": l}
+
+        def drop(keep: np.ndarray) -> None:
+            at = np.flatnonzero(keep)
+            for c in got:
+                got[c] = got[c][at]
+
+        for r, c in enumerate(("qx", "qy", "qz")):
+            got[c] = m[r, 0] * h + m[r, 1] * k + m[r, 2] * l
+        got["qn"] = np.sqrt(got["qx"] * got["qx"] + got["qy"] * got["qy"] + got["qz"] * got["qz"])
+        sx, sy, got["sz"] = lam * got["qx"], lam * got["qy"], lam * got["qz"] + 1.0
+        got["excitation"] = np.sqrt(sx * sx + sy * sy + got["sz"] * got["sz"]) - 1.0
+        keep = np.abs(got["excitation"]) < np.maximum(lam * sigma * radius(got["qn"]), least)
+        keep &= (got["qn"] <= q_max) & (got["sz"] > 0) & ((h != 0) | (k != 0) | (l != 0))
+        if (ok := _allowed(h, k, l, centering)) is not None:
+            keep &= ok
+        drop(keep)
+        if frame:
+            far, row0, col0, *_ = frame
+            sz = np.maximum(got["sz"], 1e-30)
+            got["row"], got["col"] = row0 + lam * got["qy"] * far / sz, col0 + lam * got["qx"] * far / sz
+            drop((got["row"] >= 0) & (got["row"] <= height - 1) & (got["col"] >= 0) & (got["col"] <= width - 1))
+        return [got[c].astype(np.int32) if PREDICTED[c] == "int" else got[c] for c in made] if made else [got["h"]]
+
+    def kernel(batches):
+        corners = frame_corners(frame) if frame else None
+        for b in batches:
+            held, at, rows = [], [], 0
+            mats, etas = b.column("__a").to_pylist(), b.column("__eta").to_pylist()
+            for i, (m, eta) in enumerate(zip(mats, etas, strict=True)):
+                if m is not None and len(m) == 9 and None not in m and np.isfinite(m).all() and not (eta is not None and math.isnan(eta)):
+                    held.append(one(np.array(m).reshape(3, 3), eta, corners))
+                    at.append(i)
+                    rows += len(held[-1][0])
+                if held and (rows >= _ROWS or i == len(mats) - 1):
+                    back = pa.array(np.repeat(at, [len(x[0]) for x in held]))
+                    new = [pa.array(np.concatenate([x[c] for x in held])) for c in range(len(made))]
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(back) for c in carried], *new], names=[*carried, *made])
+                    held, at, rows = [], [], 0
+
+    eta = eta if isinstance(eta, Column) else F.lit(float(eta))
+    given = spread(crystals, a).select(*carried, F.col(a).cast("array<double>").alias("__a"), eta.cast("double").alias("__eta"))
+    schema = T.StructType([*[crystals.schema[c] for c in carried], *[T.StructField(c, {"int": T.IntegerType(), "double": T.DoubleType()}[PREDICTED[c]]) for c in made]])
+    out = given.mapInArrow(kernel, schema)
+    if d.by_panels:
+        row, col = q_to_detector(F.col("qx"), F.col("qy"), F.col("qz"), d)
+        out = out.withColumn("row", row).withColumn("col", col).where(f"row >= 0 AND row <= {height - 1} AND col >= 0 AND col <= {width - 1}")
+    return out.select(*wanted)
 
 
 def snap(predicted: DataFrame, observed: DataFrame, radius: float = 5.0) -> DataFrame:

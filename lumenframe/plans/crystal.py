@@ -11,7 +11,7 @@ from lumenframe.functions import geometry, lattice, scoring
 from lumenframe.functions.geometry import Detector, Panel
 from lumenframe.operators import indexing, noise, reflections as refl
 from lumenframe.plans import detector as images
-from lumenframe.plans.detector import rounded
+from lumenframe.plans.detector import rounded, rounded_as_sql
 from lumenframe.session import spread, table
 from lumenframe.sinks import tables as out_tables
 from lumenframe.sinks import text
@@ -154,12 +154,12 @@ def hkl_absences(spark, d):
     return r.agg(*[F.count_if(lattice.allowed(h, k, l, c)).alias(f"n_{c.lower()}") for c in "PABCIFRH"])
 
 
-def _predicted(spark, d):
-    return refl.predict_reflections(_crystals(spark, d), DET, *_limits(spark, d), eta=0.003, size=5e-5)
+def _predicted(spark, d, *columns):
+    return refl.predict_reflections(_crystals(spark, d), DET, *_limits(spark, d), eta=0.003, size=5e-5, columns=columns)
 
 
 def ewald_shell(spark, d):
-    return rounded(_predicted(spark, d).select("frame_index", "h", "k", "l", "qn", "excitation", "row", "col"), 6)
+    return rounded_as_sql(_predicted(spark, d, "frame_index", "h", "k", "l", "qn", "excitation", "row", "col"), 6)
 
 
 def rocking(spark, d):

@@ -37,6 +37,18 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_as_sql(df: DataFrame, digits: int) -> DataFrame:
+    """``rounded`` for results of very many rows: the scaled number goes to the nearest whole one, halves away from 0, as
+    in DuckDB's round. Spark's own goes by the decimal text of each number, at some twenty times the cost."""
+
+    def near(c: str):
+        x = F.col(c) * F.lit(10.0**digits)
+        whole = F.rint(x)
+        return (F.when(F.abs(x - whole) == 0.5, x + F.signum(x) * 0.5).otherwise(whole) / F.lit(10.0**digits) + F.lit(0.0)).alias(c)  # + 0.0: no negative zero
+
+    return df.select(*[near(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def whitened(spark: SparkSession, d: str) -> DataFrame:
     """Every pixel with excess, variance and z against the seed's pixel statistics."""
     stats = noise.pixel_stats(seed(spark, d)).select("row", "col", "mean", "var")

@@ -10,6 +10,7 @@ from lumenframe.functions import lattice
 from lumenframe.functions.geometry import Detector, Panel, detector_to_q, q_max, q_to_detector
 from lumenframe.functions.scoring import poisson_tail
 from lumenframe.operators import dense, indexing, reflections
+from lumenframe.plans import detector
 from lumenframe.plans.pipeline import Pipeline
 from lumenframe.sinks import tables, text
 from lumenframe.sources import frames as src
@@ -226,3 +227,58 @@ def test_whole_run(spark, run, tmp_path):
     solved.to_stream(str(tmp_path / "run.stream"))
     body = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "run.stream")).collect())
     assert body.count("----- Begin chunk -----") == 2 == body.count("--- Begin crystal") and text.VERSION in body
+
+
+def brute_prediction(m, d, limit, height, width, eta, size, bandwidth, sigma, least, keep=lambda h, k, l: True):  # noqa: E741
+    """Every triple of the box, one after the other."""
+    n = np.maximum(np.ceil(limit * np.linalg.norm(np.linalg.inv(m), axis=1)), 1).astype(int)
+    hkl = np.stack(np.meshgrid(*[np.arange(-x, x + 1) for x in n], indexing="ij"), -1).reshape(-1, 3)
+    q = hkl @ m.T
+    qn, s = np.linalg.norm(q, axis=1), d.wavelength * q + [0, 0, 1]
+    radius = size + 0.5 * eta * qn + 0.5 * d.wavelength * bandwidth * qn * qn if eta is not None else 0.0 * qn
+    near = (qn > 0) & (qn <= limit) & (s[:, 2] > 0) & (np.abs(np.linalg.norm(s, axis=1) - 1) < np.maximum(d.wavelength * sigma * radius, least))
+    far = d.clen / d.pixel_size
+    row, col = d.beam_row + s[:, 1] / np.maximum(s[:, 2], 1e-9) * far, d.beam_col + s[:, 0] / np.maximum(s[:, 2], 1e-9) * far
+    near &= (row >= 0) & (row <= height - 1) & (col >= 0) & (col <= width - 1)
+    return {tuple(int(v) for v in x): (r, c) for x, r, c in zip(hkl[near], row[near], col[near], strict=True) if keep(*x)}
+
+
+@pytest.mark.parametrize(
+    "place,shape,eta,bandwidth,sigma,least,centering",
+    [((512.0, 1040.0), (2076, 2080), 0.003, 0.0, 1.5, 5e-4, None), ((512.0, 1040.0), (2076, 2080), 0.003, 0.01, 1.5, 5e-4, "I"), ((-300.0, 900.0), (400, 300), 0.01, 0.0, 2.0, 1e-3, "F"), ((512.0, 1040.0), (1024, 2080), None, 0.0, 1.5, 2e-3, "R"), ((40.0, 40.0), (80, 80), 0.9, 0.0, 3.0, 1e-3, "C")],
+)
+def test_prediction_finds_what_the_whole_box_holds(spark, place, shape, eta, bandwidth, sigma, least, centering):
+    """Skew, long and turned cells, with frames around and beside the beam; nothing but the reflections leaves the kernel."""
+    d = Detector(0.1, 75e-6, 1.3, *place)
+    limit = min(q_max(d, *shape), 0.6)
+    cells = [(30.0, 41.0, 55.0, 90, 100, 90), (20.0, 22.0, 140.0, 80, 95, 110), (25.0, 25.0, 25.0, 60, 60, 60), (90.0, 18.0, 24.0, 90, 90, 120)]
+    rng = np.random.default_rng(9)
+    mats = [indexing.rotations(rng.normal(0, 2, 3)) @ lattice.basis(lattice.Cell(*c[:3], *[math.radians(x) for x in c[3:]])) for c in cells]
+    rows = [(k, m.ravel().tolist()) for k, m in enumerate(mats)] + [(90, None), (91, [1.0] * 8 + [None])]
+    rule = {None: lambda h, k, l: True, "I": lambda h, k, l: (h + k + l) % 2 == 0, "F": lambda h, k, l: (h + k) % 2 == 0 == (h + l) % 2, "R": lambda h, k, l: (k + l - h) % 3 == 0, "C": lambda h, k, l: (h + k) % 2 == 0}[centering]  # noqa: E741
+    crystals = spark.createDataFrame(rows, "frame_index long, a array<double>")
+    out = reflections.predict_reflections(crystals, d, limit, *shape, F.lit(eta).cast("double"), 5e-5, bandwidth, sigma, least, centering)
+    assert out.columns[:2] == ["frame_index", "a"] and "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {k: {(x.h, x.k, x.l): (x.row, x.col) for x in g.itertuples()} for k, g in out.toPandas().groupby("frame_index")}
+    want = {k: w for k, m in enumerate(mats) if (w := brute_prediction(m, d, limit, *shape, eta, 5e-5, bandwidth, sigma, least, rule))}
+    assert want and got.keys() == want.keys()
+    for k in want:
+        assert got[k].keys() == want[k].keys() and np.allclose([got[k][x] for x in want[k]], list(want[k].values()))
+
+
+def test_prediction_goes_through_few_lines_beside_the_frame():
+    """Of a large cell, some three candidates per reflection, not the lines of the whole box."""
+    m, d = indexing.rotations(np.array([0.4, 1.1, -0.3])) @ lattice.basis(lattice.Cell(150.0, 170.0, 190.0, *[math.pi / 2] * 3)), Detector(0.1, 75e-6, 1.3, 512.0, 1040.0)
+    limit = q_max(d, 2076, 2080)
+    tol = 1.95 * (5e-5 + 0.0015 * limit)
+    h, k, l = reflections.shell_candidates(m, limit, 1.3, tol, reflections.frame_corners((0.1 / 75e-6, 512.0, 1040.0, 2076, 2080)))  # noqa: E741
+    want = brute_prediction(m, d, limit, 2076, 2080, 0.003, 5e-5, 0.0, 1.5, 5e-4)
+    assert set(want) <= set(zip(h.astype(int).tolist(), k.astype(int).tolist(), l.astype(int).tolist(), strict=True)) and len(h) < 3 * len(want)
+    assert len(reflections.shell_candidates(m, limit, 1.3, tol)[0]) > 1.5 * len(h)
+
+
+def test_rounding_as_in_sql(spark):
+    x = [0.5e-6, -0.5e-6, 1.5e-6, 2.5e-6, -2.5e-6, 0.0, -1e-9, 1234.5678905, 512.0, -0.25, 1e-3, None]
+    got = [r[0] for r in detector.rounded_as_sql(spark.createDataFrame([(v,) for v in x], "x double"), 6).collect()]
+    assert got == [None if v is None else math.copysign(math.floor(abs(v * 1e6) + 0.5), v) / 1e6 for v in x]
+    assert math.copysign(1.0, got[6]) == 1.0 == math.copysign(1.0, got[5])
