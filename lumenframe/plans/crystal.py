@@ -167,7 +167,7 @@ def rocking(spark, d):
 
 
 def mosaicity(spark, d):
-    return rounded(refl.mosaicity(_predicted(spark, d), "frame_index", DET.wavelength, 0.0017), 7)
+    return rounded(refl.mosaicity(_predicted(spark, d, "frame_index", "qn", "excitation"), "frame_index", DET.wavelength, 0.0017), 7)
 
 
 def hkl_assign(spark, d):

@@ -61,6 +61,18 @@ def test_prediction_reaches_the_detectors_edge(spark, run):
         assert grid.loc[f].tolist() == [len(hkl), *hkl.max(axis=0).tolist()]
 
 
+def leaving(df, kernel="MapInArrow"):
+    """Columns that leave the kernel of a plan, and the plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if kernel in x)
+    return [c.split("#")[0] for c in line[line.index("[") + 1 : line.index("]")].split(", ")], plan
+
+
+def test_mosaicity_moves_only_what_it_sums(spark, run):
+    names, plan = leaving(crystal.mosaicity(spark, run[0]))
+    assert names == ["frame_index", "qn", "excitation"] and "Generate" not in plan
+
+
 @pytest.fixture(scope="module")
 def peaks(spark, tmp_path_factory):
     """Peaks all over the detector, in a half pixel around it and between the panels of the tilted one."""
