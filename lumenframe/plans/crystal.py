@@ -163,7 +163,7 @@ def ewald_shell(spark, d):
 
 
 def rocking(spark, d):
-    return rounded(_predicted(spark, d).select("frame_index", "h", "k", "l", lattice.rocking_radius(F.col("qn"), F.lit(0.003), 5e-5, DET.wavelength, 0.002).alias("radius")), 9)
+    return rounded_as_sql(_predicted(spark, d, "frame_index", "h", "k", "l", "qn").select("frame_index", "h", "k", "l", lattice.rocking_radius(F.col("qn"), F.lit(0.003), 5e-5, DET.wavelength, 0.002).alias("radius")), 9)
 
 
 def mosaicity(spark, d):

@@ -73,6 +73,16 @@ def test_mosaicity_moves_only_what_it_sums(spark, run):
     assert names == ["frame_index", "qn", "excitation"] and "Generate" not in plan
 
 
+def test_rocking_moves_one_number_and_rounds_as_sql(spark, run):
+    d, mats = run
+    df = crystal.rocking(spark, d)
+    names, plan = leaving(df)
+    assert names == ["frame_index", "h", "k", "l", "qn"] and "Generate" not in plan and "round(" not in plan
+    for r in df.collect():
+        q = float(np.linalg.norm(mats[r.frame_index] @ [r.h, r.k, r.l]))
+        assert r.radius == pytest.approx(5e-5 + 0.0015 * q + 0.0013 * q * q, abs=5.1e-10) and r.radius == round(r.radius, 9)
+
+
 @pytest.fixture(scope="module")
 def peaks(spark, tmp_path_factory):
     """Peaks all over the detector, in a half pixel around it and between the panels of the tilted one."""
