@@ -282,3 +282,38 @@ def test_rounding_as_in_sql(spark):
     got = [r[0] for r in detector.rounded_as_sql(spark.createDataFrame([(v,) for v in x], "x double"), 6).collect()]
     assert got == [None if v is None else math.copysign(math.floor(abs(v * 1e6) + 0.5), v) / 1e6 for v in x]
     assert math.copysign(1.0, got[6]) == 1.0 == math.copysign(1.0, got[5])
+
+
+def test_blocks_of_peaks_fit_as_all_at_once():
+    rng = np.random.default_rng(3)
+    b = lattice.basis(lattice.Cell(21.0, 27.0, 33.0, 1.5, 1.8, 1.6))
+    a, q = indexing.rotations(rng.normal(0, 1, (48, 3))) @ b, rng.uniform(-0.4, 0.4, (1500, 3))
+    hkl, r2 = indexing.residuals(a, q)
+    parts = [(p, h.copy(), r) for p, h, r in indexing.fits(a, q)]
+    assert len(parts) > 1 and np.allclose(np.concatenate([r for _, _, r in parts], axis=1), r2)
+    assert (np.concatenate([h for _, h, _ in parts], axis=2).transpose(1, 2, 0) == hkl).all()
+
+
+def test_frames_that_come_together_are_not_shuffled(spark):
+    """The same solutions, whether Spark brings the rows of a frame together or they come so; a lost row is an error."""
+    rng = np.random.default_rng(2)
+    c = lattice.Cell(21.0, 27.0, 33.0, math.radians(90), math.radians(105), math.radians(90))
+    rows = []
+    for f in range(3):
+        a = indexing.rotations(rng.normal(0, 1, 3)) @ lattice.basis(c)
+        q = rng.integers(-6, 7, (50, 3)) @ a.T
+        rows += [(f, int(k), *map(float, v), 1.0, [21.0, 27.0, 33.0, 90.0, 105.0, 90.0], len(q)) for k, v in zip(rng.permutation(50), q, strict=True)]
+    rows[7] = (0, 999, None, 0.1, 0.1, 1.0, *rows[7][6:])
+    p = spark.createDataFrame(rows, "frame_index long, peak_id long, qx double, qy double, qz double, intensity double, cell array<double>, together int").coalesce(1)
+    rule = indexing.SearchRule(directions=1500, spins=60, top_directions=12, candidates=32, rounds=60)
+    with_shuffle = indexing.index_frames(p.drop("together"), None, rule).orderBy("frame_index").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = indexing.index_frames(p, None, rule)
+        got = df.collect()
+        with pytest.raises(Exception, match="do not follow one another"):
+            indexing.index_frames(p.where("peak_id <> 999"), None, rule).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert got == with_shuffle and [r["n_peaks"] for r in got] == [49, 50, 50]

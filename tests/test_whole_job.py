@@ -83,6 +83,14 @@ def test_rocking_moves_one_number_and_rounds_as_sql(spark, run):
         assert r.radius == pytest.approx(5e-5 + 0.0015 * q + 0.0013 * q * q, abs=5.1e-10) and r.radius == round(r.radius, 9)
 
 
+def test_predicted_reflections_are_indexed_where_they_are_predicted(spark, run):
+    """Between the kernel that predicts and the one that indexes there is no shuffle."""
+    d, mats = run
+    plan = kernels.seed_refine(spark, d)._jdf.queryExecution().executedPlan().toString()
+    last = plan.rindex("MapInArrow")
+    assert plan.count("MapInArrow") == 2 and "Exchange" not in plan[plan.index("MapInArrow") : last] and "FlatMapGroupsInPandas" not in plan
+
+
 @pytest.fixture(scope="module")
 def peaks(spark, tmp_path_factory):
     """Peaks all over the detector, in a half pixel around it and between the panels of the tilted one."""
